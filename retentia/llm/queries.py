@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm.chunking import split_oversized
+from retentia.llm.knn import nearest
 from retentia.llm.leaks import find_leaks
 from retentia.llm.mojibake import find_garbled
+from retentia.llm.neardup import key_pairs, near_duplicate_groups
 from retentia.llm.packing import pack_containers
 from retentia.plans.registry import Registry
 from retentia.sources.tables import table
@@ -18,6 +20,31 @@ registry = Registry()
 UNIT_TOKENS, OVERLAP_TOKENS, CONTAINER_TOKENS = 200, 20, 1024
 
 
+#: Neighbours of a vector, its values, and the cosine from which two vectors are close.
+NEIGHBOURS, DIMENSIONS, CLOSE = 5, 64, 0.90
+#: Least share of the longer text's words that near-duplicates have in common.
+SAME_WORDS = 0.8
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored statement: (kind, key, text) of memories and of the variants of fact clusters."""
+    memories = table(spark, sf_dir, "memory_points").select(F.lit("memory").alias("kind"), F.col("memory_id").alias("key"), F.col("text_content").alias("text"))
+    facts = table(spark, sf_dir, "fact_clusters").select(F.lit("fact").alias("kind"), F.col("cluster_id").alias("key"), F.explode("variants").alias("text"))
+    return memories.unionByName(facts)
+
+
+@registry.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that hold nearly the same words."""
+    return key_pairs(_statements(spark, sf_dir), SAME_WORDS).withColumnRenamed("kind", "record_kind")
+
+
+@registry.add("p1_groups")
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the set of records that hold the same statement."""
+    return near_duplicate_groups(_statements(spark, sf_dir), SAME_WORDS).withColumnRenamed("kind", "record_kind")
+
+
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every memory unit and context unit: (item_kind, item_id, unit_no, text); repeated rows once."""
     units = table(spark, sf_dir, "memory_units").select(F.lit("unit").alias("item_kind"), F.col("unit_id").alias("item_id"), "unit_no", "text")
@@ -49,6 +76,28 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["item_kind", "item_id", "unit_no", "piece_no", "start_char", "end_char", "piece"])
 
 
+def _nearest(spark: SparkSession, sf_dir: str, min_similarity: float | None) -> DataFrame:
+    """(vector_kind, key, neighbour, similarity, place) of memory vectors and cached vectors, each in its own table."""
+    found = []
+    for kind, name, key, vector in (("point", "memory_points", "memory_id", "vector"), ("cache", "vector_cache", "cache_key", "vec")):
+        near = nearest(table(spark, sf_dir, name), F.col(key), F.col(vector), NEIGHBOURS, DIMENSIONS, min_similarity=min_similarity)
+        found.append(near.select(F.lit(kind).alias("vector_kind"), *near.columns))
+    return found[0].unionByName(found[1])
+
+
+@registry.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of very similar vectors of which one is among the nearest of the other."""
+    near = _nearest(spark, sf_dir, CLOSE)
+    return near.select("vector_kind", F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
+
+
+@registry.add("p4_nearest")
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar others of every memory vector and cached vector."""
+    return _nearest(spark, sf_dir, None).withColumn("similarity", F.round("similarity", 3))
+
+
 @registry.add("p5_containers")
 def p5_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents placed in prompt containers, whole unless larger than one."""
