@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 #: Lists are LISTS x the square root of the rows; each query probes PROBES of them.
 LISTS, PROBES, SAMPLE_A_LIST = 0.75, 24, 40
 #: Index rows and queries of one task.
-GROUP_ROWS, QUERY_ROWS = 1 << 15, 1 << 16
+GROUP_ROWS, QUERY_ROWS = 1 << 16, 1 << 17
+#: What a routed copy of a vector is for.
+INDEX, QUERY, BOTH = 0, 1, 2
 #: Queries and list rows of one block of the scan.
 QUERY_BATCH, LIST_COLUMNS = 1 << 12, 1 << 11
 #: Share of near pairs that a test may reject, and the ends of the column blocks as shares of the dimensions.
@@ -291,6 +293,7 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int)
     """(rep, near array<struct<sim, rep>>): the k best other vectors of each different vector, best first."""
     first_task = index.tasks()
     names = partition_names(int(first_task[-1]))
+    task_of = {int(name): task for task, name in enumerate(names)}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -311,27 +314,29 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int)
             bar = -np.partition(-s, index.probes - 1, axis=1)[:, index.probes - 1]
             salt = _mix(reps.view(np.uint64))
             rows, groups = np.nonzero(_visited(s >= bar[:, None], index.group_of))
+            everyone = np.arange(len(reps))
             # an index row goes to its chunk for every chunk of queries, a query to every chunk of the index
-            parts = [_spread(first_task, home, salt, index.index_chunks, index.query_chunks, np.arange(len(reps)), True)]
-            parts.append(_spread(first_task, groups, salt[rows], index.query_chunks, index.index_chunks, rows, False))
-            for role, (task, row) in enumerate(parts):
-                data = np.ascontiguousarray(codes[row])
+            task, row, other, _ = _spread(first_task, home, salt, index.index_chunks, index.query_chunks, everyone, True)
+            as_query = other == (salt[row] % index.query_chunks[home[row]].astype(np.uint64)).astype(np.int64)
+            copies = [(task, row, np.where(as_query, BOTH, INDEX))]
+            task, at, other, _ = _spread(first_task, groups, salt[rows], index.query_chunks, index.index_chunks, np.arange(len(rows)), False)
+            row = rows[at]
+            there = (groups[at] == home[row]) & (other == (salt[row] % index.index_chunks[home[row]].astype(np.uint64)).astype(np.int64))
+            copies.append((task[~there], row[~there], np.full((~there).sum(), QUERY)))
+            for task, row, role in copies:
+                data = np.zeros((len(row), 2 * dim + 5), dtype=np.uint8)
+                data[:, : 2 * dim] = codes[row].view(np.uint8)
+                data[:, 2 * dim : 2 * dim + 4] = bar[row].astype("<f4")[:, None].view(np.uint8)
+                data[:, -1] = role
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[task]),
-                        pa.array(task.astype(np.int32)),
-                        pa.array(np.full(len(row), role, dtype=np.int8)),
-                        pa.array(reps[row]),
-                        pa.array(bar[row].astype(np.float32)),
-                        pa.Array.from_buffers(pa.binary(2 * dim), len(row), [None, pa.py_buffer(data)]).cast(pa.binary()),
-                    ],
-                    ["slot", "task", "role", "rep", "bar", "code"],
+                    [pa.array(names[task]), pa.array(reps[row]), pa.Array.from_buffers(pa.binary(data.shape[1]), len(row), [None, pa.py_buffer(data)]).cast(pa.binary())],
+                    ["slot", "rep", "code"],
                 )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
         for batch in batches:
-            tasks = batch.column("task").to_numpy()
+            tasks = batch.column("slot").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -346,18 +351,21 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int)
 
     def searched(task: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        group = int(np.searchsorted(first_task, task, side="right")) - 1
-        role, reps, bar = t["role"].to_numpy(), t["rep"].to_numpy(), t["bar"].to_numpy()
-        codes = np.frombuffer(b"".join(t["code"].to_pylist()), dtype=np.float16).reshape(-1, dim)
+        group = int(np.searchsorted(first_task, task_of[task], side="right")) - 1
+        reps = t["rep"].to_numpy()
+        data = np.frombuffer(b"".join(t["code"].to_pylist()), dtype=np.uint8).reshape(-1, 2 * dim + 5)
+        role = data[:, -1]
+        bar = np.ascontiguousarray(data[:, 2 * dim : 2 * dim + 4]).view("<f4").ravel()
+        codes = np.ascontiguousarray(data[:, : 2 * dim]).view(np.float16)
 
         def chosen(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            at = np.flatnonzero(role == kind)
+            at = np.flatnonzero((role == kind) | (role == BOTH))
             at = at[np.unique(reps[at], return_index=True)[1]]
             x = codes[at].astype(np.float32)
             return x / np.linalg.norm(x, axis=1)[:, None], reps[at], bar[at]
 
-        x, x_ids, _ = chosen(0)
-        q, q_ids, q_bar = chosen(1)
+        x, x_ids, _ = chosen(INDEX)
+        q, q_ids, q_bar = chosen(QUERY)
         if not len(x) or not len(q):
             return
         for lo in range(0, len(q), 4 * QUERY_BATCH):
@@ -369,8 +377,8 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int)
             pairs = pa.StructArray.from_arrays([pa.array(sims[full]), pa.array(ids[full])], ["sim", "rep"])
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[part]), pa.ListArray.from_arrays(offsets, pairs)], ["rep", "near"])
 
-    routed = vectors.mapInArrow(route, "slot int, task int, role byte, rep long, bar float, code binary")
-    found = routed.repartition(len(names), "slot").sortWithinPartitions("task").mapInArrow(search, "rep long, near array<struct<sim: float, rep: long>>")
+    routed = vectors.mapInArrow(route, "slot int, rep long, code binary")
+    found = routed.repartition(len(names), "slot").sortWithinPartitions("slot").mapInArrow(search, "rep long, near array<struct<sim: float, rep: long>>")
     merged = found.groupBy("rep").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.select("rep", F.slice(F.sort_array("near", asc=False), 1, k).alias("near"))
 
@@ -382,15 +390,17 @@ def _visited(probed: np.ndarray, group_of: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(probed[:, order], starts, axis=1)
 
 
-def _spread(first_task: np.ndarray, group: np.ndarray, salt: np.ndarray, own: np.ndarray, others: np.ndarray, row: np.ndarray, index_side: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(task, row) copies: one per chunk of the other side, in the row's own chunk of this side."""
+def _spread(
+    first_task: np.ndarray, group: np.ndarray, salt: np.ndarray, own: np.ndarray, others: np.ndarray, row: np.ndarray, index_side: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(task, row, chunk of the other side, own chunk) copies: one per chunk of the other side."""
     mine = (salt % own[group].astype(np.uint64)).astype(np.int64)
     n = others[group]
     copy = np.repeat(np.arange(len(row)), n)
     other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
-    g = group[copy]
-    task = first_task[g] + (mine[copy] * others[g] + other if index_side else other * own[g] + mine[copy])
-    return task, row[copy]
+    g, mine = group[copy], mine[copy]
+    task = first_task[g] + (mine * others[g] + other if index_side else other * own[g] + mine)
+    return task, row[copy], other, mine
 
 
 def nearest(
