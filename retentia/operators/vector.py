@@ -40,7 +40,7 @@ def knn(queries: DataFrame, qid: str, qvec: str, memories: DataFrame, mid: str,
     found = None
     for block in range(n_blocks):
         part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block).toArrow()
-        one = slim.mapInArrow(_scanner(part["q"].to_pylist(), _matrix(part["v"], dim), k, metric, dim), schema)
+        one = slim.mapInArrow(_scanner(part["q"].combine_chunks(), _matrix(part["v"], dim), k, metric, dim), schema)
         found = one if found is None else found.unionByName(one)
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "m"))
     ranked = found.withColumn("sim", F.round("sim", 6)).withColumn("sim_rank", best).where(F.col("sim_rank") <= k)
@@ -52,12 +52,16 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _scanner(ids: list, q: np.ndarray, k: int, metric: str, dim: int):
+def _scanner(queries: pa.Array, q: np.ndarray, k: int, metric: str, dim: int):
     norms = np.linalg.norm(q, axis=1)
+    queries = queries.combine_chunks() if isinstance(queries, pa.ChunkedArray) else queries
+    ids = queries.to_pylist()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in ids]
+        kind = None
         for batch in batches:
+            kind = batch.schema.field("m").type
             if not batch.num_rows or not len(ids):
                 continue
             x, keys = _matrix(batch.column("v"), dim), batch.column("m").to_pylist()
@@ -78,6 +82,6 @@ def _scanner(ids: list, q: np.ndarray, k: int, metric: str, dim: int):
         rows = [(ids[i], m, s) for i, own in enumerate(best) for s, m in own]
         if rows:
             a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], ["q", "m", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, queries.type), pa.array(b, kind), pa.array(c, pa.float64())], ["q", "m", "sim"])
 
     return scan
