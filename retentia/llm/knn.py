@@ -289,8 +289,12 @@ def _codes(vectors: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, total.view(np.int64)
 
 
-def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int) -> DataFrame:
-    """(rep, near array<struct<sim, rep>>): the k best other vectors of each different vector, best first."""
+def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int, min_similarity: float | None = None) -> DataFrame:
+    """(rep, near array<struct<sim, rep>>): the k best other vectors of each different vector, best first.
+
+    Every group is searched for the k best; of these, those under `min_similarity` stay out of the merge, which cannot
+    change the k best at or above it.
+    """
     first_task = index.tasks()
     names = partition_names(int(first_task[-1]))
     task_of = {int(name): task for task, name in enumerate(names)}
@@ -371,11 +375,13 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int)
         for lo in range(0, len(q), 4 * QUERY_BATCH):
             part = slice(lo, lo + 4 * QUERY_BATCH)
             sims, ids = search_group(index, group, x, x_ids, q[part], q_ids[part], q_bar[part], k)
-            full = np.isfinite(sims)
+            full = np.isfinite(sims) if min_similarity is None else sims >= np.float32(min_similarity)
             n = full.sum(axis=1)
+            some = n > 0
+            full, n, sims, ids = full[some], n[some], sims[some], ids[some]
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             pairs = pa.StructArray.from_arrays([pa.array(sims[full]), pa.array(ids[full])], ["sim", "rep"])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[part]), pa.ListArray.from_arrays(offsets, pairs)], ["rep", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[part][some]), pa.ListArray.from_arrays(offsets, pairs)], ["rep", "near"])
 
     routed = vectors.mapInArrow(route, "slot int, rep long, code binary")
     found = routed.repartition(len(names), "slot").sortWithinPartitions("slot").mapInArrow(search, "rep long, near array<struct<sim: float, rep: long>>")
@@ -441,10 +447,8 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(_codes(unit, axes)[1]), batch.column("key").take(pa.array(at))], ["rep", "key"])
 
     members = slim.mapInArrow(belong, "rep long, key string").distinct()
-    near = nearest_representatives(slim.select("vector"), index, k, dim)
+    near = nearest_representatives(slim.select("vector"), index, k, dim, min_similarity)
     near = near.select(F.col("rep").alias("of"), F.posexplode("near").alias("pos", "n")).select("of", "pos", F.col("n.rep").alias("rep"), F.col("n.sim").alias("sim"))
-    if min_similarity is not None:
-        near = near.where(F.col("sim") >= min_similarity)
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
     few = members.withColumn("nth", nth).where(F.col("nth") <= k + 1)
     own = few.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("own"))
