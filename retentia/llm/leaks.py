@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words of a pattern; of the passage between two edits.
 SEED, SPACING = 5, 8
@@ -211,13 +212,13 @@ def find_leaks(
     found = None
     for block in range(n_blocks):
         rows = wanted.where(F.pmod(F.xxhash64("k"), F.lit(n_blocks)) == block).collect()
-        one = slim.mapInArrow(_searcher([(r["k"], r["t"]) for r in rows], min_words, schema.names), schema)
+        one = slim.mapInArrow(_searcher([(r["k"], r["t"]) for r in rows], min_words, schema.names, to_arrow_type(key_type)), schema)
         found = one if found is None else found.unionByName(one)
     best = F.max_by(F.struct("first_word", "n_words", "n_edits"), F.struct("n_words", -F.col("n_edits"), -F.col("first_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _searcher(items: list[tuple], min_words: int, names: list[str]):
+def _searcher(items: list[tuple], min_words: int, names: list[str], key_type: pa.DataType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = Patterns(items)
         known = patterns.vocabulary.get
@@ -236,7 +237,7 @@ def _searcher(items: list[tuple], min_words: int, names: list[str]):
                 out.extend((row, key, first, size, edits) for key in patterns.keys[n])
             if out:
                 rows, keys, *numbers = zip(*out)
-                arrays = [batch.column("doc_id").take(pa.array(rows)), pa.array(keys), *(pa.array(x, pa.int32()) for x in numbers)]
+                arrays = [batch.column("doc_id").take(pa.array(rows)), pa.array(keys, key_type), *(pa.array(x, pa.int32()) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return search

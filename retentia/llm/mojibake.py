@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +50,8 @@ _CLOSERS = set("”’…»–—™›")
 _RUSSIAN = [801, 159, 454, 170, 298, 845, 94, 165, 735, 121, 349, 440, 321, 670, 1097, 281, 473, 547, 626, 262, 26, 97, 48, 144, 73, 36, 4, 190, 174, 32, 64, 201, 4]
 _CYRILLIC_LOG = {c: math.log(n / 10000) for c, n in zip("абвгдежзийклмнопрстуфхцчшщъыьэюяё", _RUSSIAN)}
 _FLOOR = math.log(2e-5)
+#: Mean log frequency that Russian phrases exceed.
+LIKELY = -3.8
 
 _LONG_RUN = re.compile(r"[^\x00-\x7f]{6,}")
 _CYRILLIC_PHRASE = re.compile(r"[Ѐ-ӿ]+(?:[ ,.!?;:()\"'-]{1,3}[Ѐ-ӿ]+)*")
@@ -91,20 +94,33 @@ def _strong(garbled: str) -> bool:
 
 
 def _plain_letters(garbled: str) -> bool:
-    """Whether it is letters only that one correct word may well hold side by side."""
-    return all(c in _CYRILLIC_LOG for c in garbled.lower()) or all("À" <= c <= "ÿ" and c.isalpha() for c in garbled)
+    """Whether it is two letters that one correct word may well hold side by side."""
+    return len(garbled) == 2 and (all(c in _CYRILLIC_LOG for c in garbled.lower()) or all("À" <= c <= "ÿ" and c.isalpha() for c in garbled))
+
+
+class Sequence:
+    """A garbled sequence: what it stands for by encoding, and how much it proves."""
+
+    def __init__(self, text: str, strong: bool, multi: bool, plain: bool = False):
+        self.text, self.strong, self.multi, self.plain = text, strong, multi, plain
+        self.targets: dict[str, str] = {}
 
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
-    """Every garbled sequence -> (garbled, pair name, target, strong, multi-byte)."""
-    found: dict[str, tuple] = {}
+    """Every garbled sequence as a `Sequence`."""
+    found: dict[str, Sequence] = {}
+
+    def add(garbled: str, encoding: str, target: str, strong: bool, multi: bool, plain: bool = False) -> None:
+        if not garbled.isascii() and (garbled not in found or found[garbled].multi == multi):
+            found.setdefault(garbled, Sequence(garbled, strong, multi, plain)).targets.setdefault(encoding, target)
+
     for encoding in SINGLE_BYTE:
         for target in TARGETS:
             garbled = sloppy(target.encode("utf-8"), encoding)
-            if garbled.isascii() or garbled in found or _plain_letters(garbled) and encoding != "cp1251":
-                continue
-            found[garbled] = (garbled, encoding, target, _strong(garbled), False)
+            # in cp1251 such a pair is a common Russian letter; one that stands next to others is no chance
+            plain = _plain_letters(garbled) and encoding != "cp1251"
+            add(garbled, encoding, target, not plain and _strong(garbled), False, plain)
     for encoding in MULTI_BYTE:
         for target in TARGETS:
             data = target.encode("utf-8")
@@ -115,7 +131,7 @@ def automaton() -> ahocorasick.Automaton:
             if len(data) == 3:
                 if data[:2] not in (b"\xe2\x80", b"\xe2\x82", b"\xe2\x84", b"\xe2\x88", b"\xe2\x89"):
                     continue
-                found.setdefault(garbled, (garbled, encoding, "", True, True))
+                add(garbled, encoding, "", True, True)
                 for low in range(0x20, 0x7F):
                     # the third byte and the character behind it are read as one
                     try:
@@ -123,9 +139,9 @@ def automaton() -> ahocorasick.Automaton:
                     except UnicodeDecodeError:
                         continue
                     if len(pair) == 1:
-                        found.setdefault(garbled + pair, (garbled + pair, encoding, target + chr(low), True, True))
+                        add(garbled + pair, encoding, target + chr(low), True, True)
             elif len(garbled) == 1 or encoding in ("cp932", "euc_jp") and len(garbled) == 2:
-                found.setdefault(garbled, (garbled, encoding, target, False, True))
+                add(garbled, encoding, target, False, True)
         for second in range(0x80, 0x84):
             # the first two bytes of kana and CJK punctuation
             try:
@@ -133,68 +149,85 @@ def automaton() -> ahocorasick.Automaton:
             except UnicodeDecodeError:
                 continue
             if len(garbled) == 1:
-                found.setdefault(garbled, (garbled, encoding, "", True, True))
+                add(garbled, encoding, "", True, True)
     machine = ahocorasick.Automaton()
-    for garbled, value in found.items():
-        machine.add_word(garbled, value)
+    for garbled, sequence in found.items():
+        machine.add_word(garbled, sequence)
     machine.make_automaton()
     return machine
 
 
-def _latin(c: str) -> bool:
-    return c.isalpha() and c < "ɐ"
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
 
 
 def sequences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, original) of each garbled sequence with enough evidence, in order and apart."""
-    hits = []
-    for end, (garbled, pair, target, strong, multi) in automaton().iter_long(text):
-        hits.append([end + 1 - len(garbled), end + 1, target, pair, strong, multi])
+    """(start, end, original) of each garbled sequence with enough evidence, in order and apart.
+
+    Every proven sequence speaks for the encodings that it may come from; a sequence stands for what it is in the
+    encoding for which most of the text speaks.
+    """
+    hits = [(end + 1 - len(s.text), end + 1, s) for end, s in automaton().iter_long(text)]
     if not hits:
         return []
-    size = len(text)
-    for k, hit in enumerate(hits):
-        start, end, target, pair, strong, multi = hit
-        if strong:
-            continue
-        before, after = text[start - 1] if start else " ", text[end] if end < size else " "
-        near = (k and hits[k - 1][1] == start) or (k + 1 < len(hits) and hits[k + 1][0] == end)
-        if multi:
-            if any(_CJK.match(c) for c in (before, after)) and not near:
-                continue
-            ascii_near = before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
-            hit[4] = bool(target.isalpha() and ascii_near)
-            continue
-        lead = text[start]
-        if "Ѐ" <= lead <= "ӿ" or lead in "–—─═":
-            hit[4] = bool(near)
-        elif lead.isalpha():
-            hit[4] = bool(near or after.isascii() and after.isalpha())
-        else:
-            inside = before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
-            hit[4] = bool(target.isalpha() and inside and lead != "¬")
-    proven = {h[3] for h in hits if h[4]}
+    proven: Counter[str] = Counter()
+    for k, (start, end, s) in enumerate(hits):
+        if s.strong or not s.plain and _evident(text, hits, k):
+            proven.update(s.targets.keys())
     if not proven:
         return []
-    kind = {"multi"} if any(h[4] and h[5] for h in hits) else set()
+    best = max(proven.values())
+    any_multi = any(e in MULTI_BYTE for e in proven)
+    out = whole_runs(text, [e for e in MULTI_BYTE if e in proven])
+    taken = {i for start, end, _ in out for i in range(start, end)}
+    for start, end, s in hits:
+        if start in taken or end - 1 in taken:
+            continue
+        known = [e for e in s.targets if e in proven]
+        if s.plain:
+            known = [e for e in known if proven[e] == best]
+        if known:
+            out.append((start, end, s.targets[max(known, key=lambda e: proven[e])]))
+        elif s.multi and any_multi:
+            out.append((start, end, next(iter(s.targets.values()))))
+    return sorted(out)
+
+
+def whole_runs(text: str, encodings: list[str]) -> list[tuple[int, int, str]]:
+    """Runs beyond ASCII, with the character behind them if need be, that are UTF-8 read in a multi-byte encoding."""
     out = []
-    for start, end, target, pair, strong, multi in hits:
-        if strong or pair in proven or multi and kind or not multi and _same_reading(text[start:end], proven):
-            out.append((start, end, target))
+    for m in _LETTER_RUN.finditer(text) if encodings else ():
+        for encoding in encodings:
+            for end in (m.end(), m.end() + 1):
+                try:
+                    again = text[m.start() : end].encode(encoding).decode("utf-8")
+                except (UnicodeEncodeError, UnicodeDecodeError):
+                    continue
+                if again != text[m.start() : end]:
+                    out.append((m.start(), min(end, len(text)), again))
+                    break
+            else:
+                continue
+            break
     return out
 
 
-def _same_reading(garbled: str, pairs: set[str]) -> bool:
-    """Whether a sequence filed under one encoding could as well be of one that the document was read in."""
-    for pair in pairs:
-        if pair in MULTI_BYTE:
-            continue
-        try:
-            garbled.encode(pair).decode("utf-8")
-            return True
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-    return False
+def _evident(text: str, hits: list[tuple[int, int, Sequence]], k: int) -> bool:
+    """Whether a sequence that may be correct text is proven by what stands next to it."""
+    start, end, s = hits[k]
+    before, after = text[start - 1] if start else " ", text[end] if end < len(text) else " "
+    near = k and hits[k - 1][1] == start and not hits[k - 1][2].plain or k + 1 < len(hits) and hits[k + 1][0] == end and not hits[k + 1][2].plain
+    inside = _letter(before) or _letter(after)
+    lead, letter = text[start], all(t.isalpha() for t in s.targets.values())
+    if s.multi:
+        if (_CJK.match(before) or _CJK.match(after)) and not near:
+            return False
+        return letter and inside
+    if "Ѐ" <= lead <= "ӿ" or lead in "–—─═":
+        return bool(near)
+    if lead.isalpha():
+        return bool(near or _letter(after))
+    return bool(near or letter and inside and lead != "¬")
 
 
 def _russian(phrase: str) -> float:
@@ -228,11 +261,12 @@ def rereadings(text: str) -> list[tuple[int, int, str]]:
             except UnicodeDecodeError:
                 continue
             n = sum(c.lower() in _CYRILLIC_LOG for c in again)
-            if n < 3 or n != sum(not c.isascii() for c in again):
+            if n != sum(not c.isascii() for c in again):
                 continue
             more = _russian(again) - _russian(phrase)
-            if more > 0.5:
+            if more > 0.1:
                 out.append((start, end, again))
+            if more > 0.5 and _russian(again) > LIKELY and len(set(again)) > 4:
                 better += more * n
                 letters += n
         if letters >= 8 and better > max(gain, 5.0):
@@ -303,8 +337,8 @@ def repair(text: str) -> tuple[str, int, int, bool]:
         return text, 0, 0, False
     lost = text.count(_LOST)
     replaced = 0
-    for _ in range(3):
-        spans = sequences(text) or foreign(text)
+    for _ in range(4):
+        spans = foreign(text) or sequences(text)
         if not spans:
             break
         replaced += len(spans)
