@@ -50,3 +50,47 @@ def within_budget(ranked: DataFrame, cost: Column, budget: int, query: str = "qi
     """The longest prefix of each query's ranking whose costs sum to `budget` or less."""
     w = Window.partitionBy(query).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+
+
+#: Parts into which a group's keys are divided for `rank_within`.
+PARTS = 64
+
+
+def rank_within(df: DataFrame, group: list[str], key: str, tie: str, name: str = "place", size: str = "n") -> DataFrame:
+    """Adds the place (from 1) of each row in its group by (key, tie) ascending, and the group's size.
+
+    No task ever holds a group: approximate quantiles of `key` divide it into parts, rows on a quantile are divided
+    again by the first two characters of `tie` (a string, best a hash), rows are numbered within parts, and the sizes
+    of the parts before are added. Null keys come first; rows equal in both are in any order.
+    """
+    cuts = [i / PARTS for i in range(1, PARTS)]
+    quantiles = df.groupBy(*group).agg(F.array_distinct(F.percentile_approx(key, cuts, 2000)).alias("__cuts"))
+    marked = _same_group(df, quantiles, group)
+    cut = F.coalesce("__cuts", F.array().cast(quantiles.schema["__cuts"].dataType))
+    below = F.size(F.filter(cut, lambda c: c < F.col(key)))
+    on = F.array_contains(cut, F.col(key))
+    marked = marked.withColumns(
+        {
+            # keys between two cuts, then the keys on the next cut
+            "__part": F.when(F.col(key).isNull(), F.lit(-1)).otherwise(below * 2 + F.when(on, 1).otherwise(0)),
+            "__sub": F.when(on | F.col(key).isNull(), F.substring(tie, 1, 2)).otherwise(F.lit("")),
+        }
+    ).drop("__cuts")
+    parts = marked.groupBy(*group, "__part", "__sub").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), size: F.sum("__n").over(Window.partitionBy(*group))}).drop("__n")
+    nth = F.row_number().over(Window.partitionBy(*group, "__part", "__sub").orderBy(key, tie))
+    placed = _same_group(marked.withColumn("__nth", nth), parts, [*group, "__part", "__sub"])
+    return placed.withColumn(name, F.col("__nth") + F.col("__before")).drop("__part", "__sub", "__nth", "__before")
+
+
+def _same_group(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which nulls are equal."""
+    renamed = other.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    same = None
+    for k in keys:
+        one = df[k].eqNullSafe(renamed[f"__g_{k}"])
+        same = one if same is None else same & one
+    if same is None:
+        return df.crossJoin(F.broadcast(other))
+    return df.join(renamed, same).drop(*(f"__g_{k}" for k in keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentia.operators import vector
+from retentia.operators import rank, vector
 from retentia.plans.common import COMP, MEM, NOW, memories, scored
 from retentia.plans.registry import Registry
 from retentia.plans.scoring import _FACT, facts
@@ -29,9 +29,7 @@ POLICIES = {
 def evicted(memories: DataFrame, key: str, keep: float, group: str = "collection") -> DataFrame:
     """Memories beyond a group's capacity ceil(keep x n): lowest key first, ties by a hash that no order of ids can sway."""
     m = memories.select(group, "memory_id", F.expr(key).alias("key"), F.md5(F.concat(F.lit("evict:"), F.col("memory_id"))).alias("tie"))
-    sizes = m.groupBy(group).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy("key", "tie", "memory_id")
-    m = m.withColumn("nth", F.row_number().over(w)).join(sizes.withColumnRenamed(group, "g"), F.col(group).eqNullSafe(F.col("g")))
+    m = rank.rank_within(m, [group], "key", "tie", "nth")
     return m.where(F.col("nth") <= F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * keep))).select(group, "memory_id", F.col("nth").alias("place"))
 
 
@@ -41,7 +39,7 @@ def _policy(name: str) -> None:
     @add(
         f"evict_{name}",
         f"""WITH {COMP}, e AS (SELECT collection, memory_id, row_number() OVER (PARTITION BY collection ORDER BY {sql_key}, md5('evict:' || memory_id), memory_id) AS nth, count(*) OVER (PARTITION BY collection) AS n FROM scored)
-        SELECT collection, memory_id, nth::int AS place FROM e WHERE nth <= n - greatest(1, ceil(n * 0.5e0))""",
+        SELECT collection, memory_id, nth::bigint AS place FROM e WHERE nth <= n - greatest(1, ceil(n * 0.5e0))""",
     )
     def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evicted(scored(spark, sf_dir), spark_key, 0.5)
@@ -72,10 +70,8 @@ def harmful_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a dialogue's restated facts that keeping the half with most mentions loses."""
     f = facts(spark, sf_dir).where("sessions IS NOT NULL")
     needed = F.size(F.filter("sessions", lambda x: x > F.col("created_session"))) > 0
-    f = f.select("dialogue", "cluster_id", needed.alias("needed"), F.coalesce("mentions", F.lit(0)).alias("m"), F.md5(F.concat(F.lit("evict:"), F.col("cluster_id"))).alias("tie"))
-    sizes = f.groupBy("dialogue").agg(F.count("*").alias("n")).withColumnRenamed("dialogue", "d")
-    f = f.withColumn("rk", F.row_number().over(Window.partitionBy("dialogue").orderBy(F.desc("m"), "tie")))
-    f = f.join(sizes, F.col("dialogue").eqNullSafe(F.col("d"))).withColumn("lost", F.col("rk") > F.greatest(F.lit(1), F.ceil(F.col("n") * 0.5)))
+    f = f.select("dialogue", "cluster_id", needed.alias("needed"), (-F.coalesce("mentions", F.lit(0))).alias("m"), F.md5(F.concat(F.lit("evict:"), F.col("cluster_id"))).alias("tie"))
+    f = rank.rank_within(f, ["dialogue"], "m", "tie", "rk").withColumn("lost", F.col("rk") > F.greatest(F.lit(1), F.ceil(F.col("n") * 0.5)))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     g = f.groupBy("dialogue").agg(one(F.col("needed") & F.col("lost")).alias("a"), one(F.col("needed")).alias("b")).where("b > 0")
     return g.select("dialogue", F.round(F.col("a") / F.col("b"), 6).alias("harm"))
@@ -86,10 +82,9 @@ def harmful_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {COMP}, n AS (SELECT ceil(count(*) * 0.25e0) AS k FROM mem), b AS (SELECT memory_id FROM scored ORDER BY s DESC, md5('evict:' || memory_id) LIMIT (SELECT k::int FROM n)) SELECT memory_id FROM b""",
 )
 def keep_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best quarter of all memories; ordered and cut without a single-partition window."""
-    m = scored(spark, sf_dir).select("memory_id", "s")
-    k = -(-m.count() // 4)
-    return m.orderBy(F.desc("s"), F.md5(F.concat(F.lit("evict:"), F.col("memory_id")))).limit(k).select("memory_id")
+    """The best quarter of all memories, ranked without a window or a limit over all of them."""
+    m = scored(spark, sf_dir).select("memory_id", (-F.col("s")).alias("key"), F.md5(F.concat(F.lit("evict:"), F.col("memory_id"))).alias("tie"), F.lit(1).alias("one"))
+    return rank.rank_within(m, ["one"], "key", "tie").where(F.col("place") <= F.ceil(F.col("n") * 0.25)).select("memory_id")
 
 
 @add("triage_scan", f"WITH {COMP} SELECT memory_id, s, left(coalesce(text_content, ''), 80) AS preview FROM scored")
@@ -313,10 +308,15 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_loop_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each memory is among the five shown, when what is shown depends only on what was stored before.
 
-    Queries are a stated set: they are broadcast and every task keeps five rows a query before the window sees any.
+    Five memories an hour can be among the five of a later hour, so a query meets those and the memories of its own hour.
     """
-    q = table(spark, sf_dir, "contexts").where("context_id % 20 = 0").select("context_id", (F.unix_micros("created_at") / 1e6).alias("at"))
-    m = memories(spark, sf_dir).select("memory_id", "frequency", "created_ts")
+    hour = lambda c: F.floor(F.col(c) / 3600)
+    q = table(spark, sf_dir, "contexts").where("context_id % 20 = 0").select("context_id", (F.unix_micros("created_at") / 1e6).alias("at")).withColumn("qh", hour("at"))
+    m = memories(spark, sf_dir).where("created_ts IS NOT NULL").select("memory_id", "frequency", "created_ts", hour("created_ts").alias("h"))
+    best = Window.partitionBy("h").orderBy(F.desc("frequency"), "memory_id")
+    five = m.withColumn("rn", F.row_number().over(best)).where("rn <= 5").drop("rn")
+    earlier = five.join(q, F.col("h") < F.col("qh"))
+    same = m.join(q, F.col("h") == F.col("qh")).where("created_ts <= at")
     w = Window.partitionBy("context_id").orderBy(F.desc("frequency"), "memory_id")
-    shown = m.join(q, F.col("created_ts") <= F.col("at")).withColumn("rn", F.row_number().over(w)).where("rn <= 5")
+    shown = earlier.unionByName(same).withColumn("rn", F.row_number().over(w)).where("rn <= 5")
     return shown.groupBy("memory_id").agg(F.count("*").alias("shown"), F.max("context_id").alias("last_context"))

@@ -407,8 +407,11 @@ def transfer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("age_percentile", f"WITH {MEM} SELECT collection, memory_id, round(percent_rank() OVER (PARTITION BY collection ORDER BY created_ts, memory_id), 6) AS pct FROM mem WHERE collection IS NOT NULL")
 def age_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("collection").orderBy("created_ts", "memory_id")
-    return memories(spark, sf_dir).where("collection IS NOT NULL").select("collection", "memory_id", F.round(F.percent_rank().over(w), 6).alias("pct"))
+    """Share of a collection's other memories that are older, ties in the order of ids."""
+    m = memories(spark, sf_dir).where("collection IS NOT NULL").select("collection", "memory_id", "created_ts")
+    m = rank.rank_within(m, ["collection"], "created_ts", "memory_id")
+    pct = F.when(F.col("n") > 1, (F.col("place") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    return m.select("collection", "memory_id", F.round(pct, 6).alias("pct"))
 
 
 @add("boot_point", f"WITH {COMP} SELECT round(avg(s), 6) AS mean, count(*)::bigint AS n FROM scored")

@@ -77,3 +77,16 @@ def test_kappa_and_auroc(spark):
     x = spark.createDataFrame([("g", 1.0, True), ("g", 1.0, False), ("g", 2.0, True), ("h", 1.0, True)], "g string, v double, y boolean")
     got = {r["g"]: r["auc"] for r in stats.auroc(x, "v", "y", ["g"]).collect()}
     assert got == {"g": 0.75, "h": None}
+
+
+def test_rank_within_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 7).cast("string")).alias("g"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 2 == 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(100)).cast("double")).alias("k"), F.md5(F.col("id").cast("string")).alias("t"), "id",
+    )
+    plain = df.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("k", "t"))).withColumn("n", F.count("*").over(Window.partitionBy("g")))
+    got = rank.rank_within(df, ["g"], "k", "t")
+    assert {(r["id"], r["place"], r["n"]) for r in got.collect()} == {(r["id"], r["place"], r["n"]) for r in plain.collect()}
+    assert rank.rank_within(df.limit(0), ["g"], "k", "t").count() == 0
