@@ -253,6 +253,31 @@ def retry_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("msg", F.when(unit == "ms", n.try_cast("double") / 1e3).when(unit == "s", n.try_cast("double")).alias("seconds"))
 
 
+@add("session_literals")
+def session_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns out of a literal list that alternates dates and lists of turns (not JSON, so read in Arrow batches)."""
+    import ast
+
+    literal = "['2023/05/21', [{'role': 'user', 'content': \"it's here\"}], '2023/05/22', [{'role': 'agent', 'content': 'ok'}, {'role': 'user', 'content': 'thanks'}]]"
+    raw = spark.createDataFrame([(1, literal), (2, "[]"), (3, None), (4, "broken [")], "session long, literal string")
+
+    def parse(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for session, text in zip(pdf.session, pdf.literal):
+                try:
+                    parts = ast.literal_eval(text) if text is not None else []
+                except (ValueError, SyntaxError):
+                    parts = []
+                for day, turns in zip(parts[::2], parts[1::2]):
+                    rows += [(session, day, nth, t.get("role"), t.get("content")) for nth, t in enumerate(turns)]
+            yield pd.DataFrame(rows, columns=["session", "day", "nth", "role", "content"])
+
+    return raw.mapInPandas(parse, "session long, day string, nth int, role string, content string")
+
+
 @add("qa_pairs", "SELECT context_id, (i - 1)::int AS nth, questions[i] AS question FROM (SELECT context_id, questions, unnest(range(1, len(questions) + 1)) AS i FROM contexts)")
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of each context, numbered."""
