@@ -128,14 +128,16 @@ def fit(sample: np.ndarray, rows: int, probes: int, k: int, group_rows: int, que
     rows_of = np.bincount(group_of, weights=weight, minlength=n_groups)
     ends = sorted({max(1, int(dim * share)) for share in BLOCKS} - {dim})
     # near pairs of the sample: what share of a full distance shows in the first columns
+    kth, ratios = min(k, max(1, len(x) - 1)), []
     few = x[:: max(1, len(x) // 1024)][:1024]
-    s = few @ x.T
-    s[s > 1 - 1e-6] = -2
-    kth = min(k, max(1, len(x) - 1))
-    best = np.argpartition(-s, kth - 1, axis=1)[:, :kth]
-    pairs = x[best] - few[:, None, :]
-    full = np.maximum((pairs**2).sum(axis=2), 1e-12)
-    bounds = [float(np.quantile((pairs[:, :, :end] ** 2).sum(axis=2) / full, 1 - LEVEL)) for end in ends]
+    for part in np.array_split(few, -(-len(few) // 128)):
+        s = part @ x.T
+        s[s > 1 - 1e-6] = -2
+        best = np.argpartition(-s, kth - 1, axis=1)[:, :kth]
+        squares = (x[best] - part[:, None, :]) ** 2
+        full = np.maximum(squares.sum(axis=2), 1e-12)
+        ratios.append(np.stack([squares[:, :, :end].sum(axis=2) / full for end in ends]).reshape(len(ends), -1))
+    bounds = np.quantile(np.concatenate(ratios, axis=1), 1 - LEVEL, axis=1).tolist()
     return Index(
         axes, centroids, group_of,
         np.maximum(1, np.ceil(rows_of / (2 * group_rows))).astype(np.int64),
