@@ -47,6 +47,50 @@ def knn(queries: DataFrame, qid: str, qvec: str, memories: DataFrame, mid: str,
     return ranked.select(F.col("q").alias(qid), F.col("m").alias(mid), "sim", "sim_rank")
 
 
+#: Vectors of a block of `pairs_within`.
+BLOCK_PAIRS = 2048
+
+
+def pairs_within(df: DataFrame, group: str, key: str, vec: str, least: float) -> DataFrame:
+    """(a, b, cos): all pairs a < b of a group at a cosine of `least` or more, cos at six decimals.
+
+    A group is divided into blocks by a hash of the key and every pair of blocks is compared in a group of its own, so a
+    task holds two blocks whatever the size of the group. Null vectors and groups play no part, nor pairs of unlike length.
+    """
+    e = df.where(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.size(vec).alias("dim"), F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    blocks = e.groupBy("g", "dim").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_PAIRS))).cast("int").alias("n"))
+    e = e.join(F.broadcast(blocks), ["g", "dim"]).withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    e = e.select("g", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "v")
+    kind = e.schema["k"].dataType
+
+    def compare(table: pa.Table) -> pa.Table:
+        dim, own = table["dim"][0].as_py(), table["own"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        x, keys = _matrix(table["v"], dim), table["k"].combine_chunks()
+        norms = np.linalg.norm(x, axis=1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ids = np.array(keys.to_pylist(), dtype=object)
+        a, b, c = [], [], []
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            scale = norms[rows][:, None] * norms[right][None, :]
+            s = np.divide(x[rows] @ x[right].T, scale, out=np.zeros_like(scale), where=scale > 0)
+            p, q = np.nonzero(s >= least)
+            one, two = rows[p], right[q]
+            keep = (ids[one] < ids[two]) if i == j else (ids[one] != ids[two])
+            one, two, s = one[keep], two[keep], s[p, q][keep]
+            swap = ids[one] > ids[two]
+            a.append(np.where(swap, two, one))
+            b.append(np.where(swap, one, two))
+            c.append(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s))
+        take = lambda parts: keys.take(pa.array(np.concatenate(parts) if parts else np.empty(0, int)))
+        return pa.table({"a": take(a), "b": take(b), "cos": np.concatenate(c) if c else np.empty(0)})
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cos", T.DoubleType())])
+    return e.groupBy("g", "dim", "i", "j").applyInArrow(compare, schema)
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -217,19 +218,37 @@ def fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT context_id, count(*)::bigint AS visible, arg_max(memory_id, (created_ts, memory_id)) AS latest FROM b GROUP BY context_id""",
 )
 def asof_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many memories existed when a context was asked, and the latest (as-of join).
+    """asof_visible_all for the contexts whose id is divisible by 20."""
+    return visible_at(table(spark, sf_dir, "contexts").where("context_id % 20 = 0"), memories(spark, sf_dir))
 
-    Both sides become one stream ordered by time: counts per hour are summed first, so no pair is ever built.
+
+def _hour(column: str):
+    return F.floor(F.col(column) / 3600)
+
+
+def visible_at(contexts: DataFrame, m: DataFrame) -> DataFrame:
+    """(context_id, visible, latest): memories that existed when each context was asked.
+
+    Both sides become one stream ordered by time, in which the memories before a row are counted: within its hour, and
+    over the hours before from one row an hour. No pair is ever built.
     """
-    asked = table(spark, sf_dir, "contexts").where("context_id % 20 = 0").select("context_id", (F.unix_micros("created_at") / 1e6).alias("at"))
-    m = memories(spark, sf_dir).select("memory_id", "created_ts").where("created_ts IS NOT NULL")
-    hour = lambda c: F.floor(F.col(c) / 3600)
-    per_hour = m.groupBy(hour("created_ts").alias("h")).agg(F.count("*").alias("n"), F.max(F.struct("created_ts", "memory_id")).alias("last"))
-    bounded = asked.withColumn("qh", hour("at"))
-    before = bounded.join(per_hour, F.col("h") < F.col("qh")).groupBy("context_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    same = bounded.join(m.withColumn("qh", hour("created_ts")), "qh").where("created_ts <= at").groupBy("context_id").agg(F.count("*").alias("n"), F.max(F.struct("created_ts", "memory_id")).alias("last"))
-    both = before.unionByName(same).groupBy("context_id").agg(F.sum("n").alias("visible"), F.max("last").alias("last"))
-    return both.select("context_id", "visible", F.col("last.memory_id").alias("latest"))
+    stored = m.where("created_ts IS NOT NULL").select(F.col("created_ts").alias("t"), F.lit(0).alias("kind"), "memory_id", F.lit(None).cast("long").alias("context_id"))
+    asked = contexts.where("created_at IS NOT NULL").select((F.unix_micros("created_at") / 1e6).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("memory_id"), "context_id")
+    both = stored.unionByName(asked).withColumn("h", _hour("t"))
+    n, last = F.count("memory_id"), F.max(F.when(F.col("kind") == 0, F.struct("t", "memory_id")))
+    hours = both.groupBy("h").agg(n.alias("n"), last.alias("last"))
+    before = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("h", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.max("last").over(before).alias("last0"))
+    same = Window.partitionBy("h").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumns({"n1": n.over(same), "last1": last.over(same)}).where("kind = 1").join(hours, "h")
+    seen = seen.select("context_id", (F.col("n0") + F.col("n1")).alias("visible"), F.coalesce("last1", "last0").alias("last")).where("visible > 0")
+    return seen.select("context_id", "visible", F.col("last.memory_id").alias("latest"))
+
+
+@add("asof_visible_all", registry.sql["asof_visible"].replace(" WHERE context_id % 20 = 0", ""))
+def asof_visible_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many memories existed when each context was asked, and the latest (as-of join)."""
+    return visible_at(table(spark, sf_dir, "contexts"), memories(spark, sf_dir))
 
 
 @add(
@@ -292,7 +311,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.v, b.v) >= 0.4e0""",
 )
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later embeddings of the same label at a cosine of 0.4 or more to each query embedding."""
+    """similar_pairs_all where the smaller id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
     a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
@@ -300,23 +319,74 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("c >= 0.4").select("a", "b", F.round("c", 6).alias("cos"))
 
 
+@add("similar_pairs_all", registry.sql["similar_pairs"].replace("a.vec_id % 20 = 0 AND ", ""))
+def similar_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of embeddings of one label at a cosine of 0.4 or more."""
+    return vector.pairs_within(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.4)
+
+
 @add(
     "open_loop_feedback",
     f"""WITH {MEM}, q AS (SELECT context_id, epoch_us(created_at) / 1e6 AS t FROM contexts WHERE context_id % 20 = 0), v AS (SELECT q.context_id, memory_id, frequency, row_number() OVER (PARTITION BY q.context_id ORDER BY frequency DESC, memory_id) AS rn
       FROM q JOIN mem ON created_ts <= t) SELECT memory_id, count(*)::bigint AS shown, max(context_id)::bigint AS last_context FROM v WHERE rn <= 5 GROUP BY memory_id""",
 )
 def open_loop_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each memory is among the five shown, when what is shown depends only on what was stored before.
+    """open_loop_feedback_all for the contexts whose id is divisible by 20."""
+    return shown_to(table(spark, sf_dir, "contexts").where("context_id % 20 = 0"), memories(spark, sf_dir))
+
+
+#: Memories shown to a context.
+SHOWN = 5
 
-    Five memories an hour can be among the five of a later hour, so a query meets those and the memories of its own hour.
+
+def _stream(slots: DataFrame, carry: bool) -> DataFrame:
+    """(context_id, h, memory_id, m): the best memories before each asking row of a stream in order of (h, t, kind).
+
+    `slots` has h, t, kind (0 memory, 1 asking), memory_id, m (frequency) and context_id, sorted within partitions. The
+    state is the best so far, kept from hour to hour only with `carry`.
+    """
+
+    def run(batches):
+        best, hour = [], None
+        for pdf in batches:
+            out = []
+            for h, kind, memory_id, m, context_id in zip(*(pdf[c].tolist() for c in ("h", "kind", "memory_id", "m", "context_id"))):
+                if h != hour:
+                    best, hour = best if carry else [], h
+                if kind:
+                    out += [(context_id, h, i, -f) for f, i in best]
+                elif len(best) < SHOWN or (-m, memory_id) < best[-1]:
+                    best = sorted([*best, (-m, memory_id)])[:SHOWN]
+            yield pd.DataFrame(out, columns=["context_id", "h", "memory_id", "m"])
+
+    return slots.mapInPandas(run, "context_id long, h long, memory_id string, m long")
+
+
+def shown_to(contexts: DataFrame, m: DataFrame) -> DataFrame:
+    """(memory_id, shown, last_context) where each context is shown the memories of the highest frequency stored before it.
+
+    A stream over one row an hour and its best memories finds the best of the hours before; a second one, sorted by time
+    within the hours of contexts, starts from these. A task holds the best so far and no pair is ever built.
     """
-    hour = lambda c: F.floor(F.col(c) / 3600)
-    q = table(spark, sf_dir, "contexts").where("context_id % 20 = 0").select("context_id", (F.unix_micros("created_at") / 1e6).alias("at")).withColumn("qh", hour("at"))
-    m = memories(spark, sf_dir).where("created_ts IS NOT NULL").select("memory_id", "frequency", "created_ts", hour("created_ts").alias("h"))
-    best = Window.partitionBy("h").orderBy(F.desc("frequency"), "memory_id")
-    five = m.withColumn("rn", F.row_number().over(best)).where("rn <= 5").drop("rn")
-    earlier = five.join(q, F.col("h") < F.col("qh"))
-    same = m.join(q, F.col("h") == F.col("qh")).where("created_ts <= at")
-    w = Window.partitionBy("context_id").orderBy(F.desc("frequency"), "memory_id")
-    shown = earlier.unionByName(same).withColumn("rn", F.row_number().over(w)).where("rn <= 5")
+    none = F.lit(None)
+    asked = contexts.where("created_at IS NOT NULL").select("context_id", (F.unix_micros("created_at") / 1e6).alias("t"), F.lit(1).alias("kind"), none.cast("string").alias("memory_id"), F.lit(0).cast("long").alias("m"))
+    asked = asked.withColumn("h", _hour("t"))
+    # a missing frequency comes last
+    stored = m.where("created_ts IS NOT NULL").select(F.lit(0).cast("long").alias("context_id"), F.col("created_ts").alias("t"), F.lit(0).alias("kind"), "memory_id", F.coalesce("frequency", F.lit(-(1 << 62))).alias("m"))
+    stored = stored.withColumn("h", _hour("t"))
+    hours = asked.select("h").distinct()
+    best = Window.partitionBy("h").orderBy(F.desc("m"), "memory_id")
+    five = stored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= SHOWN).drop("rn")
+    # asking rows come first in their hour, so they see the hours before only
+    asks = hours.select(F.lit(0).cast("long").alias("context_id"), F.lit(float("-inf")).alias("t"), F.lit(1).alias("kind"), none.cast("string").alias("memory_id"), F.lit(0).cast("long").alias("m"), "h")
+    before = _stream(five.unionByName(asks).repartition(1).sortWithinPartitions("h", "t", "kind"), True)
+    before = before.withColumns({"t": F.lit(float("-inf")), "kind": F.lit(0)})
+    slots = before.unionByName(stored.join(hours, "h", "left_semi")).unionByName(asked)
+    shown = _stream(slots.repartition("h").sortWithinPartitions("h", "t", "kind"), False)
     return shown.groupBy("memory_id").agg(F.count("*").alias("shown"), F.max("context_id").alias("last_context"))
+
+
+@add("open_loop_feedback_all", registry.sql["open_loop_feedback"].replace(" WHERE context_id % 20 = 0", ""))
+def open_loop_feedback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each memory is among the five shown, when what is shown depends only on what was stored before."""
+    return shown_to(table(spark, sf_dir, "contexts"), memories(spark, sf_dir))
