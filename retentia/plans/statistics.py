@@ -340,6 +340,40 @@ def top10_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _auroc_of_grid(spark, sf_dir).orderBy(F.desc("auc"), "wr", "wf", "wu", "wp").limit(10)
 
 
+WHOLE_GRID = registry.sql["auroc_grid"].replace(" AND wr IN (0e0, 0.3e0, 0.6e0)", "")
+
+
+def _auroc_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(wr, wf, wu, wp, auc) of all 286 weightings, auc not rounded."""
+    grid = [tuple(g) for g in simplex(spark).select("wr", "wf", "wu", "wp").collect()]
+    m = scored(spark, sf_dir).select("r", "f", "u", "p", (F.col("frequency") >= 2).alias("y"))
+    return stats.auroc_of_weights(m, ["r", "f", "u", "p"], "y", ["wr", "wf", "wu", "wp"], [(g, g) for g in grid]).drop("n_pos", "n_neg")
+
+
+@add("auroc_grid_all", WHOLE_GRID)
+def auroc_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC of every weighting of the grid."""
+    return _auroc_of_all(spark, sf_dir).withColumn("auc", F.round("auc", 6))
+
+
+def best_config(t: DataFrame) -> DataFrame:
+    """The weighting of the highest AUROC before rounding; within 1e-12 the one closest to the default, then in order."""
+    l1 = F.round(F.abs(F.col("wr") - 0.3) + F.abs(F.col("wf") - 0.2) + F.abs(F.col("wu") - 0.3) + F.abs(F.col("wp") - 0.2), 9)
+    rows = t.withColumn("best", F.max("auc").over(Window.partitionBy())).where(F.col("auc") > F.col("best") - 1e-12)
+    return rows.orderBy(l1, "wr", "wf", "wu", "wp").limit(1).select("wr", "wf", "wu", "wp", F.round("auc", 6).alias("auc"))
+
+
+@add("select_config_all")
+def select_config_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all weightings."""
+    return best_config(_auroc_of_all(spark, sf_dir))
+
+
+@add("top10_configs_all", f"SELECT * FROM ({WHOLE_GRID}) ORDER BY auc DESC, wr, wf, wu, wp LIMIT 10")
+def top10_configs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auroc_grid_all(spark, sf_dir).orderBy(F.desc("auc"), "wr", "wf", "wu", "wp").limit(10)
+
+
 @add(
     "delong_auc",
     f"""WITH {COMP}, x AS (SELECT u AS v, frequency >= 2 AS y FROM scored), t AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS tz, rank() OVER (PARTITION BY y ORDER BY v) + (count(*) OVER (PARTITION BY y, v) - 1) / 2e0 AS tc FROM x),

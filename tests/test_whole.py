@@ -7,8 +7,8 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.operators import vector
-from retentia.plans import eviction
+from retentia.operators import stats, vector
+from retentia.plans import eviction, statistics
 
 SF = f"{oracle.DATA}/sf0.01"
 
@@ -54,3 +54,32 @@ def test_pairs_within_equals_brute_force(spark, monkeypatch, block):
     want = {(a, b): unit[a] @ unit[b] for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and unit[a] @ unit[b] >= 0.4}
     assert {(r["a"], r["b"]): r["cos"] for r in got.collect()} == pytest.approx(want, abs=1e-6)
     assert any(a % 20 for a, _ in want)
+
+
+@pytest.mark.parametrize("rows", [16, 1 << 20])
+def test_auroc_of_weights_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(stats, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((90, 2)) * 1.5 - 0.3, 1)  # ties, and sums outside 0 to 1
+    y = rng.random(90) < 0.4
+    df = spark.createDataFrame([(*map(float, v), bool(b)) for v, b in zip(x, y)] + [(0.5, 0.5, None)], "a double, b double, y boolean")
+    configs = [((i / 30,), (i / 30, 1 - i / 30)) for i in range(31)]
+    got = {r["w"]: (r["auc"], r["n_pos"], r["n_neg"]) for r in stats.auroc_of_weights(df, ["a", "b"], "y", ["w"], configs).collect()}
+    assert len(got) == 31
+    for (w,), (p, q) in configs:
+        v = np.round(p * x[:, 0] + q * x[:, 1], 6)
+        d = v[y][:, None] - v[~y][None, :]
+        assert got[w] == (pytest.approx(((d > 0) + (d == 0) / 2).mean(), abs=1e-12), y.sum(), (~y).sum())
+
+
+def test_all_weightings_are_scored_and_the_best_is_chosen(spark):
+    got = {tuple(r)[:4]: r["auc"] for r in statistics.auroc_grid_all(spark, SF).collect()}
+    assert len(got) == 286 and (1.0, 0.0, 0.0, 0.0) in got
+    best = statistics.select_config_all(spark, SF).first()
+    assert best["auc"] == max(got.values())
+
+
+def test_best_config_outside_the_planes_and_ties(spark):
+    rows = [(0.3, 0.2, 0.3, 0.2, 0.8), (1.0, 0.0, 0.0, 0.0, 0.9), (0.0, 1.0, 0.0, 0.0, 0.9), (0.4, 0.1, 0.3, 0.2, 0.9 - 1e-9)]
+    t = spark.createDataFrame(rows, "wr double, wf double, wu double, wp double, auc double")
+    assert tuple(statistics.best_config(t).first()) == (1.0, 0.0, 0.0, 0.0, 0.9)
