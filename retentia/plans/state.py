@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,28 +126,39 @@ def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(done, "key", "left_anti").groupBy("key").agg(F.count("*").alias("asked"))
 
 
+#: Limits of a batch.
+MAX_REQUESTS, MAX_TOKENS = 50, 8000
+
+
 @add("pack_batches")
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each batch file packed in line order under 50 requests and 8,000 tokens a batch.
 
-    Order matters, so each file is one fold; its lines carry only numbers.
+    Order matters, so each file is one fold, a stream of its sorted lines that holds the open batch's counters only; its
+    lines carry only numbers.
     """
     tokens = (F.length(F.coalesce("body", F.lit(""))) / 3).cast("long") + 4
-    lines = table(spark, sf_dir, "collected_requests").select("batch_id", "line_no", tokens.alias("tokens"))
-    w = Window.partitionBy("batch_id").orderBy("line_no", "tokens")
-    blocks = lines.withColumn("nth", F.row_number().over(w) - 1).withColumn("block", F.floor(F.col("nth") / 2000))
-    folded = blocks.groupBy("batch_id", "block").agg(F.array_sort(F.collect_list(F.struct("nth", "line_no", "tokens"))).alias("rows"))
-    zero = F.expr("named_struct('batch', 0L, 'n', 0L, 'used', 0L, 'out', array())").cast("struct<batch:bigint,n:bigint,used:bigint,out:array<struct<line_no:int,part:bigint>>>")
-
-    def step(s, x):
-        full = (s["n"] >= 50) | ((s["used"] + x["tokens"] > 8000) & (s["n"] > 0))
-        batch = s["batch"] + F.when(full, 1).otherwise(0)
-        n, used = F.when(full, F.lit(0)).otherwise(s["n"]) + 1, F.when(full, F.lit(0)).otherwise(s["used"]) + x["tokens"]
-        out = F.concat(s["out"], F.array(F.struct(x["line_no"].alias("line_no"), batch.cast("bigint").alias("part"))))
-        return F.struct(batch.cast("bigint").alias("batch"), n.cast("bigint").alias("n"), used.cast("bigint").alias("used"), out.alias("out"))
-
-    packed = folded.select("batch_id", "block", F.explode(F.aggregate("rows", zero, step)["out"]).alias("o"))
-    return packed.select("batch_id", "block", "o.line_no", "o.part")
+    return packed(table(spark, sf_dir, "collected_requests").select("batch_id", "line_no", tokens.alias("tokens")))
+
+
+def packed(lines: DataFrame) -> DataFrame:
+    """(batch_id, line_no, part) of lines (batch_id, line_no, tokens): part is the batch within the file, from 0."""
+    kind = lines.schema["line_no"].dataType.simpleString()
+
+    def run(batches):
+        file, part, n, used = run, 0, 0, 0  # no file is called `run`
+        for batch in batches:
+            parts = []
+            for name, t in zip(batch.column("batch_id").to_pylist(), batch.column("tokens").to_pylist()):
+                if name != file:
+                    file, part, n, used = name, 0, 0, 0
+                elif n and (n >= MAX_REQUESTS or used + t > MAX_TOKENS):
+                    part, n, used = part + 1, 0, 0
+                n, used = n + 1, used + t
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column("batch_id"), batch.column("line_no"), pa.array(parts, pa.int64())], ["batch_id", "line_no", "part"])
+
+    return lines.repartition("batch_id").sortWithinPartitions("batch_id", "line_no", "tokens").mapInArrow(run, f"batch_id string, line_no {kind}, part long")
 
 
 @add(

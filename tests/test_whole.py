@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retentia.operators import stats, vector
-from retentia.plans import eviction, statistics
+from retentia.plans import eviction, state, statistics
 
 SF = f"{oracle.DATA}/sf0.01"
 
@@ -83,3 +83,19 @@ def test_best_config_outside_the_planes_and_ties(spark):
     rows = [(0.3, 0.2, 0.3, 0.2, 0.8), (1.0, 0.0, 0.0, 0.0, 0.9), (0.0, 1.0, 0.0, 0.0, 0.9), (0.4, 0.1, 0.3, 0.2, 0.9 - 1e-9)]
     t = spark.createDataFrame(rows, "wr double, wf double, wu double, wp double, auc double")
     assert tuple(statistics.best_config(t).first()) == (1.0, 0.0, 0.0, 0.0, 0.9)
+
+
+def test_files_are_packed_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    files = {"long": rng.integers(4, 900, 4500).tolist(), "short": [100] * 120, "large": [9000, 9000, 5], None: [4, 4]}
+    rows = [(name, i, int(t)) for name, ts in files.items() for i, t in enumerate(ts)]
+    want = {}
+    for name, ts in files.items():
+        part, batch = 0, []
+        for i, t in enumerate(ts):
+            if batch and (len(batch) >= 50 or sum(batch) + t > 8000):
+                part, batch = part + 1, []
+            batch.append(t)
+            want[name, i] = part
+    got = state.packed(spark.createDataFrame(rows, "batch_id string, line_no int, tokens long").repartition(7))
+    assert {(r["batch_id"], r["line_no"]): r["part"] for r in got.collect()} == want
