@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,14 +76,15 @@ def bootstrap_means(df: DataFrame, item: str, value: str, replicates: int, seed:
 BLOCK_WEIGHTS, BLOCK_ROWS = 11, 1 << 20
 
 
-def auroc_of_weights(df: DataFrame, values: list[str], label: str, names: list[str], configs: list[tuple[tuple, tuple]]) -> DataFrame:
-    """(names, auc, n_pos, n_neg): AUROC of each configuration's weighted sum of `values` at six decimals; auc isn't rounded.
+def auroc_of_weights(df: DataFrame, values: list[str], label: str, names: list[str], configs: list[tuple[tuple, tuple]], block: int = BLOCK_WEIGHTS, clip: bool = False) -> DataFrame:
+    """(names, auc, n_pos, n_neg): AUROC of each configuration's weighted sum of `values` at six decimals, with `clip`
+    bounded by 0 and 1; auc isn't rounded.
 
     A configuration is (what `names` say of it, its weights). Rows carry only numbers and go to one task a block of
     configurations, which streams them and holds counts of different sums: at most about 2,000,002 a configuration where
     sums are between 0 and 1, however many rows there are.
     """
-    blocks = [configs[i : i + BLOCK_WEIGHTS] for i in range(0, len(configs), BLOCK_WEIGHTS)]
+    blocks = [configs[i : i + block] for i in range(0, len(configs), block)]
     x = df.where(F.col(label).isNotNull()).select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(values)), F.col(label).alias("y"))
     x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
     schema = ", ".join([*(f"{n} double" for n in names), "auc double, n_pos long, n_neg long"])
@@ -98,7 +100,7 @@ def auroc_of_weights(df: DataFrame, values: list[str], label: str, names: list[s
             nonlocal held, n_held
             if held:
                 cols, y = [np.concatenate(c) for c in zip(*(h[0] for h in held))], np.concatenate([h[1] for h in held])
-                counted[:] = [_merge(one, _codes(cols, y, w)) for one, (_, w) in zip(counted, blocks[now])]
+                counted[:] = [_merge(one, _codes(cols, y, w, clip)) for one, (_, w) in zip(counted, blocks[now])]
                 held, n_held = [], 0
 
         for batch in batches:
@@ -126,14 +128,20 @@ def auroc_of_weights(df: DataFrame, values: list[str], label: str, names: list[s
     return x.repartition(len(blocks), "block").sortWithinPartitions("block").mapInArrow(scan, schema)
 
 
-def _codes(cols: list, y: np.ndarray, weights: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Different (2 x sum in millionths + label), ascending, and how often each occurs; NaN is the largest sum."""
+def millionths(cols: list, weights: tuple, clip: bool) -> np.ndarray:
+    """Weighted sum of columns, from left to right, in whole millionths; NaN is the largest."""
     v = weights[0] * cols[0]
     for w, c in zip(weights[1:], cols[1:]):
         v = v + w * c
-    v = np.abs(v) * 1e6 + 0.5, np.sign(v)
-    k = np.clip(np.nan_to_num(np.floor(v[0]) * v[1], nan=1e15), -1e15, 1e15).astype(np.int64)
-    return np.unique(2 * k + y, return_counts=True)
+    if clip:
+        v = np.clip(v, 0.0, 1.0)
+    k = np.floor(np.abs(v) * 1e6 + 0.5) * np.sign(v)
+    return np.clip(np.nan_to_num(k, nan=1e15), -1e15, 1e15).astype(np.int64)
+
+
+def _codes(cols: list, y: np.ndarray, weights: tuple, clip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Different (2 x sum in millionths + label), ascending, and how often each occurs."""
+    return np.unique(2 * millionths(cols, weights, clip) + y, return_counts=True)
 
 
 def _merge(a: tuple, b: tuple) -> tuple:
@@ -151,3 +159,55 @@ def _auc(code: np.ndarray, n: np.ndarray) -> tuple:
     n_pos, n_neg = int(n[pos].sum()), int(neg.sum())
     u = float((n * (np.cumsum(neg) - equal / 2))[pos].sum())
     return (u / (n_pos * n_neg) if n_pos and n_neg else None, n_pos, n_neg)
+
+
+def harm_of_weights(df: DataFrame, group: str, tie: str, values: list[str], needed: str, names: list[str], configs: list[tuple[tuple, tuple]], keep: float) -> DataFrame:
+    """(names, harm): mean share of a group's needed rows that keeping its ceil(keep x n) best rows loses, by configuration.
+
+    Sums are at six decimals and bounded by 0 and 1, ties in order of `tie`; groups without a needed row don't count. A
+    group's numbers are held in one task; a task sends one partial sum a configuration.
+    """
+    x = df.select(F.col(group).alias("g"), F.col(tie).alias("tie"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(values)), F.col(needed).alias("y"))
+    weights = [np.array(c)[:, None] for c in zip(*(w for _, w in configs))]
+    cells = 1 << 22
+
+    def lost(cols: list, y: np.ndarray) -> np.ndarray:
+        n, out = len(y), []
+        kept, order = max(1, math.ceil(keep * n)), np.arange(n)
+        step = max(1, cells // n)
+        for i in range(0, len(configs), step):
+            key = millionths([c[None, :] for c in cols], [w[i : i + step] for w in weights], True) * n - order
+            bar = np.partition(key, n - kept, axis=1)[:, n - kept, None]
+            out.append(((key < bar) & y[None, :]).sum(axis=1))
+        return np.concatenate(out) / y.sum()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, groups, now, held = np.zeros(len(configs)), 0, scan, []  # no group is called `scan`
+
+        def close() -> None:
+            nonlocal total, groups, held
+            if held:
+                cols, y = [np.concatenate(c) for c in zip(*(h[0] for h in held))], np.concatenate([h[1] for h in held])
+                if y.any():
+                    total, groups = total + lost(cols, y), groups + 1
+                held = []
+
+        for batch in batches:
+            g = batch.column("g").to_pylist()
+            cols = [batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(len(values))]
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [0, *(i for i in range(1, len(g)) if g[i] != g[i - 1]), len(g)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if g[a] != now:
+                    close()
+                    now = g[a]
+                held.append(([c[a:b] for c in cols], y[a:b]))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(configs)), pa.int32()), pa.array(total), pa.array([groups] * len(configs), pa.int64())], ["nth", "total", "groups"])
+
+    parts = x.repartition("g").sortWithinPartitions("g", "tie").mapInArrow(scan, "nth int, total double, groups long")
+    sums = parts.groupBy("nth").agg((F.sum("total") / F.sum("groups")).alias("harm"))
+    said = df.sparkSession.createDataFrame([(i, *map(float, s)) for i, (s, _) in enumerate(configs)], ", ".join(["nth int", *(f"{n} double" for n in names)]))
+    return sums.join(F.broadcast(said), "nth").select(*names, "harm")

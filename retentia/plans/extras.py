@@ -100,6 +100,30 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.auroc(x.select("w.*", v.alias("v"), "needed"), "v", "needed", ["wr", "wf", "wu", "wp"]).drop("n_pos", "n_neg")
 
 
+#: Decay rates an hour of the reference's grid, and the share of a dialogue's facts that is kept.
+LAMBDAS, KEEP = (0.0005, 0.001, 0.005, 0.01, 0.05), 0.5
+
+
+@add("tune_grid_all")
+def tune_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC of restatement and harmful deletion at half the facts kept, for every weighting and every decay rate."""
+    n = F.coalesce("mentions", F.lit(0)).cast("double")
+    c = facts(spark, sf_dir).where("sessions IS NOT NULL").select(
+        "dialogue", F.md5(F.concat(F.lit("evict:"), F.col("cluster_id"))).alias("tie"), *(S.recency(F.col("recency_ts"), F.col("t_end"), d).alias(f"r{i}") for i, d in enumerate(LAMBDAS)),
+        S.frequency(n).alias("f"), ((F.size("sessions") + 1.0) / (n + 2.0)).alias("u"), F.lit(0.5).alias("p"), (F.size(F.filter("sessions", lambda x: x > F.col("created_session"))) > 0).alias("needed"),
+    )
+    names = ["lambda", "wr", "wf", "wu", "wp"]
+    grid = [tuple(g) for g in simplex(spark).select("wr", "wf", "wu", "wp").collect()]
+    auc = None
+    for i, d in enumerate(LAMBDAS):
+        one = stats.auroc_of_weights(c, [f"r{i}", "f", "u", "p"], "needed", names, [((d, *g), g) for g in grid], 22, True)
+        auc = one if auc is None else auc.unionByName(one)
+    # zeros for the recencies of other rates
+    wide = [((d, *g), (*(g[0] if i == j else 0.0 for j in range(len(LAMBDAS))), *g[1:])) for i, d in enumerate(LAMBDAS) for g in grid]
+    harm = stats.harm_of_weights(c, "dialogue", "tie", [*(f"r{i}" for i in range(len(LAMBDAS))), "f", "u", "p"], "needed", names, wide, KEEP)
+    return auc.join(harm, names).select(*names, F.round("auc", 6).alias("auc"), F.round("harm", 6).alias("harm"))
+
+
 def _uniform(*keys) -> object:
     """A number in (0, 1) from a hash of the keys; the same wherever the row is computed."""
     return (F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)

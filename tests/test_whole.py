@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retentia.operators import stats, vector
-from retentia.plans import eviction, state, statistics
+from retentia.plans import eviction, extras, state, statistics
 
 SF = f"{oracle.DATA}/sf0.01"
 
@@ -99,3 +99,24 @@ def test_files_are_packed_in_one_pass(spark):
             want[name, i] = part
     got = state.packed(spark.createDataFrame(rows, "batch_id string, line_no int, tokens long").repartition(7))
     assert {(r["batch_id"], r["line_no"]): r["part"] for r in got.collect()} == want
+
+
+def test_every_weighting_and_rate_is_tuned(spark):
+    """Equals the AUROC and the deletion of plain loops over all facts."""
+    f = extras.facts(spark, SF).where("sessions IS NOT NULL").withColumn("tie", F.md5(F.concat(F.lit("evict:"), F.col("cluster_id")))).toPandas().sort_values("tie")
+    got = {tuple(r)[:5]: (r["auc"], r["harm"]) for r in extras.tune_grid_all(spark, SF).collect()}
+    assert len(got) == 1430
+    mentions = f.mentions.fillna(0).to_numpy(float)
+    y = np.array([any(x > c for x in s) for s, c in zip(f.sessions, f.created_session)])
+    u = (np.array([len(s) for s in f.sessions]) + 1.0) / (mentions + 2.0)
+    for lam, wr, wf, wu, wp in [(0.0005, 1.0, 0.0, 0.0, 0.0), (0.005, 0.3, 0.2, 0.3, 0.2), (0.05, 0.4, 0.1, 0.1, 0.4), (0.01, 0.0, 0.0, 0.0, 1.0)]:
+        r = np.exp(-lam * np.maximum((f.t_end - f.recency_ts).fillna(0.0), 0.0) / 3600.0).to_numpy()  # a missing time counts as now
+        v = np.round(np.clip(wr * r + wf * np.minimum(np.log1p(mentions) / np.log(51.0), 1.0) + wu * u + wp * 0.5, 0.0, 1.0), 6)
+        d = v[y][:, None] - v[~y][None, :]
+        harms = []
+        for _, ix in f.reset_index(drop=True).groupby("dialogue", dropna=False).groups.items():
+            ix = np.array(ix)
+            if y[ix].any():
+                gone = ix[np.argsort(-v[ix], kind="stable")][max(1, int(np.ceil(0.5 * len(ix)))) :]
+                harms.append(y[gone].sum() / y[ix].sum())
+        assert got[lam, wr, wf, wu, wp] == pytest.approx((((d > 0) + (d == 0) / 2).mean(), np.mean(harms)), abs=2e-6)
