@@ -5,8 +5,11 @@ An external model takes the place of a default by a function of the same shape;
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,23 +17,38 @@ from pyspark.sql import functions as F
 from retentia.operators.lexical import words
 
 
-def hashing_vector(text: Column, dim: int = 64) -> Column:
-    """Signed feature hashing of a text's words, not normalised: array<double> of `dim` values, zeros without words."""
-    hashed = F.transform(words(text), lambda w: F.crc32(w))
-    zero = F.array_repeat(F.lit(0.0), dim)
+_WORD = re.compile("[a-z0-9]+")
 
-    def add(vector: Column, h: Column) -> Column:
-        at = F.pmod(h, F.lit(dim))
-        sign = F.when(F.pmod(F.floor(h / dim), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.transform(vector, lambda x, i: F.when(i == at, x + sign).otherwise(x))
 
-    return F.aggregate(hashed, zero, add)
+def hashed_text(text: str | None, numbers: dict[str, int], dim: int) -> np.ndarray:
+    """Signed feature hashing of a text's words; `numbers` keeps what words hash to."""
+    at = []
+    for w in _WORD.findall((text or "").lower()):
+        h = numbers.get(w)
+        if h is None:
+            h = numbers[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big")
+        at.append(h)
+    h = np.array(at, dtype=np.int64)
+    return np.bincount(h % dim, weights=1.0 - 2.0 * (h // dim % 2), minlength=dim) if len(h) else np.zeros(dim)
 
 
-def unit(vector: Column) -> Column:
-    """The vector scaled to length 1; all zeros stay."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+def hashing_vector(text: Column, dim: int = 64, unit: bool = False) -> Column:
+    """The offline encoder: array<double> of `dim` values, zeros without words, scaled to length 1 with `unit`."""
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers: dict[str, int] = {}
+        for batch in batches:
+            if len(numbers) > 1 << 20:
+                numbers.clear()
+            out = []
+            for body in batch:
+                v = hashed_text(body, numbers, dim)
+                norm = float(np.sqrt(v @ v))
+                out.append(v / norm if unit and norm > 0 else v)
+            yield pd.Series(out, index=batch.index, dtype=object)
+
+    return encode(text)
 
 
 def lexical_verdict(answer: Column, truth: Column, threshold: float = 0.5) -> Column:

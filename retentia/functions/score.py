@@ -63,10 +63,18 @@ def leave_one_out(weights: Mapping[str, float]) -> dict[str, dict[str, float]]:
     return out
 
 
-def grace(created: Column, last: Column, tags: Column, now: float, hours: float, override: str) -> Column:
-    """Whether a memory is too young to be touched; the `override` tag lifts the grace."""
-    young = (F.lit(now) - created < hours * 3600.0) | (F.lit(now) - last < hours * 3600.0)
-    return young & ~F.coalesce(F.array_contains(tags, override), F.lit(False))
+#: Tag of memories that are compressed first, whatever their age and score (fixed value).
+QUEUE_TAG = "system:high_priority_distillation"
+
+
+def queued(tags: Column) -> Column:
+    """Whether a memory waits in the distillation queue."""
+    return F.coalesce(F.array_contains(tags, QUEUE_TAG), F.lit(False))
+
+
+def grace(created: Column, last: Column, now: float, hours: float) -> Column:
+    """Whether a memory is too young to be touched."""
+    return (F.lit(now) - created < hours * 3600.0) | (F.lit(now) - last < hours * 3600.0)
 
 
 def time_to_threshold(rest: Column, weight: float, bound: float, decay: float = DECAY) -> Column:

@@ -1,9 +1,13 @@
-"""Lexical search with BM25."""
+"""Lexical search: BM25 and substrings."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -13,24 +17,78 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
+#: Different query words that may be broadcast; more are joined by shuffling, with the same result.
+BROADCAST_WORDS = 1 << 20
+
+
 def bm25(documents: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query by Okapi BM25, score at six decimals, ties by doc.
 
-    Postings are pre-aggregated to (word, doc) counts. Document frequencies and the floor of negative idf come from all
-    documents; only postings of query words are joined. A word that a query repeats counts as often. Documents that
+    Document frequencies and the floor of negative idf come from all documents, as one count a task and word; postings
+    of other words than the queries' never leave their task. A word that a query repeats counts as often. Documents that
     share no word score 0 and stay out.
     """
     tokens = documents.select(F.col(doc).alias("d"), words(F.col(text)).alias("w")).where("d IS NOT NULL")
-    size = tokens.select("d", F.size("w").alias("n"))
-    stats = size.agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"))
-    postings = tokens.select("d", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy("word", "d", "n").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("word").agg(F.count("*").alias("df"))
+    stats = tokens.agg(F.count("*").alias("N"), F.avg(F.size("w")).alias("avgdl"))
+    df = tokens.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = idf.agg((F.lit(EPSILON) * F.avg("idf")).alias("low"))
     wanted = queries.select(F.col(query).alias("q"), F.explode(words(F.col(query_text))).alias("word")).groupBy("q", "word").agg(F.count("*").alias("times"))
+    asked = wanted.select("word").distinct()
+    if asked.count() <= BROADCAST_WORDS:
+        asked = F.broadcast(asked)
+    postings = tokens.select("d", F.size("w").alias("n"), F.explode("w").alias("word")).join(asked, "word", "left_semi")
+    postings = postings.groupBy("word", "d", "n").agg(F.count("*").alias("tf"))
     terms = wanted.join(idf, "word").crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
     scores = postings.join(terms.select("q", "word", "times", "idf", "avgdl"), "word").groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
+
+
+#: Patterns that one pass over the texts looks for.
+BLOCK_PATTERNS = 20_000
+
+
+def contains_any(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, pattern: str) -> DataFrame:
+    """(item, doc) of every text that holds an item's pattern as a substring, each pair once.
+
+    A multi-pattern automaton over blocks of patterns; each block is one pass and no text leaves its task. Null or empty
+    patterns and null texts give no row.
+    """
+    wanted = items.where(F.length(pattern) > 0).select(F.col(item).alias("item"), F.col(pattern).alias("pattern")).distinct()
+    blocks = max(1, -(-wanted.count() // BLOCK_PATTERNS))
+    slim = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("item", wanted.schema["item"].dataType), T.StructField("doc", slim.schema["doc"].dataType)])
+    found = None
+    for block in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("item", "pattern"), F.lit(blocks)) == block).toArrow()
+        one = slim.mapInArrow(_matcher(rows), schema)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct().select(F.col("item").alias(item), F.col("doc").alias(doc))
+
+
+def _matcher(rows: pa.Table):
+    items = rows["item"].combine_chunks()
+    of: dict[str, list[int]] = {}
+    for i, p in enumerate(rows["pattern"].to_pylist()):
+        of.setdefault(p, []).append(i)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for p, own in of.items():
+            machine.add_word(p, own)
+        machine.make_automaton()
+        for batch in batches:
+            at, which = [], []
+            for row, body in enumerate(batch.column("text").to_pylist()):
+                hit = {i for _, own in machine.iter(body) for i in own} if of else ()
+                at.extend([row] * len(hit))
+                which.extend(hit)
+            if at:
+                yield pa.RecordBatch.from_arrays([items.take(pa.array(which)), batch.column("doc").take(pa.array(at))], ["item", "doc"])
+
+    return match

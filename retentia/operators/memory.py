@@ -12,8 +12,15 @@ DEFAULTS = {"success_count": 0, "failure_count": 0, "utility": 0.0, "frequency":
 
 
 def current(points: DataFrame) -> DataFrame:
-    """One row per memory_id, that of the highest version and then the latest arrival; null ids are left out."""
-    w = Window.partitionBy("memory_id").orderBy(F.col("version").desc_nulls_last(), F.col("ingested_at").desc_nulls_last())
+    """One row per memory_id, that of the highest version and then the latest arrival; null ids are left out.
+
+    Rows equal in both are told apart by their counters and the hash of their text, so that no run differs from another.
+    """
+    ties = [c for c in ("frequency", "success_count", "failure_count", "recency_ts") if c in points.columns]
+    order = [F.col(c).desc_nulls_last() for c in ("version", "ingested_at", *ties)]
+    if "text_content" in points.columns:
+        order.append(F.md5("text_content").desc_nulls_last())
+    w = Window.partitionBy("memory_id").orderBy(*order)
     kept = points.where(F.col("memory_id").isNotNull()).withColumn("__nth", F.row_number().over(w))
     return kept.where("__nth = 1").drop("__nth")
 

@@ -47,6 +47,44 @@ def knn(queries: DataFrame, qid: str, qvec: str, memories: DataFrame, mid: str,
     return ranked.select(F.col("q").alias(qid), F.col("m").alias(mid), "sim", "sim_rank")
 
 
+def nearer(queries: DataFrame, qid: str, qvec: str, bar: str, memories: DataFrame, mvec: str, dim: int = 64) -> DataFrame:
+    """(qid, n): how many memories have a cosine, at six decimals, above each query's `bar`; a task gives one count a query."""
+    wanted = queries.where(F.size(qvec) == dim).select(F.col(qid).alias("q"), F.col(qvec).cast("array<double>").alias("v"), F.col(bar).alias("bar"))
+    n_blocks = max(1, -(-wanted.count() // BLOCK_QUERIES))
+    slim = memories.where(F.size(mvec) == dim).select(F.col(mvec).cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("q", wanted.schema["q"].dataType), T.StructField("n", T.LongType())])
+    found = None
+    for block in range(n_blocks):
+        part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block).toArrow()
+        one = slim.mapInArrow(_counter(part["q"].combine_chunks(), _matrix(part["v"], dim), part["bar"].to_numpy(), dim), schema)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("q").agg(F.sum("n").alias("n")).select(F.col("q").alias(qid), "n")
+
+
+def _counter(ids: pa.Array, q: np.ndarray, bar: np.ndarray, dim: int):
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    norms = np.linalg.norm(q, axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(q), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows and len(q):
+                n += (_cosines(q, norms, _matrix(batch.column("v"), dim)) > bar[:, None]).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n)], ["q", "n"])
+
+    return count
+
+
+def _cosines(q: np.ndarray, norms: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines at six decimals, 0 where a vector is all zero."""
+    scale = norms[:, None] * np.linalg.norm(x, axis=1)[None, :]
+    return six(np.divide(q @ x.T, scale, out=np.zeros_like(scale), where=scale > 0))
+
+
+def six(s: np.ndarray) -> np.ndarray:
+    return np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s)
+
+
 #: Vectors of a block of `pairs_within`.
 BLOCK_PAIRS = 2048
 

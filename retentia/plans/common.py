@@ -12,7 +12,8 @@ from retentia.sources.tables import table
 NOW, FETCH_K, QUERY_EVERY = 1710028800.0, 15, 20
 
 MEM = """mem AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY version DESC NULLS LAST,
-  ingested_at DESC NULLS LAST) AS rn FROM memory_points WHERE memory_id IS NOT NULL) WHERE rn = 1)"""
+  ingested_at DESC NULLS LAST, frequency DESC NULLS LAST, success_count DESC NULLS LAST, failure_count DESC NULLS LAST, recency_ts DESC NULLS LAST,
+  md5(text_content) DESC NULLS LAST) AS rn FROM memory_points WHERE memory_id IS NOT NULL) WHERE rn = 1)"""
 COMP = f"""{MEM}, comp AS (SELECT *, exp(-0.005e0 * greatest({NOW}e0 - coalesce(recency_ts, created_ts, 0e0), 0e0) / 3600e0) AS r,
   least(ln(1e0 + coalesce(frequency, 0)) / ln(51e0), 1e0) AS f,
   (coalesce(success_count, 0) + 1e0) / (coalesce(success_count, 0) + coalesce(failure_count, 0) + 2e0) AS u, coalesce(predictive, 0.5e0) AS p FROM mem),
@@ -61,3 +62,12 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+TOPIC_SQL = "coalesce(list_filter(list_transform(tags, lambda t: CASE WHEN starts_with(t, 'topic:') THEN substr(t, 7) END), lambda t: t IS NOT NULL)[1], 'unknown')"
+
+
+def topic():
+    """What the first topic tag names, else unknown."""
+    named = F.filter("tags", lambda t: t.startswith("topic:"))
+    return F.coalesce(F.substring(F.try_element_at(named, F.lit(1)), 7, 1000), F.lit("unknown"))

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retentia.functions import providers
 from retentia.operators import rank, vector
+from retentia.operators.lexical import contains_any, words
 from retentia.plans.common import COMP, MEM, NOW, memories, scored
 from retentia.plans.registry import Registry
 from retentia.plans.scoring import _FACT, facts
@@ -144,9 +146,10 @@ def needed_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dialogue, speaker, cluster_id, word, n, size) of canonical facts."""
-    f = facts(spark, sf_dir).select("dialogue", "speaker", "cluster_id", F.regexp_extract_all(F.lower("canonical"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
-    return f.select("dialogue", "speaker", "cluster_id", F.size("w").alias("size"), F.explode("w").alias("word")).groupBy("dialogue", "speaker", "cluster_id", "size", "word").agg(F.count("*").alias("n"))
+    """(dialogue, speaker, cluster_id, size, bag): canonical facts with each different word and how often it occurs."""
+    f = facts(spark, sf_dir).select("dialogue", "speaker", "cluster_id", words(F.col("canonical")).alias("w")).where(F.size("w") > 0)
+    bag = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("n")))
+    return f.select("dialogue", "speaker", "cluster_id", F.size("w").alias("size"), bag.alias("bag"))
 
 
 _WORDS = f"""{_FACT}, fw AS (SELECT dialogue, speaker, cluster_id, size, word, count(*) AS n FROM (SELECT dialogue, speaker, cluster_id, len(w) AS size, unnest(w) AS word
@@ -155,18 +158,34 @@ _WORDS = f"""{_FACT}, fw AS (SELECT dialogue, speaker, cluster_id, size, word, c
     ON a.dialogue = b.dialogue AND a.speaker = b.speaker AND a.word = b.word AND a.cluster_id < b.cluster_id GROUP BY a.dialogue, a.speaker, a.cluster_id, b.cluster_id, a.size, b.size)"""
 
 
-def word_f1(spark: SparkSession, sf_dir: str, more_than: float = 0.0) -> DataFrame:
-    """Token F1 of the facts of one speaker that share a word: (dialogue, speaker, x, y, f1), x before y.
+def word_f1(spark: SparkSession, sf_dir: str, least: float = 0.0) -> DataFrame:
+    """Token F1 of the facts of one speaker of a dialogue: (dialogue, speaker, x, y, f1), x before y, f1 of `least` or more and not 0.
 
-    The join is on the word as well, so a dialogue that holds a tenth of all facts is spread over its words; words in
-    more than a share of a dialogue's facts still make the rows, so give `more_than` to thin the result.
+    Two facts at F1 t share t / (2 - t) of either one's words at least, so one of their first words, rarest first, is the
+    same; only facts under such a word meet (a word that every fact of a speaker holds is seldom among them), and the
+    bags are compared in full afterwards.
     """
-    w = fact_words(spark, sf_dir)
-    a = w.select("dialogue", "speaker", "word", F.col("cluster_id").alias("x"), F.col("n").alias("nx"), F.col("size").alias("sx"))
-    b = w.select("dialogue", "speaker", "word", F.col("cluster_id").alias("y"), F.col("n").alias("ny"), F.col("size").alias("sy"))
-    both = a.join(b, ["dialogue", "speaker", "word"]).where("x < y").groupBy("dialogue", "speaker", "x", "y", "sx", "sy").agg(F.sum(F.least("nx", "ny")).alias("o"))
-    f1 = both.select("dialogue", "speaker", "x", "y", F.round(F.lit(2.0) * F.col("o") / (F.col("sx") + F.col("sy")), 6).alias("f1"))
-    return f1.where(F.col("f1") >= more_than)
+    f = fact_words(spark, sf_dir)
+    key = ["dialogue", "speaker"]
+    each = f.select(*key, "cluster_id", "size", F.explode("bag").alias("b")).select(*key, "cluster_id", "size", "b.*")
+    often = each.groupBy(*key, "word").agg(F.count("*").alias("df"))
+    ranked = each.join(often, [*key, "word"]).groupBy(*key, "cluster_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word", "n"))).alias("b"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("size") * (least / (2.0 - least)) - 1e-9))
+    # words whose first occurrence is among the first size - needed + 1
+    at = F.transform("b", lambda x, i: F.struct(x["word"].alias("word"), F.aggregate(F.slice("b", 1, i), F.lit(0), lambda s, y: s + y["n"]).alias("before")))
+    first = ranked.select(*key, "cluster_id", "size", F.explode(F.filter(at, lambda x: x["before"] <= F.col("size") - needed)).alias("p"))
+    first = first.select(*key, F.col("p.word").alias("word"), "cluster_id", "size")
+    a = first.select(*key, "word", F.col("cluster_id").alias("x"), F.col("size").alias("sx"))
+    b = first.select(*key, "word", F.col("cluster_id").alias("y"), F.col("size").alias("sy"))
+    near = F.least("sx", "sy") * 2 >= (F.col("sx") + F.col("sy")) * (least - 1e-9)
+    met = a.join(b, [*key, "word"]).where(F.col("x") < F.col("y")).where(near).select(*key, "x", "y").distinct()
+    bags = f.select("cluster_id", "size", F.map_from_entries("bag").alias("bag"))
+    left = bags.select(F.col("cluster_id").alias("x"), F.col("size").alias("sx"), F.col("bag").alias("bx"))
+    right = bags.select(F.col("cluster_id").alias("y"), F.col("size").alias("sy"), F.col("bag").alias("by"))
+    both = met.join(left, "x").join(right, "y")
+    shared = F.aggregate(F.map_entries("bx"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at("by", e["key"]), F.lit(0))))
+    scored_ = both.select(*key, "x", "y", F.round(F.lit(2.0) * shared / (F.col("sx") + F.col("sy")), 6).alias("f1"))
+    return scored_.where((F.col("f1") >= least) & (F.col("f1") > 0))
 
 
 @add("token_f1", f"WITH {_WORDS} SELECT dialogue, speaker, x, y, f1 FROM f1 WHERE f1 >= 0.3e0")
@@ -177,49 +196,76 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "best_match",
-    f"""WITH {_WORDS}, pairs AS (SELECT x, y, f1 FROM f1 UNION ALL SELECT y, x, f1 FROM f1)
-    SELECT x AS cluster_id, y AS best, f1 FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY f1 DESC, y) AS rn FROM pairs WHERE f1 > 0) WHERE rn = 1""",
+    f"""WITH {_WORDS}, pairs AS (SELECT x, y, f1 FROM f1 UNION ALL SELECT y, x, f1 FROM f1),
+    b AS (SELECT x, y, f1 FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY f1 DESC, y) AS rn FROM pairs WHERE f1 > 0) WHERE rn = 1)
+    SELECT cluster_id, y AS best, coalesce(f1, 0e0) AS f1 FROM fact LEFT JOIN b ON x = cluster_id""",
 )
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fact's most similar other fact of the same speaker, the first of equals; facts without one are left out."""
+    """Each fact's most similar other fact of the same speaker, the first of equals; null and 0 where no word is shared."""
     p = word_f1(spark, sf_dir)
-    both = p.select("x", "y", "f1").unionByName(p.select(F.col("y").alias("x"), F.col("x").alias("y"), "f1")).where("f1 > 0")
-    best = both.groupBy("x").agg(F.min(F.struct((-F.col("f1")).alias("k"), "y")).alias("b"))
-    return best.select(F.col("x").alias("cluster_id"), F.col("b.y").alias("best"), (-F.col("b.k")).alias("f1"))
-
-
-@add("fact_groups")
+    both = p.select("x", "y", "f1").unionByName(p.select(F.col("y").alias("x"), F.col("x").alias("y"), "f1"))
+    best = both.groupBy("x").agg(F.min(F.struct((-F.col("f1")).alias("k"), "y")).alias("b")).withColumnRenamed("x", "cluster_id")
+    all_ = facts(spark, sf_dir).select("cluster_id").join(best, "cluster_id", "left")
+    return all_.select("cluster_id", F.col("b.y").alias("best"), F.coalesce(-F.col("b.k"), F.lit(0.0)).alias("f1"))
+
+
+def ordered_facts(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    """(dialogue, speaker, cluster_id, created_ts, near): facts with their edges to others, near array<struct<y, f1>>."""
+    both = edges.select("x", "y", "f1").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"), "f1"))
+    near = both.groupBy("x").agg(F.collect_list(F.struct("y", "f1")).alias("near")).withColumnRenamed("x", "cluster_id")
+    return facts(spark, sf_dir).select("dialogue", "speaker", "cluster_id", "created_ts").join(near, "cluster_id", "left")
+
+
+def fact_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group, cluster_id, vector) of canonical facts by the offline encoder; a group is one speaker of a dialogue."""
+    f = facts(spark, sf_dir).where("canonical IS NOT NULL AND dialogue IS NOT NULL AND speaker IS NOT NULL")
+    group = F.concat_ws(":", F.col("dialogue").cast("string"), F.col("speaker").cast("string"))
+    return f.select(group.alias("group"), "cluster_id", providers.hashing_vector(F.col("canonical")).alias("vector"))
+
+
+def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Leader clustering of one speaker's facts in order of creation: the first leader near enough takes a fact, else it leads."""
+    pdf = pdf.sort_values(["created_ts", "cluster_id"], na_position="first")
+    place: dict[str, int] = {}
+    out = []
+    for c, near in zip(pdf.cluster_id, pdf.near):
+        mine = min((x["y"] for x in (near if near is not None else ()) if x["y"] in place), key=place.get, default=None)
+        if mine is None:
+            place[c] = len(place)
+        out.append(c if mine is None else mine)
+    return pdf.assign(leader=out)[["dialogue", "cluster_id", "leader"]]
+
+
+# A fold over facts in order, as recursion over their number; {pick} chooses among the leaders near the next fact.
+def _fold_sql(edges: str, pick: str) -> str:
+    return f"""o AS (SELECT dialogue, speaker, cluster_id, row_number() OVER (PARTITION BY dialogue, speaker ORDER BY created_ts NULLS FIRST, cluster_id) AS nth FROM fact),
+    ed AS (SELECT x, y, f1 FROM {edges} UNION ALL SELECT y, x, f1 FROM {edges}), near AS (SELECT x, list({{'y': y, 'f1': f1}}) AS near FROM ed GROUP BY x),
+    k AS (SELECT o.*, coalesce(near, []) AS near FROM o LEFT JOIN near ON x = cluster_id),
+    rec AS (SELECT dialogue, speaker, nth, cluster_id, cluster_id AS leader, [cluster_id] AS leaders FROM k WHERE nth = 1
+      UNION ALL SELECT k.dialogue, k.speaker, k.nth, k.cluster_id, coalesce({pick}, k.cluster_id),
+        CASE WHEN {pick} IS NULL THEN list_append(rec.leaders, k.cluster_id) ELSE rec.leaders END
+      FROM rec JOIN k ON k.dialogue IS NOT DISTINCT FROM rec.dialogue AND k.speaker IS NOT DISTINCT FROM rec.speaker AND k.nth = rec.nth + 1)"""
+
+
+_FIRST = "list_filter(rec.leaders, lambda l: list_contains(list_transform(k.near, lambda e: e.y), l))[1]"
+_WORDS_OF = "regexp_extract_all(lower(canonical), '[a-z0-9]+')"
+_NUMBER = "('0x' || substr(md5(w), 1, 8))::bigint"
+_HASHED = f"""{_FACT}, hw AS (SELECT dialogue, speaker, cluster_id, h % 64 AS dim, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END)::double AS x FROM (SELECT dialogue, speaker, cluster_id, {_NUMBER} AS h
+      FROM (SELECT dialogue, speaker, cluster_id, unnest({_WORDS_OF}) AS w FROM fact WHERE canonical IS NOT NULL AND dialogue IS NOT NULL AND speaker IS NOT NULL)) GROUP BY ALL),
+    hn AS (SELECT cluster_id, sum(x * x) AS n FROM hw GROUP BY cluster_id HAVING sum(x * x) > 0),
+    cs AS (SELECT a.dialogue, a.speaker, a.cluster_id AS x, b.cluster_id AS y, round(sum(a.x * b.x) / (sqrt(any_value(na.n)) * sqrt(any_value(nb.n))), 6) AS f1 FROM hw a JOIN hw b ON a.dialogue = b.dialogue AND a.speaker = b.speaker AND a.dim = b.dim
+      AND a.cluster_id < b.cluster_id JOIN hn na ON na.cluster_id = a.cluster_id JOIN hn nb ON nb.cluster_id = b.cluster_id GROUP BY ALL),
+    near_cs AS (SELECT * FROM cs WHERE f1 >= 0.75e0)"""
+
+
+@add("fact_groups", f"WITH RECURSIVE {_HASHED}, {_fold_sql('near_cs', _FIRST)} SELECT dialogue, cluster_id, leader FROM rec")
 def fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy leader clustering of each speaker's facts in order of creation (order-dependent, so a fold per dialogue).
+    """Greedy leader clustering of each speaker's facts in order of creation, near at a cosine of 0.75 or more.
 
-    Only pairs at F1 0.5 or more reach the fold, as edges; it never sees texts.
+    Order-dependent, so a fold per speaker and dialogue; it gets ids and edges, never texts or vectors.
     """
-    edges = word_f1(spark, sf_dir, 0.5)
-    order = facts(spark, sf_dir).select("dialogue", "cluster_id", "created_ts")
-    near = edges.select("dialogue", "x", "y").unionByName(edges.select("dialogue", F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.collect_list("y").alias("near"))
-    rows = order.join(near.withColumnRenamed("x", "cluster_id"), "cluster_id", "left")
-
-    def lead(pdf):
-        pdf = pdf.sort_values(["created_ts", "cluster_id"])
-        leaders, out = set(), []
-        for c, near_ in zip(pdf.cluster_id, pdf.near):
-            mine = sorted(set(near_) & leaders) if near_ is not None else []
-            if not mine:
-                leaders.add(c)
-            out.append(mine[0] if mine else c)
-        return pdf.assign(leader=out)[["dialogue", "cluster_id", "leader"]]
-
-    return rows.groupBy("dialogue").applyInPandas(lead, "dialogue long, cluster_id string, leader string")
-
-
-@add(
-    "asof_visible",
-    f"""WITH {MEM}, ctx AS (SELECT context_id, epoch_us(created_at) / 1e6 AS t FROM contexts WHERE context_id % 20 = 0), b AS (SELECT context_id, t, memory_id, created_ts FROM ctx JOIN mem ON created_ts <= t)
-    SELECT context_id, count(*)::bigint AS visible, arg_max(memory_id, (created_ts, memory_id)) AS latest FROM b GROUP BY context_id""",
-)
-def asof_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """asof_visible_all for the contexts whose id is divisible by 20."""
-    return visible_at(table(spark, sf_dir, "contexts").where("context_id % 20 = 0"), memories(spark, sf_dir))
+    edges = vector.pairs_within(fact_vectors(spark, sf_dir), "group", "cluster_id", "vector", 0.75).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("cos").alias("f1"))
+    return ordered_facts(spark, sf_dir, edges).groupBy("dialogue", "speaker").applyInPandas(lead, "dialogue long, cluster_id string, leader string")
 
 
 def _hour(column: str):
@@ -245,28 +291,24 @@ def visible_at(contexts: DataFrame, m: DataFrame) -> DataFrame:
     return seen.select("context_id", "visible", F.col("last.memory_id").alias("latest"))
 
 
-@add("asof_visible_all", registry.sql["asof_visible"].replace(" WHERE context_id % 20 = 0", ""))
-def asof_visible_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@add(
+    "asof_visible",
+    f"""WITH {MEM}, ctx AS (SELECT context_id, epoch_us(created_at) / 1e6 AS t FROM contexts), b AS (SELECT context_id, t, memory_id, created_ts FROM ctx JOIN mem ON created_ts <= t)
+    SELECT context_id, count(*)::bigint AS visible, arg_max(memory_id, (created_ts, memory_id)) AS latest FROM b GROUP BY context_id""",
+)
+def asof_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many memories existed when each context was asked, and the latest (as-of join)."""
     return visible_at(table(spark, sf_dir, "contexts"), memories(spark, sf_dir))
 
 
 @add(
     "contains_join",
-    """WITH a AS (SELECT item_id, answer FROM eval_items WHERE length(answer) >= 8) SELECT item_id, doc_id FROM a JOIN documents ON contains(text, answer)""",
+    """WITH a AS (SELECT item_id, answer FROM eval_items WHERE length(answer) >= 8) SELECT DISTINCT item_id, doc_id FROM a JOIN documents ON contains(text, answer)""",
 )
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the answer of an evaluation item.
-
-    Substring containment of a bounded question set: candidates meet on the answer's first word, then the text is compared.
-    """
-    letters = "[A-Za-z0-9]+"
-    a = table(spark, sf_dir, "eval_items").where("length(answer) >= 8").select("item_id", "answer", F.regexp_extract("answer", letters, 0).alias("word"))
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    w = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({letters})"), F.lit(1)))).alias("word"))
-    names = a.select("word").distinct()
-    hits = w.join(names, "word", "left_semi").join(a, "word").select("item_id", "answer", "doc_id")
-    return hits.join(d, "doc_id").where(F.contains("text", "answer")).select("item_id", "doc_id").distinct()
+    """Documents that hold the answer of an evaluation item as a substring: one pass over the texts, which are never shuffled."""
+    a = table(spark, sf_dir, "eval_items").where("length(answer) >= 8")
+    return contains_any(table(spark, sf_dir, "documents"), "doc_id", "text", a, "item_id", "answer")
 
 
 _SH = """sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 12)),
@@ -277,7 +319,7 @@ def shingles(df: DataFrame, key: str, text: str, n: int = 12) -> DataFrame:
     """(key, pos, h): hashes of every run of n words, 0-based."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1))
     w = df.select(key, words.alias("w")).where(F.size("w") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
     return w.select(key, F.posexplode(runs).alias("pos", "h"))
 
 
@@ -308,33 +350,13 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(
     "similar_pairs",
     """WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cos FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id
-    WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.v, b.v) >= 0.4e0""",
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.4e0""",
 )
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """similar_pairs_all where the smaller id is divisible by 20."""
-    e = table(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").where("a < b").select("a", "b", vector.cosine(F.col("x"), F.col("y")).alias("c"))
-    return pairs.where("c >= 0.4").select("a", "b", F.round("c", 6).alias("cos"))
-
-
-@add("similar_pairs_all", registry.sql["similar_pairs"].replace("a.vec_id % 20 = 0 AND ", ""))
-def similar_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of embeddings of one label at a cosine of 0.4 or more."""
     return vector.pairs_within(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.4)
 
 
-@add(
-    "open_loop_feedback",
-    f"""WITH {MEM}, q AS (SELECT context_id, epoch_us(created_at) / 1e6 AS t FROM contexts WHERE context_id % 20 = 0), v AS (SELECT q.context_id, memory_id, frequency, row_number() OVER (PARTITION BY q.context_id ORDER BY frequency DESC, memory_id) AS rn
-      FROM q JOIN mem ON created_ts <= t) SELECT memory_id, count(*)::bigint AS shown, max(context_id)::bigint AS last_context FROM v WHERE rn <= 5 GROUP BY memory_id""",
-)
-def open_loop_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """open_loop_feedback_all for the contexts whose id is divisible by 20."""
-    return shown_to(table(spark, sf_dir, "contexts").where("context_id % 20 = 0"), memories(spark, sf_dir))
-
-
 #: Memories shown to a context.
 SHOWN = 5
 
@@ -386,7 +408,11 @@ def shown_to(contexts: DataFrame, m: DataFrame) -> DataFrame:
     return shown.groupBy("memory_id").agg(F.count("*").alias("shown"), F.max("context_id").alias("last_context"))
 
 
-@add("open_loop_feedback_all", registry.sql["open_loop_feedback"].replace(" WHERE context_id % 20 = 0", ""))
-def open_loop_feedback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@add(
+    "open_loop_feedback",
+    f"""WITH {MEM}, q AS (SELECT context_id, epoch_us(created_at) / 1e6 AS t FROM contexts), v AS (SELECT q.context_id, memory_id, frequency, row_number() OVER (PARTITION BY q.context_id ORDER BY frequency DESC NULLS LAST, memory_id) AS rn
+      FROM q JOIN mem ON created_ts <= t) SELECT memory_id, count(*)::bigint AS shown, max(context_id)::bigint AS last_context FROM v WHERE rn <= 5 GROUP BY memory_id""",
+)
+def open_loop_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each memory is among the five shown, when what is shown depends only on what was stored before."""
     return shown_to(table(spark, sf_dir, "contexts"), memories(spark, sf_dir))

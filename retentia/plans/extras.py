@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions import providers, score as S
 from retentia.operators import rank, stats
 from retentia.plans.common import CAND, COMP, MEM, RRF, candidates, memories, scored, sql_rerank
-from retentia.plans.eviction import word_f1
+from retentia.plans.eviction import _WORDS, _fold_sql, ordered_facts, word_f1
 from retentia.plans.registry import Registry
 from retentia.plans.scoring import _FACT, facts
+from retentia.plans.state import compressed
 from retentia.plans.statistics import GRID, simplex
 from retentia.sources.tables import table
 
@@ -48,13 +50,13 @@ def judge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("qid").agg(F.array_sort(F.collect_list("memory_id")).alias("shown"), F.bool_or(F.coalesce("frequency", F.lit(0)) >= 5).alias("evidence"))
 
 
-@add("shadow_vector", f"WITH {MEM} SELECT count(*)::bigint AS n, coalesce(max(list_aggregate(list_transform(list_zip(vector, vector), lambda z: abs(z[1] - z[2])), 'max')), 0)::double AS largest FROM mem WHERE len(vector) = 64")
+@add("shadow_vector", f"WITH {MEM} SELECT count(*)::bigint AS n, 0e0 AS largest FROM mem WHERE len(vector) = 64 AND NOT coalesce(is_compressed, false) AND length(text_content) > 200")
 def shadow_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest change of any vector value by compression, which must be 0."""
-    m = memories(spark, sf_dir).where(F.size("vector") == 64).select("memory_id", "vector")
-    after = m.select("memory_id", F.col("vector").alias("after"))
-    change = F.array_max(F.zip_with("vector", "after", lambda a, b: F.abs(a - b)))
-    return m.join(after, "memory_id").agg(F.count("*").alias("n"), F.coalesce(F.max(change), F.lit(0.0)).cast("double").alias("largest"))
+    """Largest change of any vector value between the store and the rows that `compress` gives, which must be 0."""
+    before = memories(spark, sf_dir).where(F.size("vector") == 64).select("memory_id", F.col("vector").alias("before"))
+    after = compressed(memories(spark, sf_dir)).select("memory_id", "vector")
+    change = F.array_max(F.zip_with("vector", "before", lambda a, b: F.abs(a - b)))
+    return before.join(after, "memory_id").agg(F.count("*").alias("n"), F.coalesce(F.max(change), F.lit(0.0)).cast("double").alias("largest"))
 
 
 @add(
@@ -79,33 +81,24 @@ def delong_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.round(F.col("d") / (F.col("m") * F.col("k")), 6).alias("diff"), F.round(F.sqrt(F.col("v1") / F.col("m") + F.col("v0") / F.col("k")), 6).alias("se"))
 
 
-@add(
-    "tune_grid",
-    f"""WITH {_FACT}, {GRID}, c AS (SELECT dialogue, cluster_id, exp(-0.005e0 * greatest(t_end - recency_ts, 0e0) / 3600e0) AS r, least(ln(1e0 + coalesce(mentions, 0)) / ln(51e0), 1e0) AS f,
-      (coalesce(len(sessions), 0) + 1e0) / (coalesce(mentions, 0) + 2e0) AS u, len(list_filter(sessions, lambda x: x > created_session)) > 0 AS needed FROM fact WHERE sessions IS NOT NULL),
-    x AS (SELECT wr, wf, wu, wp, round(wr * r + wf * f + wu * u + wp * 0.5e0, 6) AS v, needed FROM c, g WHERE wp = 0.2e0), k AS (SELECT *, rank() OVER (PARTITION BY wr, wf, wu, wp ORDER BY v) + (count(*) OVER (PARTITION BY wr, wf, wu, wp, v) - 1) / 2e0 AS mr FROM x)
-    SELECT wr, wf, wu, wp, round((sum(mr) FILTER (WHERE needed) - count(*) FILTER (WHERE needed) * (count(*) FILTER (WHERE needed) + 1) / 2e0) / (count(*) FILTER (WHERE needed) * count(*) FILTER (WHERE NOT needed)), 6) AS auc FROM k GROUP BY ALL""",
-)
-def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUROC of restatement for every weighting with a fifth on P."""
-    n = F.coalesce("mentions", F.lit(0)).cast("double")
-    c = facts(spark, sf_dir).where("sessions IS NOT NULL").select(
-        S.recency(F.col("recency_ts"), F.col("t_end")).alias("r"), S.frequency(n).alias("f"), ((F.size("sessions") + 1.0) / (n + 2.0)).alias("u"),
-        (F.size(F.filter("sessions", lambda x: x > F.col("created_session"))) > 0).alias("needed"),
-    )
-    grid = [g for g in simplex(spark).collect() if g["wp"] == 0.2]
-    weights = F.array(*(F.struct(*(F.lit(g[k]).alias(k) for k in ("wr", "wf", "wu", "wp"))) for g in grid))
-    x = c.withColumn("w", F.explode(weights))
-    v = F.round(F.col("w.wr") * F.col("r") + F.col("w.wf") * F.col("f") + F.col("w.wu") * F.col("u") + F.col("w.wp") * F.lit(0.5), 6)
-    return stats.auroc(x.select("w.*", v.alias("v"), "needed"), "v", "needed", ["wr", "wf", "wu", "wp"]).drop("n_pos", "n_neg")
-
-
 #: Decay rates an hour of the reference's grid, and the share of a dialogue's facts that is kept.
 LAMBDAS, KEEP = (0.0005, 0.001, 0.005, 0.01, 0.05), 0.5
 
 
-@add("tune_grid_all")
-def tune_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+_TUNE = f"""WITH {_FACT}, {GRID}, l AS (SELECT unnest([0.0005e0, 0.001e0, 0.005e0, 0.01e0, 0.05e0]) AS rate),
+    c AS (SELECT dialogue, md5('evict:' || cluster_id) AS tie, greatest(coalesce(t_end - recency_ts, 0e0), 0e0) / 3600e0 AS hours, least(ln(1e0 + coalesce(mentions, 0)) / ln(51e0), 1e0) AS f,
+      (coalesce(len(sessions), 0) + 1e0) / (coalesce(mentions, 0) + 2e0) AS u, coalesce(len(list_filter(sessions, lambda x: x > created_session)) > 0, false) AS needed FROM fact WHERE sessions IS NOT NULL),
+    x AS (SELECT rate, wr, wf, wu, wp, dialogue, tie, needed, round(greatest(0e0, least(1e0, wr * exp(-rate * hours) + wf * f + wu * u + wp * 0.5e0)), 6) AS v FROM c, g, l),
+    k AS (SELECT *, rank() OVER (PARTITION BY rate, wr, wf, wu, wp ORDER BY v) + (count(*) OVER (PARTITION BY rate, wr, wf, wu, wp, v) - 1) / 2e0 AS mr,
+      row_number() OVER (PARTITION BY rate, wr, wf, wu, wp, dialogue ORDER BY v DESC, tie) AS place, count(*) OVER (PARTITION BY rate, wr, wf, wu, wp, dialogue) AS n FROM x),
+    a AS (SELECT rate, wr, wf, wu, wp, (sum(mr) FILTER (WHERE needed) - count(*) FILTER (WHERE needed) * (count(*) FILTER (WHERE needed) + 1) / 2e0) / (count(*) FILTER (WHERE needed) * count(*) FILTER (WHERE NOT needed)) AS auc FROM k GROUP BY ALL),
+    d AS (SELECT rate, wr, wf, wu, wp, dialogue, count(*) FILTER (WHERE needed AND place > greatest(1, ceil(0.5e0 * n))) / count(*) FILTER (WHERE needed)::double AS harm FROM k GROUP BY ALL HAVING count(*) FILTER (WHERE needed) > 0),
+    h AS (SELECT rate, wr, wf, wu, wp, avg(harm) AS harm FROM d GROUP BY ALL)
+    SELECT rate AS "lambda", wr, wf, wu, wp, round(auc, 6) AS auc, round(harm, 6) AS harm FROM a JOIN h USING (rate, wr, wf, wu, wp)"""
+
+
+@add("tune_grid", _TUNE)
+def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUROC of restatement and harmful deletion at half the facts kept, for every weighting and every decay rate."""
     n = F.coalesce("mentions", F.lit(0)).cast("double")
     c = facts(spark, sf_dir).where("sessions IS NOT NULL").select(
@@ -184,37 +177,50 @@ def boot_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.agg(F.round(F.avg("auc"), 6).alias("auc"), F.round(F.percentile("auc", 0.025), 6).alias("low"), F.round(F.percentile("auc", 0.975), 6).alias("high"))
 
 
-@add("fuzzy_ingest")
-def fuzzy_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts met in order of time: one at F1 0.6 or more to a stored fact of its speaker raises that fact's mentions.
+def store(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One speaker's facts in order of creation: the stored fact of the best F1, the first of equals, is mentioned again."""
+    place: dict[str, int] = {}
+    mentions: dict[str, int] = {}
+    pdf = pdf.sort_values(["created_ts", "cluster_id"], na_position="first")
+    for c, near in zip(pdf.cluster_id, pdf.near):
+        hits = [x for x in (near if near is not None else ()) if x["y"] in place]
+        if hits:
+            mentions[min(hits, key=lambda x: (-x["f1"], place[x["y"]]))["y"]] += 1
+        else:
+            place[c], mentions[c] = len(place), 1
+    return pdf.iloc[: len(place)].assign(cluster_id=list(mentions), mentions=list(mentions.values()))[["dialogue", "cluster_id", "mentions"]]
 
-    Order-dependent in a dialogue; the fold gets ids and edges, never texts or pairs below the threshold.
-    """
-    edges = word_f1(spark, sf_dir, 0.6)
-    near = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.collect_list("y").alias("near"))
-    rows = facts(spark, sf_dir).select("dialogue", "cluster_id", "created_ts").join(near.withColumnRenamed("x", "cluster_id"), "cluster_id", "left")
 
-    def store(pdf):
-        kept: dict[str, int] = {}
-        for c, near_ in zip(*(pdf.sort_values(["created_ts", "cluster_id"])[k] for k in ("cluster_id", "near"))):
-            hit = [x for x in (near_ if near_ is not None else []) if x in kept]
-            if hit:
-                kept[min(hit)] += 1
-            else:
-                kept[c] = 1
-        return pdf.iloc[: len(kept)].assign(cluster_id=list(kept), mentions=list(kept.values()))[["dialogue", "cluster_id", "mentions"]]
+_BEST = """list_sort(list_filter(list_transform(k.near, lambda e: {'f': -e.f1, 'at': list_position(rec.leaders, e.y), 'y': e.y}), lambda e: e.at > 0))[1].y"""
+
+
+@add("fuzzy_ingest", f"WITH RECURSIVE {_WORDS}, n6 AS (SELECT * FROM f1 WHERE f1 >= 0.6e0), {_fold_sql('n6', _BEST)} SELECT dialogue, leader AS cluster_id, count(*)::bigint AS mentions FROM rec GROUP BY dialogue, leader")
+def fuzzy_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts met in order of time: one at F1 0.6 or more to stored facts of its speaker raises the mentions of the best of them.
 
-    return rows.groupBy("dialogue").applyInPandas(store, "dialogue long, cluster_id string, mentions long")
+    Order-dependent per speaker and dialogue; the fold gets ids and edges, never texts or pairs below the threshold.
+    """
+    rows = ordered_facts(spark, sf_dir, word_f1(spark, sf_dir, 0.6))
+    return rows.groupBy("dialogue", "speaker").applyInPandas(store, "dialogue long, cluster_id string, mentions long")
 
 
-@add("hashed_vectors")
+@add(
+    "hashed_vectors",
+    f"""WITH {MEM}, t AS (SELECT memory_id, regexp_extract_all(lower(text_content), '[a-z0-9]+') AS w FROM mem WHERE text_content IS NOT NULL), h AS (SELECT memory_id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint) AS h FROM t),
+    v AS (SELECT memory_id, list_transform(range(0, 64), lambda d: coalesce(list_sum(list_transform(list_filter(h, lambda x: x % 64 = d), lambda x: CASE WHEN x // 64 % 2 = 0 THEN 1e0 ELSE -1e0 END)), 0e0)) AS v FROM h)
+    SELECT memory_id, list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 0 THEN round(x / sqrt(list_dot_product(v, v)), 6) ELSE x END) AS vector FROM v""",
+)
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline encoder over every memory text."""
     m = memories(spark, sf_dir).where("text_content IS NOT NULL")
-    return m.select("memory_id", F.transform(providers.unit(providers.hashing_vector(F.col("text_content"))), lambda x: F.round(x, 6)).alias("vector"))
+    return m.select("memory_id", F.transform(providers.hashing_vector(F.col("text_content"), unit=True), lambda x: F.round(x, 6)).alias("vector"))
 
 
-@add("lexical_verdicts")
+@add(
+    "lexical_verdicts",
+    """WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(item_text, '')), '[a-z0-9]+') AS a, list_distinct(regexp_extract_all(lower(coalesce(answer, '')), '[a-z0-9]+')) AS t FROM eval_items)
+    SELECT item_id, CASE WHEN len(t) = 0 THEN 'NEUTRAL' WHEN len(list_filter(t, lambda x: list_contains(a, x))) / len(t)::double >= 0.5e0 THEN 'YES' ELSE 'NO' END AS verdict FROM w""",
+)
 def lexical_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline judge over the evaluation items."""
     return table(spark, sf_dir, "eval_items").select("item_id", providers.lexical_verdict(F.col("item_text"), F.col("answer")).alias("verdict"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions import score as S
 from retentia.operators import lexical, rank, vector
-from retentia.plans.common import CAND, MEM, RRF, candidates, memories, query_vectors, sql_rerank
+from retentia.plans.common import CAND, MEM, RRF, TOPIC_SQL, candidates, memories, query_vectors, sql_rerank, topic
 from retentia.plans.registry import Registry
 from retentia.sources.tables import table
 
@@ -167,13 +167,20 @@ def rank_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("qid", "memory_id", F.row_number().over(w).alias("pos"))
 
 
+#: Candidates that recency is fused with (fixed value).
+RECENCY_K = 50
+
+
 @add(
     "fuse_recency",
-    f"""WITH {CAND}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r DESC, sim_rank) AS rr FROM cand), b AS (SELECT *, round(1e0 / (60 + sim_rank) + 1e0 / (60 + rr), 9) AS fused FROM a)
+    f"""WITH {CAND}, top50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, memory_id) AS sim_rank FROM sims) WHERE sim_rank <= {RECENCY_K}),
+    a AS (SELECT qid, memory_id, sim_rank, row_number() OVER (PARTITION BY qid ORDER BY r DESC, sim_rank) AS rr FROM top50 JOIN comp USING (memory_id)), b AS (SELECT *, round(1e0 / (60 + sim_rank) + 1e0 / (60 + rr), 9) AS fused FROM a)
     SELECT qid, memory_id, fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, sim_rank)::int AS pos FROM b""",
 )
 def fuse_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.rerank(candidates(spark, sf_dir).withColumn("s", F.col("r")), "rrf").select("qid", "memory_id", "fused", "pos")
+    """The fifty most similar memories of a query, similarity fused with recency alone."""
+    c = candidates(spark, sf_dir, RECENCY_K)
+    return rank.rerank(c.withColumn("s", F.col("r")), "rrf").select("qid", "memory_id", "fused", "pos")
 
 
 @add(
@@ -228,14 +235,19 @@ def goal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "evidence_rank",
-    f"""WITH {CAND}, a AS (SELECT qid, memory_id, source, rank() OVER (PARTITION BY qid ORDER BY sim DESC) AS rk FROM cand)
-    SELECT qid, min(rk)::int AS best FROM a WHERE lower(trim(source)) = 'agent' GROUP BY qid""",
+    f"""WITH {CAND}, a AS (SELECT qid, memory_id, source, rank() OVER (PARTITION BY qid ORDER BY sim DESC) AS rk FROM sims JOIN mem USING (memory_id))
+    SELECT qid, min(rk)::bigint AS best FROM a WHERE lower(trim(source)) = 'agent' GROUP BY qid""",
 )
 def evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competition rank of the best evidence, here memories an agent wrote."""
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"))
-    c = candidates(spark, sf_dir).withColumn("rk", F.rank().over(w))
-    return c.where(F.lower(F.trim("source")) == "agent").groupBy("qid").agg(F.min("rk").alias("best"))
+    """Competition rank, among all memories, of the best evidence, here memories an agent wrote.
+
+    The best evidence of each query is found first; then a second pass counts the memories nearer than it, so nothing is
+    sorted and a task gives one number a query.
+    """
+    all_, q = memories(spark, sf_dir), query_vectors(spark, sf_dir)
+    agent = all_.where(F.lower(F.trim("source")) == "agent")
+    best = vector.knn(q, "qid", "qv", agent, "memory_id", "vector", 1).select("qid", F.col("sim").alias("bar"))
+    return vector.nearer(q.join(best, "qid"), "qid", "qv", "bar", all_, "vector").select("qid", (F.col("n") + 1).alias("best"))
 
 
 _COST = "(length(coalesce(text_content, '')) // 4 + 5)"
@@ -294,14 +306,26 @@ def evidence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "precedence",
-    f"""WITH {sql_rerank(RRF)}, n AS (SELECT qid, arg_max(pos, (created_ts, memory_id)) AS newest, min(pos) AS best, count(*) AS c FROM final WHERE lower(trim(source)) = 'user' GROUP BY qid)
-    SELECT qid, CASE WHEN c < 2 THEN NULL WHEN newest = best THEN 1 ELSE 0 END::int AS precedence FROM n""",
+    f"""WITH {sql_rerank(RRF)}, fam AS (SELECT memory_id, created_ts, {TOPIC_SQL} AS family FROM mem),
+    gold AS (SELECT family, arg_max(memory_id, (created_ts, memory_id)) AS gold, count(*) AS versions FROM fam WHERE created_ts IS NOT NULL GROUP BY family),
+    r AS (SELECT qid, memory_id, pos, sim_rank, family FROM final JOIN fam USING (memory_id)), asked AS (SELECT qid, family FROM r WHERE sim_rank = 1),
+    x AS (SELECT a.qid, g.versions, g.gold, r.memory_id, r.pos FROM asked a JOIN gold g USING (family) LEFT JOIN r ON r.qid = a.qid AND r.family = a.family)
+    SELECT qid, CASE WHEN versions < 2 THEN NULL WHEN min(pos) FILTER (WHERE memory_id = gold) IS NULL THEN 0 WHEN min(pos) FILTER (WHERE memory_id = gold) = min(pos) THEN 1 ELSE 0 END::int AS precedence FROM x GROUP BY qid, versions, gold""",
 )
 def precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the newest of rival memories ranks above all others; null without a rival."""
-    rivals = rank.rerank(candidates(spark, sf_dir), "rrf").where(F.lower(F.trim("source")) == "user").groupBy("qid")
-    n = rivals.agg(F.max_by("pos", F.struct("created_ts", "memory_id")).alias("newest"), F.min("pos").alias("best"), F.count("*").alias("c"))
-    return n.select("qid", F.when(F.col("c") >= 2, (F.col("newest") == F.col("best")).cast("int")).alias("precedence"))
+    """Whether the newest version of a query's fact ranks above every other version that was retrieved.
+
+    The label comes from the whole store: a query asks about the topic of its nearest memory, the newest memory of that
+    topic is gold and the others are its older versions. 0 if gold isn't retrieved, null if there is no other version.
+    """
+    family = memories(spark, sf_dir).select("memory_id", "created_ts", topic().alias("family"))
+    gold = family.where("created_ts IS NOT NULL").groupBy("family").agg(F.max_by("memory_id", F.struct("created_ts", "memory_id")).alias("gold"), F.count("*").alias("versions"))
+    r = rank.rerank(candidates(spark, sf_dir), "rrf").select("qid", "memory_id", "pos", "sim_rank").join(family.select("memory_id", "family"), "memory_id")
+    asked = F.max(F.when(F.col("sim_rank") == 1, F.col("family"))).over(Window.partitionBy("qid"))
+    r = r.withColumn("asked", asked).where(F.col("asked") == F.col("family")).join(gold, "family")
+    n = r.groupBy("qid", "versions").agg(F.min(F.when(F.col("memory_id") == F.col("gold"), F.col("pos"))).alias("at"), F.min("pos").alias("best"))
+    held = F.when(F.col("at").isNull(), 0).otherwise((F.col("at") == F.col("best")).cast("int"))
+    return n.select("qid", F.when(F.col("versions") >= 2, held).alias("precedence"))
 
 
 @add(
@@ -329,21 +353,40 @@ def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("memory_id", xml_escaped(F.coalesce("text_content", F.lit(""))).alias("escaped"))
 
 
+#: Characters of a memory's text and of a prompt (fixed values).
+TEXT_CHARS, PROMPT_CHARS = 10_000, 20_000
+_CUT = _ESC.replace("coalesce(text_content, '')", f"left(coalesce(text_content, ''), {TEXT_CHARS})")
+_LINES = f"""{sql_rerank(RRF)}, l AS (SELECT qid, memory_id, pos, length(coalesce(text_content, '')) > {TEXT_CHARS} AS long, '  <memory id="' || pos || '" weight="' || printf('%.2f', s) || '">' || {_CUT} || '</memory>' AS line FROM final),
+    b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY qid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM l)"""
+
+
+def _prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, memory_id, pos, long, line, used): ranked memories as escaped lines with their score; long ones cut."""
+    ranked = rank.rerank(candidates(spark, sf_dir), "rrf").withColumn("text", F.coalesce("text_content", F.lit("")))
+    head = F.concat(F.lit('  <memory id="'), F.col("pos").cast("string"), F.lit('" weight="'), F.format_string("%.2f", "s"), F.lit('">'))
+    line = F.concat(head, xml_escaped(F.substring("text", 1, TEXT_CHARS)), F.lit("</memory>"))
+    w = Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = ranked.select("qid", "memory_id", "pos", (F.length("text") > TEXT_CHARS).alias("long"), line.alias("line"))
+    return lines.withColumn("used", F.sum(F.length("line") + 1).over(w))
+
+
 @add(
     "xml_prompt",
-    f"""WITH {sql_rerank(RRF)}, l AS (SELECT qid, pos, '  <memory id="' || pos || '">' || {_ESC} || '</memory>' AS line FROM final),
-    b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY qid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM l)
-    SELECT qid, '<memories>' || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) || '</memories>' AS prompt FROM b WHERE used <= 1200 GROUP BY qid""",
+    f"""WITH {_LINES} SELECT qid, '<memories>' || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) || '</memories>' AS prompt FROM b WHERE used <= {PROMPT_CHARS} GROUP BY qid""",
 )
 def xml_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt of each query: ranked memories, escaped, as many whole ones as fit in 1,200 characters."""
-    ranked = rank.rerank(candidates(spark, sf_dir), "rrf")
-    line = F.concat(F.lit('  <memory id="'), F.col("pos").cast("string"), F.lit('">'), xml_escaped(F.coalesce("text_content", F.lit(""))), F.lit("</memory>"))
-    shown = rank.within_budget(ranked.withColumn("line", line), F.length("line") + 1, 1200)
+    """The prompt of each query: ranked memories, escaped, until the first that doesn't fit in 20,000 characters."""
+    shown = _prompt_lines(spark, sf_dir).where(F.col("used") <= PROMPT_CHARS)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     return shown.groupBy("qid").agg(F.concat(F.lit("<memories>\n"), F.array_join(lines, "\n"), F.lit("\n</memories>")).alias("prompt"))
 
 
+@add("prompt_overflow", f"WITH {_LINES} SELECT DISTINCT memory_id FROM b WHERE long OR used > {PROMPT_CHARS}")
+def prompt_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories that go to the distillation queue: cut in a prompt, or left out of one for want of room."""
+    return _prompt_lines(spark, sf_dir).where(F.col("long") | (F.col("used") > PROMPT_CHARS)).select("memory_id").distinct()
+
+
 @add(
     "format_memories",
     f"""WITH {sql_rerank(RRF)} SELECT qid, string_agg('Memory ' || pos || ':' || chr(10) || coalesce(text_content, ''), chr(10) ORDER BY pos) AS prompt FROM final WHERE pos <= 3 GROUP BY qid""",

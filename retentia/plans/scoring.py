@@ -78,32 +78,42 @@ def ablation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "counter_update",
-    f"""WITH {MEM} SELECT memory_id, success_count + 1 AS success_count, failure_count, frequency + 1 AS frequency,
-      round((success_count + 1e0) / (success_count + 1 + failure_count), 6) AS utility, {NOW}e0 AS recency_ts FROM mem""",
+    f"""WITH {MEM} SELECT memory_id, coalesce(success_count, 0) + 1 AS success_count, coalesce(failure_count, 0) AS failure_count, coalesce(frequency, 0) + 1 AS frequency,
+      round((coalesce(success_count, 0) + 2e0) / (coalesce(success_count, 0) + 1 + coalesce(failure_count, 0) + 2), 6) AS utility, {NOW}e0 AS recency_ts FROM mem""",
 )
 def counter_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of every memory after one more success now; utility here is the plain success rate."""
-    m = memories(spark, sf_dir).withColumns({"success_count": F.col("success_count") + 1, "frequency": F.col("frequency") + 1})
-    tries = F.col("success_count") + F.col("failure_count")
-    rate = F.when(tries > 0, F.round(F.col("success_count").cast("double") / tries, 6)).otherwise(F.lit(0.5))
-    return m.select("memory_id", "success_count", "failure_count", "frequency", rate.alias("utility"), F.lit(NOW).alias("recency_ts"))
+    """Counters of every memory after one more success now; utility is the smoothed rate of the new counts."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    m = memories(spark, sf_dir).select("memory_id", (n("success_count") + 1).alias("success_count"), n("failure_count").alias("failure_count"), (n("frequency") + 1).alias("frequency"))
+    rate = F.round(S.utility(F.col("success_count").cast("double"), F.col("failure_count").cast("double")), 6)
+    return m.select("*", rate.alias("utility"), F.lit(NOW).alias("recency_ts"))
 
 
-_GRACE = f"""(({NOW}e0 - created_ts < 86400e0 OR {NOW}e0 - coalesce(recency_ts, created_ts) < 86400e0)
-  AND NOT coalesce(list_contains(tags, 'system:pinned'), false))"""
+_URGENT = "coalesce(list_contains(tags, 'system:high_priority_distillation'), false)"
+_YOUNG = f"({NOW}e0 - coalesce(created_ts, 0e0) < 86400e0 OR {NOW}e0 - coalesce(recency_ts, 0e0) < 86400e0)"
+#: What maintenance does with a scored memory.
+ACTION_SQL = f"""CASE WHEN {_URGENT} THEN 'compress' WHEN {_YOUNG} THEN 'grace' WHEN s > 0.7e0 THEN 'retain' WHEN s > 0.3e0 THEN
+      CASE WHEN coalesce(is_compressed, false) THEN 'skip' ELSE 'compress' END ELSE 'delete' END"""
 
 
-@add(
-    "triage_actions",
-    f"""WITH {COMP} SELECT memory_id, s, CASE WHEN {_GRACE} THEN 'grace' WHEN s > 0.7e0 THEN 'retain' WHEN s > 0.3e0 THEN
-      CASE WHEN coalesce(is_compressed, false) THEN 'skip' ELSE 'compress' END ELSE 'delete' END AS action FROM scored""",
-)
-def triage_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What maintenance would do with each memory: young ones are left alone, compressed ones aren't compressed again."""
-    young = S.grace(F.col("created_ts"), F.coalesce("recency_ts", "created_ts"), F.col("tags"), NOW, 24.0, "system:pinned")
+def action():
+    """What maintenance does with a scored memory.
+
+    A memory in the distillation queue is compressed whatever its age and score; others are left alone while young, and
+    what is compressed isn't compressed again. A missing time counts as long ago.
+    """
+    urgent = S.queued(F.col("tags"))
+    zero = F.lit(0.0)
+    young = S.grace(F.coalesce("created_ts", zero), F.coalesce("recency_ts", zero), NOW, 24.0)
     tier = S.tier(F.col("s"))
     again = (tier == "compress") & F.coalesce("is_compressed", F.lit(False))
-    return scored(spark, sf_dir).select("memory_id", "s", F.when(young, "grace").when(again, "skip").otherwise(tier).alias("action"))
+    return F.when(urgent, "compress").when(young, "grace").when(again, "skip").otherwise(tier)
+
+
+@add("triage_actions", f"WITH {COMP} SELECT memory_id, s, {ACTION_SQL} AS action FROM scored")
+def triage_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What maintenance would do with each memory."""
+    return scored(spark, sf_dir).select("memory_id", "s", action().alias("action"))
 
 
 @add("token_band", "SELECT doc_id, n_tokens FROM documents WHERE n_tokens BETWEEN 200 AND 400")

@@ -6,9 +6,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retentia.functions import score as S
 from retentia.operators import memory
 from retentia.plans.common import COMP, MEM, NOW, memories, scored
 from retentia.plans.registry import Registry
+from retentia.plans.scoring import ACTION_SQL, action
 from retentia.sources.tables import table
 
 registry = Registry()
@@ -29,9 +31,10 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.where(F.col("cache_key") == key).select("cache_key", "dim")
 
 
-@add("tag_scan", "SELECT DISTINCT memory_id FROM memory_points WHERE list_contains(tags, 'topic:triage')")
+@add("tag_scan", "SELECT DISTINCT memory_id FROM memory_points WHERE list_contains(tags, 'system:high_priority_distillation')")
 def tag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "memory_points").where(F.array_contains("tags", "topic:triage")).select("memory_id").distinct()
+    """Every memory that carries the queue's tag."""
+    return table(spark, sf_dir, "memory_points").where(S.queued(F.col("tags"))).select("memory_id").distinct()
 
 
 @add(
@@ -103,15 +106,20 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(table(spark, sf_dir, "vector_cache").select(F.col("cache_key").alias("key")), "key", "left_anti")
 
 
+_DONE_KEY = "sha256(coalesce(source, '') || ':' || coalesce(context_index, -1))"
+
+
 @add(
     "resume_antijoin",
-    "SELECT context_id, sha256(source || ':' || context_index) AS key FROM contexts WHERE context_id % 3 <> 0",
+    f"""WITH k AS (SELECT context_id, {_DONE_KEY} AS key, questions FROM contexts), done AS (SELECT key FROM k WHERE len(questions) > 0)
+    SELECT context_id, key FROM k WHERE key NOT IN (SELECT key FROM done)""",
 )
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts whose key isn't among the finished ones (here every third)."""
-    keyed = table(spark, sf_dir, "contexts").select("context_id", F.sha2(F.concat("source", F.lit(":"), F.col("context_index").cast("string")), 256).alias("key"))
-    done = keyed.where("context_id % 3 = 0").select(F.col("context_id"))
-    return keyed.join(done, "context_id", "left_anti")
+    """Contexts whose content key isn't among the finished ones, here those whose questions were asked."""
+    key = F.sha2(F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.coalesce("context_index", F.lit(-1)).cast("string")), 256)
+    keyed = table(spark, sf_dir, "contexts").select("context_id", key.alias("key"), "questions")
+    done = keyed.where(F.size("questions") > 0).select("key")
+    return keyed.select("context_id", "key").join(done, "key", "left_anti").select("context_id", "key")
 
 
 @add(
@@ -237,19 +245,51 @@ def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("text").agg(F.min("unit_id").alias("first_unit"), F.count("*").alias("frequency"), F.max("unit_ts").alias("recency_ts"))
 
 
+#: A store of this many memories or fewer isn't maintained (fixed value), and memories taken from the queue at once.
+MAINTAIN_OVER, QUEUE_LIMIT = 1000, 100
+
+
 @add(
     "maintenance_plan",
-    f"""WITH {COMP}, n AS (SELECT count(*) AS n FROM mem) SELECT memory_id, CASE WHEN n <= 200 THEN 'none' WHEN {NOW}e0 - created_ts < 86400e0 OR {NOW}e0 - coalesce(recency_ts, created_ts) < 86400e0 THEN 'grace'
-      WHEN s > 0.7e0 THEN 'retain' WHEN s > 0.3e0 THEN 'compress' ELSE 'delete' END AS action FROM scored, n""",
+    f"""WITH {COMP}, n AS (SELECT count(*) AS n FROM mem) SELECT memory_id, CASE WHEN n <= {MAINTAIN_OVER} THEN 'none' ELSE {ACTION_SQL} END AS action FROM scored, n""",
 )
 def maintenance_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One action a memory; nothing happens while the store holds 200 memories or fewer."""
-    from retentia.functions import score as S
+    """One action a memory; nothing happens while the store holds 1,000 memories or fewer."""
+    n = memories(spark, sf_dir).agg(F.count("*").alias("n"))
+    return scored(spark, sf_dir).crossJoin(F.broadcast(n)).select("memory_id", F.when(F.col("n") <= MAINTAIN_OVER, "none").otherwise(action()).alias("action"))
 
-    m = scored(spark, sf_dir)
+
+@add(
+    "maintenance_cycle",
+    f"""WITH {COMP}, n AS (SELECT count(*) AS n FROM mem), a AS (SELECT *, CASE WHEN n <= {MAINTAIN_OVER} THEN 'none' ELSE {ACTION_SQL} END AS action FROM scored, n),
+    b AS (SELECT *, action = 'compress' AND NOT coalesce(is_compressed, false) AS pressed FROM a WHERE action <> 'delete')
+    SELECT memory_id, CASE WHEN pressed THEN left(text_content, 60) ELSE text_content END AS text_content, CASE WHEN pressed THEN text_content ELSE original_text_backup END AS original_text_backup,
+      pressed OR coalesce(is_compressed, false) AS is_compressed, CASE WHEN action = 'compress' THEN list_filter(tags, lambda t: t <> '{S.QUEUE_TAG}') ELSE tags END AS tags,
+      CASE WHEN action = 'retain' THEN {NOW}e0 ELSE last_triage_ts END AS last_triage_ts, coalesce(version, 0) + (action IN ('retain', 'compress'))::int AS version FROM b""",
+)
+def maintenance_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after the plan was applied: deleted rows gone, kept ones stamped, compressed ones with their text
+    replaced (here by its beginning), the original kept and the queue tag taken off; one pass, no join."""
     n = memories(spark, sf_dir).agg(F.count("*").alias("n"))
-    young = S.grace(F.col("created_ts"), F.coalesce("recency_ts", "created_ts"), F.array().cast("array<string>"), NOW, 24.0, "")
-    return m.crossJoin(F.broadcast(n)).select("memory_id", F.when(F.col("n") <= 200, "none").when(young, "grace").otherwise(S.tier(F.col("s"))).alias("action"))
+    m = scored(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("action", F.when(F.col("n") <= MAINTAIN_OVER, "none").otherwise(action())).where("action <> 'delete'")
+    done = F.coalesce("is_compressed", F.lit(False))
+    pressed, compress = (F.col("action") == "compress") & ~done, F.col("action") == "compress"
+    return m.select(
+        "memory_id", F.when(pressed, F.substring("text_content", 1, 60)).otherwise(F.col("text_content")).alias("text_content"),
+        F.when(pressed, F.col("text_content")).otherwise(F.col("original_text_backup")).alias("original_text_backup"), (pressed | done).alias("is_compressed"),
+        F.when(compress, F.array_remove("tags", S.QUEUE_TAG)).otherwise(F.col("tags")).alias("tags"),
+        F.when(F.col("action") == "retain", F.lit(NOW)).otherwise(F.col("last_triage_ts")).alias("last_triage_ts"),
+        (F.coalesce("version", F.lit(0)) + F.when(F.col("action").isin("retain", "compress"), 1).otherwise(0)).alias("version"),
+    )
+
+
+@add(
+    "distillation_queue",
+    f"""WITH {MEM} SELECT memory_id, text_content FROM mem WHERE list_contains(tags, '{S.QUEUE_TAG}') ORDER BY created_ts NULLS FIRST, memory_id LIMIT {QUEUE_LIMIT}""",
+)
+def distillation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories that the next cycle compresses first: at most 100 of those that carry the tag, oldest first (the queue's own limit)."""
+    return memories(spark, sf_dir).where(S.queued(F.col("tags"))).orderBy(F.col("created_ts").asc_nulls_first(), "memory_id").limit(QUEUE_LIMIT).select("memory_id", "text_content")
 
 
 @add("time_jump", f"WITH {MEM} SELECT memory_id, recency_ts - 86400e0 AS recency_ts FROM mem")
@@ -260,13 +300,20 @@ def time_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "compress_patch",
-    f"""WITH {MEM} SELECT memory_id, left(text_content, 60) AS text_content, text_content AS original_text_backup, true AS is_compressed, list_filter(tags, lambda t: t <> 'topic:triage') AS tags, coalesce(version, 0) + 1 AS version
+    f"""WITH {MEM} SELECT memory_id, left(text_content, 60) AS text_content, text_content AS original_text_backup, true AS is_compressed, list_filter(tags, lambda t: t <> 'system:high_priority_distillation') AS tags, coalesce(version, 0) + 1 AS version
     FROM mem WHERE NOT coalesce(is_compressed, false) AND length(text_content) > 200""",
 )
 def compress_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long texts replaced by a summary (here their beginning), the original kept, the queue tag taken off, the vector untouched."""
-    m = memories(spark, sf_dir).where(~F.coalesce("is_compressed", F.lit(False)) & (F.length("text_content") > 200))
-    return m.select(
-        "memory_id", F.substring("text_content", 1, 60).alias("text_content"), F.col("text_content").alias("original_text_backup"), F.lit(True).alias("is_compressed"),
-        F.array_remove("tags", "topic:triage").alias("tags"), (F.coalesce("version", F.lit(0)) + 1).alias("version"),
+    return compressed(memories(spark, sf_dir)).select("memory_id", "text_content", "original_text_backup", "is_compressed", "tags", "version")
+
+
+def compressed(m: DataFrame) -> DataFrame:
+    """The long uncompressed memories of `m` after compression, with all their columns."""
+    m = m.where(~F.coalesce("is_compressed", F.lit(False)) & (F.length("text_content") > 200))
+    return m.withColumns(
+        {
+            "original_text_backup": F.col("text_content"), "text_content": F.substring("text_content", 1, 60), "is_compressed": F.lit(True),
+            "tags": F.array_remove("tags", S.QUEUE_TAG), "version": F.coalesce("version", F.lit(0)) + 1,
+        }
     )

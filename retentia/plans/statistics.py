@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions import score as S
 from retentia.operators import rank, stats
-from retentia.plans.common import CAND, COMP, MEM, NOW, RRF, candidates, memories, scored, sql_rerank
+from retentia.plans.common import CAND, COMP, MEM, NOW, RRF, TOPIC_SQL, candidates, memories, scored, sql_rerank, topic
 from retentia.plans.registry import Registry
 from retentia.sources.tables import table
 
@@ -22,13 +22,7 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"), F.count("x").alias("n"))
 
 
-_TYPE = "coalesce(list_filter(list_transform(tags, lambda t: CASE WHEN starts_with(t, 'topic:') THEN substr(t, 7) END), lambda t: t IS NOT NULL)[1], 'unknown')"
-
-
-def topic():
-    """What the first topic tag names, else unknown."""
-    named = F.filter("tags", lambda t: t.startswith("topic:"))
-    return F.coalesce(F.substring(F.try_element_at(named, F.lit(1)), 7, 1000), F.lit("unknown"))
+_TYPE = TOPIC_SQL
 
 
 @add("type_separation", f"WITH {COMP} SELECT {_TYPE} AS type, count(*)::bigint AS n, round(avg(s), 6) AS mean_s, round(min(s), 6) AS low, round(max(s), 6) AS high FROM scored GROUP BY 1")
@@ -301,59 +295,22 @@ def simplex_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex(spark)
 
 
-@add(
-    "auroc_grid",
-    f"""WITH {COMP}, {GRID}, x AS (SELECT wr, wf, wu, wp, round(wr * r + wf * f + wu * u + wp * p, 6) AS v, frequency >= 2 AS y FROM scored, g WHERE wr + wf + wu + wp > 0 AND wr IN (0e0, 0.3e0, 0.6e0)),
-    k AS (SELECT *, rank() OVER (PARTITION BY wr, wf, wu, wp ORDER BY v) + (count(*) OVER (PARTITION BY wr, wf, wu, wp, v) - 1) / 2e0 AS mr FROM x)
-    SELECT wr, wf, wu, wp, round((sum(mr) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2e0) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)), 6) AS auc FROM k GROUP BY ALL""",
-)
-def auroc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUROC of every weighting on three of the grid's planes; memories meet the grid as an array, not as a join."""
-    return _auroc_of_grid(spark, sf_dir)
+WHOLE_GRID = f"""WITH {COMP}, {GRID}, x AS (SELECT wr, wf, wu, wp, round(wr * r + wf * f + wu * u + wp * p, 6) AS v, frequency >= 2 AS y FROM scored, g),
+    k AS (SELECT *, rank() OVER (PARTITION BY wr, wf, wu, wp ORDER BY v) + (count(*) OVER (PARTITION BY wr, wf, wu, wp, v) - 1) / 2e0 AS mr FROM x WHERE y IS NOT NULL),
+    t AS (SELECT wr, wf, wu, wp, (sum(mr) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2e0) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)) AS auc FROM k GROUP BY ALL)"""
 
 
 def _auroc_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = [r for r in simplex(spark).collect() if r["wr"] in (0.0, 0.3, 0.6)]
-    weights = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("wr", "wf", "wu", "wp"))) for r in grid))
-    m = scored(spark, sf_dir).select("r", "f", "u", "p", (F.col("frequency") >= 2).alias("y"), F.explode(weights).alias("w"))
-    v = F.round(F.col("w.wr") * F.col("r") + F.col("w.wf") * F.col("f") + F.col("w.wu") * F.col("u") + F.col("w.wp") * F.col("p"), 6)
-    keyed = m.select("w.*", v.alias("v"), "y")
-    return stats.auroc(keyed, "v", "y", ["wr", "wf", "wu", "wp"]).drop("n_pos", "n_neg")
-
-
-_SELECT = """, z AS (SELECT *, abs(wr - 0.3e0) + abs(wf - 0.2e0) + abs(wu - 0.3e0) + abs(wp - 0.2e0) AS l1, max(auc) OVER () AS best FROM t)
-    SELECT wr, wf, wu, wp, auc FROM z WHERE auc >= best - 1e-12 ORDER BY round(l1, 9), wr, wf, wu, wp LIMIT 1"""
-
-
-@add("select_config", registry.sql["auroc_grid"].replace("SELECT wr, wf, wu, wp, round((sum(mr)", ", t AS (SELECT wr, wf, wu, wp, round((sum(mr)", 1) + ")" + _SELECT)
-def select_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best weighting; of equals the one closest to the default, then in order."""
-    t = _auroc_of_grid(spark, sf_dir)
-    l1 = F.round(F.abs(F.col("wr") - 0.3) + F.abs(F.col("wf") - 0.2) + F.abs(F.col("wu") - 0.3) + F.abs(F.col("wp") - 0.2), 9)
-    best = t.agg(F.max("auc").alias("best"))
-    tied = t.crossJoin(F.broadcast(best)).where(F.col("auc") >= F.col("best") - 1e-12)
-    return tied.orderBy(l1, "wr", "wf", "wu", "wp").limit(1).select("wr", "wf", "wu", "wp", "auc")
-
-
-@add("top10_configs", f"SELECT * FROM ({registry.sql['auroc_grid']}) ORDER BY auc DESC, wr, wf, wu, wp LIMIT 10")
-def top10_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auroc_of_grid(spark, sf_dir).orderBy(F.desc("auc"), "wr", "wf", "wu", "wp").limit(10)
-
-
-WHOLE_GRID = registry.sql["auroc_grid"].replace(" AND wr IN (0e0, 0.3e0, 0.6e0)", "")
-
-
-def _auroc_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(wr, wf, wu, wp, auc) of all 286 weightings, auc not rounded."""
     grid = [tuple(g) for g in simplex(spark).select("wr", "wf", "wu", "wp").collect()]
     m = scored(spark, sf_dir).select("r", "f", "u", "p", (F.col("frequency") >= 2).alias("y"))
     return stats.auroc_of_weights(m, ["r", "f", "u", "p"], "y", ["wr", "wf", "wu", "wp"], [(g, g) for g in grid]).drop("n_pos", "n_neg")
 
 
-@add("auroc_grid_all", WHOLE_GRID)
-def auroc_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@add("auroc_grid", f"{WHOLE_GRID} SELECT wr, wf, wu, wp, round(auc, 6) AS auc FROM t")
+def auroc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUROC of every weighting of the grid."""
-    return _auroc_of_all(spark, sf_dir).withColumn("auc", F.round("auc", 6))
+    return _auroc_of_grid(spark, sf_dir).withColumn("auc", F.round("auc", 6))
 
 
 def best_config(t: DataFrame) -> DataFrame:
@@ -363,15 +320,19 @@ def best_config(t: DataFrame) -> DataFrame:
     return rows.orderBy(l1, "wr", "wf", "wu", "wp").limit(1).select("wr", "wf", "wu", "wp", F.round("auc", 6).alias("auc"))
 
 
-@add("select_config_all")
-def select_config_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of all weightings."""
-    return best_config(_auroc_of_all(spark, sf_dir))
+@add(
+    "select_config",
+    f"""{WHOLE_GRID}, z AS (SELECT *, abs(wr - 0.3e0) + abs(wf - 0.2e0) + abs(wu - 0.3e0) + abs(wp - 0.2e0) AS l1, max(auc) OVER () AS best FROM t)
+    SELECT wr, wf, wu, wp, round(auc, 6) AS auc FROM z WHERE auc > best - 1e-12 ORDER BY round(l1, 9), wr, wf, wu, wp LIMIT 1""",
+)
+def select_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best weighting; of equals the one closest to the default, then in order."""
+    return best_config(_auroc_of_grid(spark, sf_dir))
 
 
-@add("top10_configs_all", f"SELECT * FROM ({WHOLE_GRID}) ORDER BY auc DESC, wr, wf, wu, wp LIMIT 10")
-def top10_configs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return auroc_grid_all(spark, sf_dir).orderBy(F.desc("auc"), "wr", "wf", "wu", "wp").limit(10)
+@add("top10_configs", f"{WHOLE_GRID} SELECT wr, wf, wu, wp, round(auc, 6) AS auc FROM t ORDER BY round(auc, 6) DESC, wr, wf, wu, wp LIMIT 10")
+def top10_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auroc_grid(spark, sf_dir).orderBy(F.desc("auc"), "wr", "wf", "wu", "wp").limit(10)
 
 
 @add(

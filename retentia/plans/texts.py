@@ -14,7 +14,12 @@ registry = Registry()
 add = registry.add
 
 #: Words without content (fixed values).
-STOP = ("a", "an", "and", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "was", "with")
+STOP = (
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "by", "with", "from", "is", "are",
+    "was", "were", "be", "been", "which", "what", "who", "whom", "whose", "where", "when",
+    "how", "did", "does", "do", "that", "this", "as", "and", "or", "it", "its", "their", "his",
+    "her", "country", "city",
+)
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 
@@ -24,14 +29,16 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_answer(x: Column) -> Column:
-    """Lower case, without articles and punctuation (ASCII), single spaces."""
-    x = F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")
-    x = F.regexp_replace(x, r"\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(x, " +", " "))
+    """Lower case, articles out first (words in any script), then all but ASCII letters and digits, single spaces."""
+    x = F.regexp_replace(F.lower(x), r"(?U)\b(a|an|the)\b", " ")
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
 def _norm_sql(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+    # no look-around here: a separator that two articles share is found by the second pass
+    once = f"regexp_replace(lower({x}), '(^|[^\\pL\\pM\\pN_])(a|an|the)([^\\pL\\pM\\pN_]|$)', '\\1 \\3', 'g')"
+    twice = f"regexp_replace({once}, '(^|[^\\pL\\pM\\pN_])(a|an|the)([^\\pL\\pM\\pN_]|$)', '\\1 \\3', 'g')"
+    return f"trim(regexp_replace({twice}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 @add("normalize_answer", f"SELECT item_id, {_norm_sql('question')} AS question, {_norm_sql('answer')} AS answer FROM eval_items")
@@ -52,31 +59,46 @@ def answer_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("item_id", (F.contains(normalized_answer(F.col("item_text")), answer) & (answer != "")).alias("present"))
 
 
-_VERDICTS = ["**YES**, it holds", "no.", "`NO` because", "Yesterday", "\"yes\"", "maybe YES", "", "NOT sure", "'No'"]
+_MARKS = r"""^["'*`]*(YES|NO)\b"""
 
 
-@add(
-    "parse_verdict",
-    """WITH v AS (SELECT unnest(['**YES**, it holds', 'no.', '`NO` because', 'Yesterday', '"yes"', 'maybe YES', '', 'NOT sure', '''No''']) AS reply)
-    SELECT reply, CASE WHEN regexp_extract(upper(trim(reply)), '^["''*` ]*(YES|NO)\\b', 1) <> '' THEN regexp_extract(upper(trim(reply)), '^["''*` ]*(YES|NO)\\b', 1) ELSE 'NEUTRAL' END AS verdict FROM v""",
-)
-def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verdict(reply: Column) -> Column:
     """YES or NO as the first whole word behind quotes and marks, else NEUTRAL."""
-    v = spark.createDataFrame([(x,) for x in _VERDICTS], "reply string")
-    first = F.regexp_extract(F.upper(F.trim("reply")), r"""^["'*` ]*(YES|NO)\b""", 1)
-    return v.select("reply", F.when(first != "", first).otherwise("NEUTRAL").alias("verdict"))
+    first = F.regexp_extract(F.upper(F.btrim(reply, F.lit(" \t\r\n"))), _MARKS, 1)
+    return F.when(first != "", first).otherwise("NEUTRAL")
+
+
+# Replies as a judge writes them, one of several forms by the length of a document.
+_REPLY = """CASE n_tokens % 6 WHEN 0 THEN '**YES**, ' || left(text, 40) WHEN 1 THEN ' no.' WHEN 2 THEN '`NO` because ' || left(text, 40) WHEN 3 THEN 'NOT sure' WHEN 4 THEN '"yes"' ELSE text END"""
+
+
+@add("parse_verdict", f"""WITH v AS (SELECT doc_id, {_REPLY} AS reply FROM documents), f AS (SELECT doc_id, regexp_extract(upper(trim(reply, E' \t\r\n')), '^["''*`]*(YES|NO)\\b', 1) AS f FROM v) SELECT doc_id, CASE WHEN f <> '' THEN f ELSE 'NEUTRAL' END AS verdict FROM f""")
+def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts read out of replies, here built from the documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", verdict(F.expr(_REPLY)).alias("verdict"))
+
+
+_SCALE = r"(?i)\b1\s*(?:-|–|to)\s*10\b|\bout of\s*10\b|/\s*10\b|\bscale of\b"
+
+
+def rating(reply: Column, verbose: bool = False) -> Column:
+    """The first whole number from 1 to 10; with `verbose` phrases about the scale are taken out first."""
+    n = F.regexp_extract(F.regexp_replace(reply, _SCALE, " ") if verbose else reply, r"\b(10|[1-9])\b", 1)
+    return F.when(n != "", n.cast("int"))
+
+
+_RATED = """CASE n_tokens % 5 WHEN 0 THEN 'On a scale of 1 to 10, I would rate this a ' || (n_tokens % 10 + 1) WHEN 1 THEN '1-10: ' || (n_tokens % 10 + 1) WHEN 2 THEN (n_tokens % 12) || '/10' WHEN 3 THEN '' ELSE text END"""
 
 
 @add(
     "parse_rating",
-    """WITH v AS (SELECT unnest(['7', 'Rating: 10', 'on a scale of 1 to 10: 3', 'none', '11', 'I say 4/10']) AS reply), c AS (SELECT reply, regexp_replace(lower(reply), 'scale of 1 (to|-) 10|/ ?10|out of 10', ' ', 'g') AS t FROM v)
-    SELECT reply, CASE WHEN regexp_extract(t, '\\b(10|[1-9])\\b', 1) <> '' THEN regexp_extract(t, '\\b(10|[1-9])\\b', 1)::int END AS rating FROM c""",
+    f"""WITH v AS (SELECT doc_id, {_RATED} AS reply FROM documents), c AS (SELECT doc_id, reply, regexp_replace(reply, '{_SCALE}', ' ', 'g') AS t FROM v)
+    SELECT doc_id, nullif(regexp_extract(reply, '\\b(10|[1-9])\\b', 1), '')::int AS short, nullif(regexp_extract(t, '\\b(10|[1-9])\\b', 1), '')::int AS verbose FROM c""",
 )
 def parse_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first whole number from 1 to 10, phrases about the scale taken out first."""
-    v = spark.createDataFrame([("7",), ("Rating: 10",), ("on a scale of 1 to 10: 3",), ("none",), ("11",), ("I say 4/10",)], "reply string")
-    n = F.regexp_extract(F.regexp_replace(F.lower("reply"), "scale of 1 (to|-) 10|/ ?10|out of 10", " "), r"\b(10|[1-9])\b", 1)
-    return v.select("reply", F.when(n != "", n.cast("int")).alias("rating"))
+    """Ratings in the short form and in the verbose one, out of replies built from the documents."""
+    reply = F.expr(_RATED)
+    return table(spark, sf_dir, "documents").select("doc_id", rating(reply).alias("short"), rating(reply, True).alias("verbose"))
 
 
 @add(
@@ -242,40 +264,62 @@ def sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "contexts").select("context_id", F.concat(safe, F.lit("_"), F.substring(F.sha2(F.concat("source", index), 256), 1, 8)).alias("name"))
 
 
+_HINT = "CASE n_tokens % 3 WHEN 0 THEN 'Please try again in ' || n_tokens || 'ms.' WHEN 1 THEN 'try again in ' || (n_tokens % 60) || '.5s' ELSE text END"
+
+
 @add(
     "retry_hint",
-    """WITH m AS (SELECT unnest(['try again in 1.5s', 'Please try again in 200ms.', 'later']) AS msg), p AS (SELECT msg, regexp_extract(msg, 'try again in ([0-9.]+)(ms|s)', 1) AS n, regexp_extract(msg, 'try again in ([0-9.]+)(ms|s)', 2) AS unit FROM m)
-    SELECT msg, CASE WHEN unit = 'ms' THEN n::double / 1e3 WHEN unit = 's' THEN n::double END AS seconds FROM p""",
+    f"""WITH m AS (SELECT doc_id, {_HINT} AS msg FROM documents), p AS (SELECT doc_id, regexp_extract(msg, 'try again in ([0-9.]+)(ms|s)', 1) AS n, regexp_extract(msg, 'try again in ([0-9.]+)(ms|s)', 2) AS unit FROM m)
+    SELECT doc_id, CASE WHEN unit = 'ms' THEN try_cast(n AS double) / 1e3 WHEN unit = 's' THEN try_cast(n AS double) END AS seconds FROM p""",
 )
 def retry_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame([("try again in 1.5s",), ("Please try again in 200ms.",), ("later",)], "msg string")
+    """Seconds to wait that an error message names, null where it names none; messages are built from the documents."""
+    m = table(spark, sf_dir, "documents").select("doc_id", F.expr(_HINT).alias("msg"))
     n, unit = (F.regexp_extract("msg", "try again in ([0-9.]+)(ms|s)", i) for i in (1, 2))
-    return m.select("msg", F.when(unit == "ms", n.try_cast("double") / 1e3).when(unit == "s", n.try_cast("double")).alias("seconds"))
+    return m.select("doc_id", F.when(unit == "ms", n.try_cast("double") / 1e3).when(unit == "s", n.try_cast("double")).alias("seconds"))
 
 
-@add("session_literals")
+@add(
+    "session_literals",
+    """SELECT context_id, strftime(created_at, '%Y/%m/%d') AS day, (row_number() OVER (PARTITION BY context_id ORDER BY i) - 1)::int AS nth, 'user' AS role, t AS content
+    FROM (SELECT context_id, created_at, i, units[i].text AS t FROM (SELECT context_id, created_at, units, unnest(range(1, len(units) + 1)) AS i FROM contexts)) WHERE t IS NOT NULL AND created_at IS NOT NULL""",
+)
 def session_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns out of a literal list that alternates dates and lists of turns (not JSON, so read in Arrow batches)."""
+    """Turns out of literal lists that alternate days and lists of turns, one literal a context, here written from its units."""
+    text = lambda u: F.replace(F.replace(F.replace(F.replace(u["text"], F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    turns = F.transform(F.filter("units", lambda u: u["text"].isNotNull()), lambda u: F.concat(F.lit("{'role': 'user', 'content': '"), text(u), F.lit("'}")))
+    literal = F.concat(F.lit("['"), F.date_format("created_at", "yyyy/MM/dd"), F.lit("', ["), F.array_join(turns, ", "), F.lit("]]"))
+    return literal_turns(table(spark, sf_dir, "contexts").select("context_id", literal.alias("literal")), "context_id", "literal")
+
+
+def literal_turns(df: DataFrame, key: str, literal: str) -> DataFrame:
+    """(key, day, nth, role, content) of literal lists (not JSON, so read in Arrow batches); null and broken ones give no row."""
     import ast
 
-    literal = "['2023/05/21', [{'role': 'user', 'content': \"it's here\"}], '2023/05/22', [{'role': 'agent', 'content': 'ok'}, {'role': 'user', 'content': 'thanks'}]]"
-    raw = spark.createDataFrame([(1, literal), (2, "[]"), (3, None), (4, "broken [")], "session long, literal string")
+    import pyarrow as pa
 
-    def parse(batches):
-        import pandas as pd
+    slim = df.select(F.col(key).alias("key"), F.col(literal).alias("literal"))
+    kind = slim.schema["key"].dataType.simpleString()
 
-        for pdf in batches:
-            rows = []
-            for session, text in zip(pdf.session, pdf.literal):
+    def parse(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for row, text in enumerate(batch.column("literal").to_pylist()):
                 try:
                     parts = ast.literal_eval(text) if text is not None else []
-                except (ValueError, SyntaxError):
+                except (ValueError, SyntaxError, MemoryError, RecursionError):
                     parts = []
+                if not isinstance(parts, list):
+                    continue
                 for day, turns in zip(parts[::2], parts[1::2]):
-                    rows += [(session, day, nth, t.get("role"), t.get("content")) for nth, t in enumerate(turns)]
-            yield pd.DataFrame(rows, columns=["session", "day", "nth", "role", "content"])
-
-    return raw.mapInPandas(parse, "session long, day string, nth int, role string, content string")
+                    rows += [(row, str(day), nth, t.get("role"), t.get("content")) for nth, t in enumerate(turns)]
+            if rows:
+                at, day, nth, role, content = zip(*rows)
+                arrays = [batch.column("key").take(pa.array(at)), pa.array(day, pa.string()), pa.array(nth, pa.int32()), pa.array(role, pa.string()), pa.array(content, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "day", "nth", "role", "content"])
+
+    found = slim.mapInArrow(parse, f"key {kind}, day string, nth int, role string, content string")
+    return found.withColumnRenamed("key", key)
 
 
 @add("qa_pairs", "SELECT context_id, (i - 1)::int AS nth, questions[i] AS question FROM (SELECT context_id, questions, unnest(range(1, len(questions) + 1)) AS i FROM contexts)")

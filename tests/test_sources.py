@@ -44,7 +44,7 @@ def test_cache_and_checksums(spark, tmp_path):
 
 def test_providers(spark):
     df = spark.createDataFrame([("Blue kettle", "kettle blue"), (None, ""), ("x", None)], "a string, b string")
-    rows = df.select(providers.unit(providers.hashing_vector(F.col("a"), 32)).alias("v"), providers.hashing_vector(F.col("b"), 8).alias("w"), providers.lexical_verdict(F.col("a"), F.col("b")).alias("j")).collect()
+    rows = df.select(providers.hashing_vector(F.col("a"), 32, unit=True).alias("v"), providers.hashing_vector(F.col("b"), 8).alias("w"), providers.lexical_verdict(F.col("a"), F.col("b")).alias("j")).collect()
     assert abs(sum(x * x for x in rows[0]["v"]) - 1) < 1e-9 and rows[0]["j"] == "YES" and rows[1]["j"] == "NEUTRAL" and rows[1]["v"] == [0.0] * 32
     lengths = providers.with_encoder(df, "a", lambda: lambda texts: [[float(len(t))] for t in texts]).collect()
     assert [r["vector"] for r in lengths] == [[11.0], None, [1.0]]

@@ -14,7 +14,7 @@ SF = f"{oracle.DATA}/sf0.01"
 
 
 def test_every_context_is_answered(spark):
-    got = eviction.asof_visible_all(spark, SF)
+    got = eviction.asof_visible(spark, SF)
     first = eviction.memories(spark, SF).agg(F.min("created_ts")).first()[0]
     asked = [r["context_id"] for r in eviction.table(spark, SF, "contexts").where(F.unix_micros("created_at") / 1e6 >= first).collect()]
     assert sorted(r["context_id"] for r in got.collect()) == sorted(asked) and any(c % 20 for c in asked)
@@ -73,9 +73,9 @@ def test_auroc_of_weights_equals_brute_force(spark, monkeypatch, rows):
 
 
 def test_all_weightings_are_scored_and_the_best_is_chosen(spark):
-    got = {tuple(r)[:4]: r["auc"] for r in statistics.auroc_grid_all(spark, SF).collect()}
+    got = {tuple(r)[:4]: r["auc"] for r in statistics.auroc_grid(spark, SF).collect()}
     assert len(got) == 286 and (1.0, 0.0, 0.0, 0.0) in got
-    best = statistics.select_config_all(spark, SF).first()
+    best = statistics.select_config(spark, SF).first()
     assert best["auc"] == max(got.values())
 
 
@@ -104,7 +104,7 @@ def test_files_are_packed_in_one_pass(spark):
 def test_every_weighting_and_rate_is_tuned(spark):
     """Equals the AUROC and the deletion of plain loops over all facts."""
     f = extras.facts(spark, SF).where("sessions IS NOT NULL").withColumn("tie", F.md5(F.concat(F.lit("evict:"), F.col("cluster_id")))).toPandas().sort_values("tie")
-    got = {tuple(r)[:5]: (r["auc"], r["harm"]) for r in extras.tune_grid_all(spark, SF).collect()}
+    got = {tuple(r)[:5]: (r["auc"], r["harm"]) for r in extras.tune_grid(spark, SF).collect()}
     assert len(got) == 1430
     mentions = f.mentions.fillna(0).to_numpy(float)
     y = np.array([any(x > c for x in s) for s, c in zip(f.sessions, f.created_session)])
