@@ -32,13 +32,29 @@ def closed_loop(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[
     """State update of one key: what is shown follows the success rate so far, and the event decides what is learnt.
 
     For applyInPandasWithState with the state (success_count long, failure_count long); `closed_loop_batch` gives the
-    same rows over a whole table.
+    same rows over a whole table. A trigger's rows of the key are gathered and sorted once, however many batches they
+    come in. With an event-time timeout (`feedback_stream`) the state of a silent key ends.
     """
+    if state.hasTimedOut:
+        state.remove()
+        return
     success, failure = state.get if state.exists else (0, 0)
-    for batch in batches:
-        out, success, failure = _advance(batch, success, failure)
-        yield out.assign(key=key[0])[["key", "at", "shown", "success_count", "failure_count"]]
+    rows = pd.concat(list(batches))
+    out, success, failure = _advance(rows, success, failure)
     state.update((success, failure))
+    if state._timeout_conf == "EventTimeTimeout":
+        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
+    yield out.assign(key=key[0])[["key", "at", "shown", "success_count", "failure_count"]]
+
+
+#: Milliseconds of event time after which a silent key's state ends.
+IDLE_MS = 30 * 86_400_000
+
+
+def feedback_stream(events: DataFrame, late: str = LATE) -> DataFrame:
+    """`closed_loop` over a stream (key, at, kind): rows later than `late` are dropped, silent keys forgotten."""
+    marked = events.withWatermark("at", late)
+    return marked.groupBy("key").applyInPandasWithState(closed_loop, CLOSED_LOOP, "success_count long, failure_count long", "append", "EventTimeTimeout")
 
 
 def _advance(rows: pd.DataFrame, success: int, failure: int) -> tuple[pd.DataFrame, int, int]:
