@@ -1,14 +1,18 @@
 """Texts garbled by a wrong character decoding.
 
-Method: the sequences that each plausible character turns into under each pair of (true, assumed) encodings are
-computed once, put into one multi-pattern automaton, and matched longest first; only matched spans are replaced, so
-correct text around them stays as it is. Text garbled twice is restored by a second pass over its own result.
+Method: what characters turn into under each pair of (true, assumed) encodings is computed once and put into two
+multi-pattern automata. The first holds UTF-8 read in single-byte and multi-byte encodings and is matched longest
+first; the second holds pairs of letters of single-byte and double-byte encodings read in others, signs that such a
+reading puts inside words, and the replacement character. Only matched spans, or the words around them, are replaced,
+so correct text stays as it is. Text garbled several times is restored pass by pass: every pass makes the text shorter
+in UTF-8, so it ends by itself.
 
 Evidence. A sequence that cannot stand in correct text by chance is strong. One that can (a capital accented letter
 before a closing quote, box-drawing or mathematical signs, a lone CJK character, a Cyrillic pair) counts only inside
 a word of the other script, next to another sequence, or in a document with a strong sequence of the same pair.
-Replacement characters prove a lossy decoding; what they stood for is lost. Cyrillic read in the wrong single-byte
-encoding has no fixed sequences: its words are read again in each encoding and compared by letter frequencies.
+Replacement characters prove a lossy decoding; what they stood for is lost. A hit of the second automaton is a place to
+look: the words around it are read again in the encodings that may be meant and count only if they are words of that
+script and were none of the one they stood in (letter frequencies, capitals inside words, signs between letters).
 
 Defined results: null, empty and pure ASCII texts are never cases; repeated rows are treated alike; text beyond the
 matched spans comes back unchanged, so repairing a correct text returns it.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +43,11 @@ MULTI_BYTE = ("gbk", "big5", "cp932", "cp949", "euc_jp")
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
 #: Western single-byte pairs (true, assumed) in which accented letters turn into signs inside words.
 WESTERN = tuple((a, b) for a in ("cp1252", "mac_roman", "cp850", "cp437") for b in ("cp1252", "mac_roman", "cp850", "cp437") if a != b)
+#: Central European pairs of the same kind.
+CENTRAL = tuple((a, b) for a in ("cp1250", "iso8859-2", "cp852") for b in ("cp1252", "latin-1"))
+#: Encodings of other scripts that are read in a Western one: single-byte ones by script, and double-byte ones.
+GREEK = ("cp1253", "iso8859-7")
+DOUBLE_BYTE = ("euc_jp", "shift_jis", "euc_kr", "gb2312", "big5")
 
 #: Characters that correct text of the covered languages holds beyond ASCII.
 LETTERS = "".join(chr(c) for c in (*range(0xC0, 0x180), 0x218, 0x219, 0x21A, 0x21B, *range(0x391, 0x3CA), *range(0x410, 0x450), 0x401, 0x451)
@@ -49,6 +59,14 @@ _CLOSERS = set("”’…»–—™›")
 #: Frequencies of Russian letters, per ten thousand, in alphabetical order from а to я with ё last (fixed values).
 _RUSSIAN = [801, 159, 454, 170, 298, 845, 94, 165, 735, 121, 349, 440, 321, 670, 1097, 281, 473, 547, 626, 262, 26, 97, 48, 144, 73, 36, 4, 190, 174, 32, 64, 201, 4]
 _CYRILLIC_LOG = {c: math.log(n / 10000) for c, n in zip("абвгдежзийклмнопрстуфхцчшщъыьэюяё", _RUSSIAN)}
+#: Frequencies, per ten thousand, of letters of the other Cyrillic alphabets (fixed values).
+_OTHERS = {"і": 575, "ї": 65, "є": 61, "ґ": 5, "ў": 120, "ј": 510, "љ": 54, "њ": 61, "ћ": 65, "ђ": 22, "џ": 5, "ѕ": 5, "ѓ": 10, "ќ": 20}
+_ANY_CYRILLIC_LOG = _CYRILLIC_LOG | {c: math.log(n / 10000) for c, n in _OTHERS.items()}
+#: Frequencies of Greek letters without accents, per ten thousand, from α to ω with ς last (fixed values).
+_GREEK = [1200, 60, 170, 170, 840, 50, 490, 130, 900, 410, 290, 340, 640, 60, 980, 400, 430, 490, 790, 430, 80, 120, 10, 200, 340]
+_GREEK_LOG = {c: math.log(n / 10000) for c, n in zip("αβγδεζηθικλμνξοπρστυφχψως", _GREEK)}
+#: Frequent characters that tell double-byte readings apart (fixed values).
+_FREQUENT = {"euc_kr": "이가는을를다의에하고요은니로한지기사도서", "gb2312": "的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年", "big5": "的一是不了在人有我他這中大來上國個到說們為子和你地出道也時年", "shift_jis": "のにはをたがでてとしれさるなもこいりすんくまっ", "euc_jp": "のにはをたがでてとしれさるなもこいりすんくまっ"}
 _FLOOR = math.log(2e-5)
 #: Mean log frequency that Russian phrases exceed.
 LIKELY = -3.8
@@ -56,7 +74,7 @@ LIKELY = -3.8
 _LONG_RUN = re.compile(r"[^\x00-\x7f]{6,}")
 _CYRILLIC_PHRASE = re.compile(r"[Ѐ-ӿ]+(?:[ ,.!?;:()\"'-]{1,3}[Ѐ-ӿ]+)*")
 _HIGH = "\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™"
-_HIGH_PHRASE = re.compile(rf"(?<![A-Za-z0-9])[{_HIGH}]+(?:[ ,.!?;:()\"'-]{{1,3}}[{_HIGH}]+)*(?![A-Za-z0-9])")
+_HIGH_PHRASE = re.compile(rf"(?<![A-Za-z0-9{_HIGH}])[{_HIGH}]+(?:[ ,.!?;:()\"'-]{{1,3}}[{_HIGH}]+)*(?![A-Za-z0-9{_HIGH}])")
 _LETTER_RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = "�"
 _CJK = re.compile("[⺀-鿿가-힯豈-﫿｡-ﾟ]")
@@ -83,7 +101,7 @@ def _strong(garbled: str) -> bool:
     if lead in "√¬":
         return tail.isalpha() and tail not in "πΩƒªº" or tail in "©®™"
     if "Ѐ" <= lead <= "ӿ":
-        return not ("А" <= tail <= "я" or tail in "ёЁ" or tail in _CLOSERS or tail in "«“„")
+        return not (tail.isalpha() or tail in _CLOSERS or tail in "«“„")
     if "Α" <= lead <= "ω":
         return not (tail.isalpha() or tail in _CLOSERS)
     if not lead.isalpha():
@@ -95,7 +113,7 @@ def _strong(garbled: str) -> bool:
 
 def _plain_letters(garbled: str) -> bool:
     """Whether it is two letters that one correct word may well hold side by side."""
-    return len(garbled) == 2 and (all(c in _CYRILLIC_LOG for c in garbled.lower()) or all("À" <= c <= "ÿ" and c.isalpha() for c in garbled))
+    return len(garbled) == 2 and (all(c in _ANY_CYRILLIC_LOG for c in garbled.lower()) or all("À" <= c <= "ÿ" and c.isalpha() for c in garbled))
 
 
 class Sequence:
@@ -230,50 +248,210 @@ def _evident(text: str, hits: list[tuple[int, int, Sequence]], k: int) -> bool:
     return bool(near or letter and inside and lead != "¬")
 
 
-def _russian(phrase: str) -> float:
+@lru_cache(maxsize=1)
+def places() -> ahocorasick.Automaton:
+    """Where to look: what is garbled there as "lost", "cjk", "high", "cyrillic" or "inner"."""
+    found: dict[str, str] = {"\ufffd": "lost"}
+    for sign in _SIGN_TARGETS:
+        found[sign] = "inner"
+    found["Ã "] = "inner"
+    for capital in "".join(chr(c) for c in (*range(0xC0, 0xDF), 0x160, 0x17D, 0x152, 0x178) if c != 0xD7):
+        for small in "abcdefghijklmnopqrstuvwxyz":
+            found[small + capital] = "inner"
+    for encoding in SINGLE_BYTE:
+        for lead in range(0xE3, 0xF0):
+            for second in range(0x80, 0xC0):
+                found.setdefault(sloppy(bytes([lead, second]), encoding), "cjk")
+    letters = [chr(c) for c in (*range(0x410, 0x450), 0x401, 0x451)]
+    pairs = [a + b for a in letters for b in letters if b.islower()]
+    for true in CYRILLIC:
+        for assumed in CYRILLIC:
+            if true == assumed:
+                continue
+            table = {c: sloppy(c.encode(true), assumed) for c in letters}
+            for a, b in pairs:
+                garbled = table[a] + table[b]
+                # what a correct word holds is no place to look
+                if not (garbled.isalpha() and garbled[1].islower()):
+                    found.setdefault(garbled, "cyrillic")
+    high = bytes(range(0x80, 0x100))
+    for assumed in ("cp1252", "latin-1", "mac_roman"):
+        table = sloppy(high, assumed)
+        for a in table:
+            for b in table:
+                if not (a + b).isspace():
+                    found[a + b] = "high+cjk" if found.get(a + b) in ("cjk", "high+cjk") else "high"
+    machine = ahocorasick.Automaton()
+    for garbled, kind in found.items():
+        if not garbled.isascii():
+            machine.add_word(garbled, kind)
+    machine.make_automaton()
+    return machine
+
+
+def _regular(word: str) -> bool:
+    """Whether small and capital letters stand as words have them."""
+    return word[1:].islower() or word.isupper() or len(word) == 1
+
+
+def _likely(phrase: str, log: dict[str, float]) -> float:
     """Mean log frequency of a phrase's letters beyond ASCII, less in words of mixed case."""
     total, n = 0.0, 0
     for word in _LETTER_RUN.findall(phrase):
-        total += sum(_CYRILLIC_LOG.get(c, _FLOOR) for c in word.lower())
-        if not (word[1:].islower() or word.isupper() or len(word) == 1):
+        total += sum(log.get(c, _FLOOR) for c in word.lower())
+        if not _regular(word):
             total -= 2.0 * len(word)
         n += len(word)
     return total / max(1, n)
 
 
-def rereadings(text: str) -> list[tuple[int, int, str]]:
-    """Phrases of Cyrillic read in a wrong single-byte encoding, with their text read again."""
+def _bare(text: str) -> str:
+    """Without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+def cyrillic_rereadings(text: str) -> list[tuple[int, int, str]]:
+    """Phrases of Cyrillic read in another Cyrillic encoding, with their text read again.
+
+    The pair of encodings that gains most over the document stands. A phrase that is likely in any Cyrillic alphabet as
+    it is doesn't gain, so correct text of each of them is left alone.
+    """
     best: list[tuple[int, int, str]] = []
     gain = 0.0
     phrases = [m.span() for m in _CYRILLIC_PHRASE.finditer(text)]
-    readings = [(phrases, a, b) for a in CYRILLIC for b in CYRILLIC if a != b] if phrases else []
-    runs = [m.span() for m in _HIGH_PHRASE.finditer(text) if m.end() - m.start() > 3]
-    readings += [(runs, a, b) for a in CYRILLIC for b in ("cp1252", "latin-1", "mac_roman")] if runs else []
-    for where, true, assumed in readings:
-        out, better, letters = [], 0.0, 0
-        for start, end in where:
-            phrase = text[start:end]
-            data = _bytes_of(phrase, assumed)
-            if data is None:
+    for true in CYRILLIC if phrases else ():
+        for assumed in CYRILLIC:
+            if true == assumed:
                 continue
-            try:
-                again = data.decode(true)
-            except UnicodeDecodeError:
-                continue
-            n = sum(c.lower() in _CYRILLIC_LOG for c in again)
-            if n != sum(not c.isascii() for c in again):
-                continue
-            more = _russian(again) - _russian(phrase)
-            if more > 0.1:
-                out.append((start, end, again))
-            if more > 0.5 and _russian(again) > LIKELY and len(set(again)) > 4:
-                better += more * n
-                letters += n
-        if letters >= 8 and better > max(gain, 5.0):
-            best, gain = out, better
+            out, better, letters = [], 0.0, 0
+            for start, end in phrases:
+                phrase = text[start:end]
+                again = _again(phrase, true, assumed)
+                n = sum(c.lower() in _CYRILLIC_LOG for c in again)
+                if not n or n != sum(not c.isascii() for c in again):
+                    continue
+                before, after = _likely(phrase, _ANY_CYRILLIC_LOG), _likely(again, _CYRILLIC_LOG)
+                more = after - before
+                # beside proven phrases, those that lose nothing by it
+                if more > -0.3:
+                    out.append((start, end, again))
+                if more > 0.5 and after > LIKELY and len(set(again)) > 4:
+                    better += more * n
+                    letters += n
+            if letters >= 5 and better > max(gain, 5.0):
+                best, gain = out, better
     return best
 
 
+def _again(text: str, true: str, assumed: str) -> str:
+    """`text` read in `true` instead of `assumed`; empty where that cannot be."""
+    data = _bytes_of(text, assumed)
+    try:
+        return "" if data is None else data.decode(true)
+    except UnicodeDecodeError:
+        return ""
+
+
+def high_rereadings(text: str) -> list[tuple[int, int, str]]:
+    """Phrases of Western accented letters and signs that are words of another script, with their text read again.
+
+    Such a phrase has no ASCII letter, a run of four or more characters and isn't UTF-8; the reading in which it is
+    likeliest stands. Shorter and rarer phrases follow the reading that most of the document's phrases have.
+    """
+    out, rest = [], []
+    votes: Counter[tuple[str, str]] = Counter()
+    for m in _HIGH_PHRASE.finditer(text):
+        phrase = m.group()
+        ways = [(a, data) for a in ("cp1252", "latin-1", "mac_roman") if (data := _bytes_of(phrase, a)) is not None]
+        if any(_is_utf8(data) for _, data in ways):
+            continue
+        longest = max(map(len, _LETTER_RUN.findall(phrase)))
+        best, value, pair = "", LIKELY, None
+        for assumed, data in ways if longest >= 4 else ():
+            for encodings, log in _SCRIPTS:
+                for true in encodings:
+                    v, again = _as_script(data, true, log, 4)
+                    if again and v > value:
+                        best, value, pair = again, v, (true, assumed)
+            if best:
+                break
+            if not all(c.isalpha() or c.isascii() for c in phrase) or longest >= 8:
+                n = 0
+                for true in DOUBLE_BYTE:
+                    read = _double(data, true)
+                    common = sum(c in _FREQUENT[true] for c in read)
+                    if read and (common, not best) > (n, False) and (common or longest >= 6):
+                        best, n, pair = read, common, (true, assumed)
+            if best:
+                break
+        if best:
+            out.append((*m.span(), best))
+            votes[pair] += 1
+        else:
+            rest.append((m, dict(ways)))
+    if not votes:
+        return out
+    true, assumed = votes.most_common(1)[0][0]
+    for m, ways in rest:
+        if assumed in ways:
+            log = next((log for encodings, log in _SCRIPTS if true in encodings), None)
+            again = _as_script(ways[assumed], true, log, 1)[1] if log else _double(ways[assumed], true)
+            if again:
+                out.append((*m.span(), again))
+    return sorted(out)
+
+
+_SCRIPTS = ((CYRILLIC, _CYRILLIC_LOG), (GREEK, _GREEK_LOG))
+
+
+def _as_script(data: bytes, true: str, log: dict[str, float], different: int) -> tuple[float, str]:
+    """(mean log frequency, text) of `data` read in `true` if it is words of that script with enough different letters."""
+    try:
+        again = data.decode(true)
+    except UnicodeDecodeError:
+        return _FLOOR, ""
+    plain = _bare(again) if log is _GREEK_LOG else again
+    words = _LETTER_RUN.findall(plain)
+    if not words or not all(c.lower() in log for w in words for c in w) or len(set("".join(words).lower())) < different or not all(map(_regular, words)):
+        return _FLOOR, ""
+    return _likely(plain, log), again
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _double(data: bytes, encoding: str) -> str:
+    """`data` in a double-byte encoding if all of it beyond ASCII is of the characters in everyday use there."""
+    try:
+        read = data.decode(encoding)
+    except UnicodeDecodeError:
+        return ""
+    wide = [c for c in read if not c.isascii()]
+    if len(wide) < 2:
+        return ""
+    for c in wide:
+        lead = c.encode(encoding)[0]
+        kana = "\u3001" <= c <= "\u30ff"
+        if encoding == "euc_kr" and not "가" <= c <= "힣":
+            return ""
+        if encoding == "gb2312" and not (0xB0 <= lead <= 0xD7 or lead in (0xA1, 0xA3)):
+            return ""
+        if encoding == "big5" and not (0xA4 <= lead <= 0xC6 or lead in (0xA1, 0xA2)):
+            return ""
+        if encoding == "euc_jp" and not (kana or 0xB0 <= lead <= 0xCF):
+            return ""
+        if encoding == "shift_jis" and not (kana or 0x88 <= lead <= 0x97):
+            return ""
+    if encoding in ("euc_jp", "shift_jis") and not any("\u3041" <= c <= "\u30ff" for c in wide):
+        return ""
+    return read
+
+
 def foreign(text: str) -> list[tuple[int, int, str]]:
     """Runs that are two or more CJK characters in UTF-8, read in a single-byte encoding."""
     out = []
@@ -307,47 +485,122 @@ def _bytes_of(text: str, encoding: str) -> bytes | None:
     return bytes(out)
 
 
-def _inside_words(text: str) -> list[tuple[int, int, str]]:
-    """Signs that stand between small letters where a Western single-byte pair would have put an accented letter."""
-    out = []
-    for m in _SIGN_IN_WORD.finditer(text):
-        for target in _SIGN_TARGETS[m.group(1)]:
-            out.append((m.start(1), m.end(1), target))
-            break
-    return out
-
+def inner_rereadings(text: str) -> list[tuple[int, int, str]]:
+    """Words with a sign, or a capital, where a Western or Central European pair would have put an accented letter.
 
+    A sign between letters proves a pair, capitals inside words only together. The pair that makes letters of most such
+    words stands for the document; the other words that it makes regular, and that weren't, are read again as well.
+    """
+    out, signs, odd = [], set(), set()
+    for m in _SIGN_IN_WORD.finditer(text):
+        if m.group(2):
+            out.append((m.start(2), m.end(2), "à"))
+        else:
+            (signs if m.group(1) else odd).add(_word_at(text, m.start()))
+    proven = signs | odd if len(signs) + len(odd) > 1 else signs
+    if not proven:
+        return out
+    votes: Counter[tuple[str, str]] = Counter()
+    readings = {}
+    for a, b in proven:
+        readings[a, b] = own = {pair: again for pair in (*WESTERN, *CENTRAL) if (again := _reread_word(text[a:b], pair))}
+        votes.update(own.keys())
+    order = {pair: k for k, pair in enumerate((*WESTERN, *CENTRAL))}
+    ranked = sorted(votes, key=lambda p: (-votes[p], order[p]))
+    done = {}
+    for span, own in readings.items():
+        pair = next((p for p in ranked if p in own), None)
+        if pair is not None:
+            done[span] = own[pair]
+    for a, b in signs - done.keys():
+        known = [(i, _SIGN_TARGETS[text[i]][0]) for i in range(a, b) if text[i] in _SIGN_TARGETS and a < i]
+        for i, letter in known:
+            done[i, i + 1] = letter
+    for m in _MIXED_WORD.finditer(text) if ranked and done else ():
+        if m.span() not in done and not (m.group().isalpha() and _regular(m.group())):
+            again = _reread_word(m.group(), ranked[0])
+            if again and not any(a < m.end() and m.start() < b for a, b in done):
+                done[m.span()] = again
+    return sorted([*out, *((a, b, again) for (a, b), again in done.items())])
+
+
+def _word_at(text: str, at: int) -> tuple[int, int]:
+    """The span of letters and signs around a place."""
+    a = b = at
+    while a and (text[a - 1].isalpha() or text[a - 1] in _SIGN_TARGETS):
+        a -= 1
+    while b < len(text) and (text[b].isalpha() or text[b] in _SIGN_TARGETS):
+        b += 1
+    return a, b
+
+
+def _reread_word(word: str, pair: tuple[str, str]) -> str:
+    """The word read again where that gives a regular word of known letters, else nothing."""
+    again = _again(word, *pair)
+    good = again != word and again.isalpha() and _regular(again) and all(x in _TARGET_LETTERS for x in again.lower() if not x.isascii())
+    return again if good else ""
+
+
+#: What a sign inside a word may stand for, by sign, and all such letters.
 _SIGN_TARGETS: dict[str, list[str]] = {}
-for _true, _assumed in WESTERN:
-    for _c in "äöüéèêàáíóúñçãõâîôûïëåßøæœ":
+_TARGET_LETTERS = set("äöüéèêàáíóúñçãõâîôûïëåßøæœąćęłńśźżěščřžýůďťňőű")
+for _true, _assumed in (*WESTERN, *CENTRAL):
+    for _c in "äöüéèêàáíóúñçãõâîôûïëåßøæœąćęłńśźżěščřžýůďťňőű":
         try:
             _g = _c.encode(_true).decode(_assumed)
         except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        if not _g.isalpha() and not _g.isspace() and not _g.isascii() and _g not in _CLOSERS and _g not in "·­‐‑":
+        if not _g.isalpha() and not _g.isspace() and not _g.isascii() and _g not in _CLOSERS and _g not in "·\xad‐‑":
             _SIGN_TARGETS.setdefault(_g, []).append(_c)
-_SIGN_IN_WORD = re.compile("(?<=[a-z])([" + re.escape("".join(_SIGN_TARGETS)) + "])(?=[a-z])")
-#: What any garbled text holds: two characters beyond ASCII in a row, CJK, a replacement character, a sign in a word.
-_SUSPECT = re.compile("[^\x00-\x7f]{2}|[⺀-鿿가-힯｡-ﾟ�]|" + _SIGN_IN_WORD.pattern)
+_SIGNS_OF = re.escape("".join(_SIGN_TARGETS))
+#: A sign between letters or a block at a word's end; an à whose second character was taken for a blank; a capital
+#: between small letters.
+_SIGN_IN_WORD = re.compile(
+    f"((?<=[A-Za-z])[{_SIGNS_OF}](?=[a-zà-ÿšžœ])|(?<=[a-zà-ÿšžœ])[{_SIGNS_OF}](?=[a-z])|(?<=[a-z])▀)"
+    "|((?<![^ \\n(«“\"a-z])Ã)(?= [a-z])|(?<=[a-z])[À-ÖØ-ÞŠŽŒŸ](?=[a-z])"
+)
+_MIXED_WORD = re.compile(f"(?:[^\\W\\d_]|[{_SIGNS_OF}”’\x80-\x9f])*[^\x00-\x7f](?:[^\\W\\d_]|[{_SIGNS_OF}”’\x80-\x9f])*")
 
 
 def repair(text: str) -> tuple[str, int, int, bool]:
     """(restored text, sequences replaced, characters lost, whether anything is garbled)."""
-    if not _SUSPECT.search(text):
-        return text, 0, 0, False
-    lost = text.count(_LOST)
-    replaced = 0
-    for _ in range(4):
-        spans = foreign(text) or sequences(text)
+    whole, counts = restored(text)
+    lost = counts.pop("lost", 0)
+    replaced = sum(counts.values())
+    return whole, replaced, lost, bool(replaced or lost)
+
+
+def restored(text: str) -> tuple[str, dict[str, int]]:
+    """(restored text, spans by what found them: utf, cjk, cyrillic, high, inner; lost counts replacement characters)."""
+    counts: Counter[str] = Counter()
+    kinds = {k for _, kind in places().iter(text) for k in kind.split("+")} if not text.isascii() else set()
+    if "lost" in kinds:
+        counts["lost"] = text.count(_LOST)
+    text = _found(text, "high", high_rereadings, kinds, counts)
+    wide = "cjk" in kinds
+    while not text.isascii():
+        spans, name = foreign(text) if wide else [], "cjk"
+        if not spans:
+            spans, name = sequences(text), "utf"
         if not spans:
             break
-        replaced += len(spans)
-        text = _replace(text, spans)
-    for find in (rereadings, _inside_words):
-        spans = find(text)
-        replaced += len(spans)
+        again = _replace(text, spans)
+        counts[name] += len(spans)
+        if len(again.encode("utf-8", "surrogatepass")) >= len(text.encode("utf-8", "surrogatepass")):
+            break
+        text = again
+        wide = True
+    text = _found(text, "cyrillic", cyrillic_rereadings, kinds, counts)
+    text = _found(text, "inner", inner_rereadings, kinds, counts)
+    return text, dict(counts)
+
+
+def _found(text: str, name: str, find, kinds: set[str], counts: Counter) -> str:
+    spans = find(text) if name in kinds else []
+    if spans:
+        counts[name] += len(spans)
         text = _replace(text, spans)
-    return text, replaced, lost, bool(replaced or lost)
+    return text
 
 
 def _replace(text: str, spans: list[tuple[int, int, str]]) -> str:

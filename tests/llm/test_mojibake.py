@@ -53,3 +53,35 @@ def test_operator(spark):
     assert M.find_garbled(df.limit(0), [F.col("restored").alias("k")], F.col("text")).count() == 0
     back = M.find_garbled(df, [F.col("restored").alias("k")], F.col("text"))
     assert {r["restored"] for r in back.where("k = 5").collect()} == {"café"}
+
+
+@pytest.mark.parametrize("text", ["Ћирилица", "Ђорђе и Љубица у Новом Саду", "Привіт як справи сьогодні", "Це ціні в Україні ніколи, Рік Січ", "Българският език е хубав", "Καλημέρα κόσμε", "ääni öölätti", "5 m³ a day, 10 km² wide"])
+def test_other_languages_are_left_alone(text):
+    assert M.restored(text) == (text, {})
+
+
+def test_any_number_of_wrong_decodings():
+    text = "café"
+    for _ in range(6):
+        text = M.sloppy(text.encode(), "latin-1")
+    assert M.repair(text)[0] == "café"
+
+
+OTHER_PAIRS = [
+    ("привет", "cp1251", "latin-1"), ("Привет, как дела", "koi8-r", "latin-1"), ("Καλημέρα κόσμε", "cp1253", "latin-1"), ("Καλημέρα κόσμε", "iso8859-7", "cp1252"),
+    ("Zażółć gęślą jaźń", "cp1250", "cp1252"), ("Zażółć gęślą jaźń", "iso8859-2", "latin-1"), ("こんにちは", "shift_jis", "cp1252"), ("안녕하세요", "euc_kr", "latin-1"),
+    ("中国人民在这里", "gbk", "cp1252"), ("Straße", "cp1252", "cp850"), ("Fuß da", "cp1252", "cp850"), ("größere Käfige für", "mac_roman", "cp1252"), ("größere Käfige für", "cp850", "cp1252"),
+]
+
+
+@pytest.mark.parametrize("text,true,assumed", OTHER_PAIRS)
+def test_other_pairs_come_back(text, true, assumed):
+    assert M.repair(M.sloppy(text.encode(true), assumed))[0] == text
+
+
+def test_lost_no_break_space():
+    assert M.repair("a pizza Ã la carte")[0] == "a pizza à la carte"
+
+
+def test_paths_are_told_apart():
+    assert M.restored("cafÃ©")[1] == {"utf": 1} and M.restored("ïðèâåò")[1] == {"high": 1} and M.restored("s�")[1] == {"lost": 1}
