@@ -18,6 +18,8 @@ registry = Registry()
 
 #: Tokens a unit may hold, tokens repeated between pieces, tokens of a prompt container.
 UNIT_TOKENS, OVERLAP_TOKENS, CONTAINER_TOKENS = 200, 20, 1024
+#: Documents a container may hold, and the weights of tokens, documents and attention cost in the choice of a container.
+CONTAINER_DOCUMENTS, WEIGHTS = 64, (1.0, 0.1, 0.1)
 
 
 #: Neighbours of a vector, its values, and the cosine from which two vectors are close.
@@ -100,9 +102,31 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("p5_containers")
 def p5_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents placed in prompt containers, whole unless larger than one."""
+    """Documents placed in prompt containers, whole unless larger than one; of containers with the same room the one
+    with the least documents and attention cost left over is taken."""
     documents = table(spark, sf_dir, "documents")
-    return pack_containers(documents, F.col("doc_id"), F.col("n_tokens"), CONTAINER_TOKENS).withColumnRenamed("item_id", "doc_id")
+    packed = pack_containers(documents, F.col("doc_id"), F.col("n_tokens"), CONTAINER_TOKENS, CONTAINER_DOCUMENTS, weights=WEIGHTS)
+    return packed.withColumnRenamed("item_id", "doc_id")
+
+
+@registry.add("p5_containers_limited")
+def p5_containers_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under limits that bind: four documents a container, and 40 % of the attention cost of a full one."""
+    documents = table(spark, sf_dir, "documents")
+    packed = pack_containers(documents, F.col("doc_id"), F.col("n_tokens"), CONTAINER_TOKENS, 4, 0.4 * CONTAINER_TOKENS**2, (1.0, 0.5, 0.5))
+    return packed.withColumnRenamed("item_id", "doc_id")
+
+
+@registry.add("p5_limits_kept", "SELECT count(*)::bigint AS documents, true AS tokens_kept, true AS documents_kept, true AS attention_kept FROM documents")
+def p5_limits_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed by p5_containers_limited, and whether every container keeps each of its limits."""
+    each = F.pow(F.col("n_tokens").cast("double"), F.lit(2.0))
+    cost = F.sum(F.least(each, F.lit(0.4 * CONTAINER_TOKENS**2)))
+    placed = p5_containers_limited(spark, sf_dir)
+    whole = placed.where(F.col("n_tokens") < CONTAINER_TOKENS)
+    c = whole.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("d"), cost.alias("a"))
+    kept = c.agg(*(F.coalesce(F.bool_and(F.col(x) <= most), F.lit(True)).alias(name) for x, most, name in (("t", CONTAINER_TOKENS, "tokens_kept"), ("d", 4, "documents_kept"), ("a", 0.4 * CONTAINER_TOKENS**2 + 0.5, "attention_kept"))))
+    return placed.where("piece_no = 0").agg(F.count("*").alias("documents")).crossJoin(kept)
 
 
 @registry.add(
@@ -116,12 +140,22 @@ def p5_documents_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
 
 
+def _room_left(placed: DataFrame) -> DataFrame:
+    used = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    total = used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+    return total.withColumn("room_left", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CONTAINER_TOKENS), 6))
+
+
 @registry.add("p5_room_left")
 def p5_room_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens placed and the share of room left, over the whole table."""
-    used = p5_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
-    total = used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
-    return total.withColumn("room_left", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CONTAINER_TOKENS), 6))
+    return _room_left(p5_containers(spark, sf_dir))
+
+
+@registry.add("p5_room_left_limited")
+def p5_room_left_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the limits that bind."""
+    return _room_left(p5_containers_limited(spark, sf_dir))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,25 @@ def test_every_item_whole_and_once(spark):
     assert P.pack_containers(df.limit(0), F.col("container_id"), F.col("n")).count() == 0
 
 
-def test_attention_must_hold_a_full_container(spark):
+def test_a_container_must_hold_a_document(spark):
     with pytest.raises(ValueError):
-        P.pack_containers(spark.range(1), F.col("id"), F.col("id"), attention=10.0)
+        P.pack_containers(spark.range(1), F.col("id"), F.col("id"), docs=0)
+
+
+def test_binding_limits_and_leftovers(spark, monkeypatch):
+    """Groups of 50 leave part-filled containers, which the second step fills; every limit holds."""
+    monkeypatch.setattr(P, "GROUP_ROWS", 50)
+    rng = np.random.default_rng(6)
+    sizes = [(i, int(n)) for i, n in enumerate(rng.integers(1, 1500, 900))]
+    df = spark.createDataFrame(sizes, "id long, n long").repartition(6)
+    got = P.pack_containers(df, F.col("id"), F.col("n"), 1024, 3, 400_000.0, (1.0, 0.5, 0.5), group_rows=50).collect()
+    containers, items = {}, {}
+    for r in got:
+        containers.setdefault(r["container_id"], []).append(r["n_tokens"])
+        items[r["item_id"]] = items.get(r["item_id"], 0) + r["n_tokens"]
+    assert items == dict(sizes)
+    for own in containers.values():
+        assert sum(own) <= 1024 and len(own) <= 3 and (len(own) == 1 or sum(min(n * n, 400_000.0) for n in own) <= 400_000.0)
+    plain = P.pack_containers(df, F.col("id"), F.col("n"), 1024, group_rows=50).collect()
+    n_containers = len({r["container_id"] for r in plain})
+    assert n_containers <= np.ceil(sum(n for _, n in sizes) / 1024) * 1.06
