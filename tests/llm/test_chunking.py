@@ -31,6 +31,41 @@ def test_cuts_at_the_strongest_boundary():
     assert ends[0].endswith("gamma.") and "# Two" not in ends[0]
 
 
+def cut(text, limit=200, overlap=20):
+    return [text[new:end] for _, new, end, _ in C.pieces(text, limit, overlap)]
+
+
+def test_a_heading_stays_with_its_text():
+    section = lambda name, n: f"# {name}\n" + " ".join(["one two three four."] * n) + "\n"
+    got = cut(section("A", 70) + section("B", 30) + section("C", 70))
+    assert all(len(C.TOKEN.findall(p)) > 20 for p in got)
+    for p in got:
+        assert p.strip().count("#") <= 1 and ("#" not in p or p.strip().startswith("#"))
+
+
+def test_oversized_sections_are_balanced_and_not_fused():
+    got = [len(C.TOKEN.findall(p)) for p in cut("# A\n" + "one two three four. " * 80 + "\n# B\n" + "five six seven eight. " * 20)]
+    assert max(got) - min(got[:-1]) < 40 and got[-1] == 102
+
+
+def test_list_items_and_elements_stay_whole():
+    items = "\n".join(f"- item {i} with a tail of words\n  goes on here" for i in range(40))
+    assert all(p.strip().startswith("- item") for p in cut("Intro line.\n\n" + items)[1:])
+    boxes = "\n".join(f"<box>\nline {i} of it\nsecond line\n</box>" for i in range(40))
+    assert all(p.count("<box>") == p.count("</box>") for p in cut(boxes))
+
+
+def test_the_first_piece_holds_the_limit():
+    assert [n for *_, n in C.pieces("word " * 380)] == [200, 200]
+
+
+def test_deep_and_broken_structure():
+    deep = "\n".join(" " * i + "- x y" for i in range(900))
+    assert "".join(cut(deep)) == deep
+    broken = "<a>\n" * 3000
+    assert "".join(cut(broken)) == broken
+
+
 def test_operator_edges(spark):
     long = "A sentence of six words here. " * 400
     rows = [(1, 0, None), (2, 0, ""), (3, 0, "   "), (4, 0, "short"), (5, 0, long), (5, 0, long), (6, 0, "x" * 5000)]
