@@ -7,8 +7,10 @@ confirms an occurrence. Cursors move over many stretches of text at once. Each o
 sides over single replaced, dropped or added words that lie at least `SPACING` passage words apart.
 
 A passage of `min_words` words or more with such edits always holds `SEED` unbroken words, so no case is lost before
-the extension. The evaluation items are read in blocks of bounded size and each block is one pass over the corpus;
-no document leaves its task, and only (document, item) rows do.
+the extension. An edit at the first or last word of a passage leaves a passage without that word: twelve words with the
+last one replaced are a quotation of eleven, no case. The evaluation items are read in blocks of bounded size; the
+tables of a block are built once and broadcast (some 200 bytes a word of BLOCK_ITEMS items), and each block is one pass
+over the corpus; no document leaves its task, and only (document, item) rows do.
 
 Defined results: null, empty and wordless texts give no row; repeated documents or items give one row each; case,
 punctuation, line layout, markup, escapes and invisible characters are removed from both sides first.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +36,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 SEED, SPACING = 5, 8
 #: Items in one pass over the corpus, and words between two cursors' starts.
 BLOCK_ITEMS, STRETCH = 20_000, 256
-_SHIFT_BITS = 18
+#: Candidates that are compared at once.
+CANDIDATES = 1 << 20
+#: Least and most bits of the shift table; it has about eight places a pattern, so that most of a text is skipped.
+SHIFT_BITS = (16, 26)
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 _INLINE_TAG = re.compile(r"</?(?:b|i|u|em|strong|span|a|code|mark|sub|sup|small|font|tt|q|s|del|ins)(?:\s[^<>]*)?/?>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _ESCAPE = re.compile(r"\\[nrtbf]")
@@ -64,10 +70,10 @@ def words_of(text: str) -> list[str]:
 
 
 class Patterns:
-    """Shift table, suffix buckets and words of a block of evaluation items."""
+    """Shift table, suffix buckets and words of a block of evaluation items, as arrays."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[list[int]] = []
         self.vocabulary: dict[str, int] = {}
         seen: dict[tuple[int, ...], list[int]] = {}
         for key, text in items:
@@ -75,25 +81,30 @@ class Patterns:
             same = seen.setdefault(tuple(ids), [])
             same.append(key)
             if len(same) == 1:
-                self.items.append((len(self.items), ids))
+                self.items.append(ids)
         self.keys = list(seen.values())
-        longest = SEED - 1
-        self.shift = np.full(1 << _SHIFT_BITS, longest, dtype=np.int32)
-        windows = [(n, at) for n, (_, ids) in enumerate(self.items) for at in range(len(ids) - SEED + 1)]
-        self.buckets: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if windows:
-            table = np.array([self.items[n][1][at : at + SEED] for n, at in windows], dtype=np.int64)
-            for last in range(1, SEED):
-                np.minimum.at(self.shift, self.hash(table[:, last - 1], table[:, last]), SEED - 1 - last)
-            for where, h in zip(windows, self.hash(table[:, -2], table[:, -1]).tolist()):
-                self.buckets[h].append(where)
-
-    @staticmethod
-    def hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sizes = np.array([max(0, len(ids) - SEED + 1) for ids in self.items], dtype=np.int64)
+        n = int(sizes.sum())
+        self.bits = int(min(SHIFT_BITS[1], max(SHIFT_BITS[0], (8 * n).bit_length())))
+        self.shift = np.full(1 << self.bits, SEED - 1, dtype=np.int8)
+        flat = np.array([w for ids in self.items for w in ids], dtype=np.int64)
+        item = np.repeat(np.arange(len(self.items)), sizes)
+        at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        lengths = np.array([len(ids) for ids in self.items], dtype=np.int64)
+        starts = (np.cumsum(lengths) - lengths)[item] + at
+        words = flat[starts[:, None] + np.arange(SEED)] if n else np.empty((0, SEED), dtype=np.int64)
+        for last in range(1, SEED) if n else ():
+            np.minimum.at(self.shift, self.hash(words[:, last - 1], words[:, last]), np.int8(SEED - 1 - last))
+        suffix = self.hash(words[:, -2], words[:, -1])
+        order = np.argsort(suffix, kind="stable")
+        #: Buckets: patterns in the order of their suffix hash.
+        self.suffix, self.item, self.at, self.words = suffix[order], item[order], at[order], words[order].astype(np.int32)
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             mixed ^= mixed >> np.uint64(29)
-            return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _SHIFT_BITS)).astype(np.int64)
+            return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def ends(self, words: np.ndarray) -> np.ndarray:
         """Sorted positions in `words` where the shift is 0; words outside the vocabulary are 0."""
@@ -106,7 +117,7 @@ class Patterns:
         while len(cursor):
             a, b = words[cursor - 1], words[cursor]
             step = self.shift[self.hash(a, b)]
-            step[b == 0] = SEED - 1
+            step[b <= 0] = SEED - 1
             hit = step == 0
             if hit.any():
                 found.append(cursor[hit])
@@ -115,6 +126,29 @@ class Patterns:
             cursor, stop = cursor[live], stop[live]
         return np.sort(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
 
+    def occurrences(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last position, pattern) of every pattern that stands in `words`, all its words compared."""
+        ends = self.ends(words)
+        h = self.hash(words[ends - 1], words[ends])
+        low, high = np.searchsorted(self.suffix, h, side="left"), np.searchsorted(self.suffix, h, side="right")
+        n = high - low
+        out_end, out_pattern = [], []
+        # buckets of any size, in bounded steps
+        bounds = np.searchsorted(np.cumsum(n), np.arange(CANDIDATES, int(n.sum()) + CANDIDATES, CANDIDATES), side="left") + 1
+        for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(n)]):
+            if b <= a:
+                continue
+            own = n[a:b]
+            pattern = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(low[a:b], own)
+            end = np.repeat(ends[a:b], own)
+            same = np.ones(len(end), dtype=bool)
+            for k in range(SEED):
+                same[same] = words[end[same] - (SEED - 1 - k)] == self.words[pattern[same], k]
+            out_end.append(end[same])
+            out_pattern.append(pattern[same])
+        empty = np.empty(0, dtype=np.int64)
+        return (np.concatenate(out_end), np.concatenate(out_pattern)) if out_end else (empty, empty)
+
     def search(self, words: np.ndarray, starts: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item number, first item word, item words, edits) of each item found in each text.
 
@@ -122,33 +156,25 @@ class Patterns:
         """
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         covered: dict[tuple[int, int, int], int] = {}
-        ends = self.ends(words)
+        ends, patterns = self.occurrences(words)
         if not len(ends):
             return
         text_of = np.searchsorted(starts, ends, side="right") - 1
         bounds = np.append(starts, len(words) + 1)
-        suffix = self.hash(words[ends - 1], words[ends]).tolist()
-        for end, text, h in zip(ends.tolist(), text_of.tolist(), suffix):
-            lo, hi = int(bounds[text]), int(bounds[text + 1]) - 1
+        now, doc = -1, []
+        for end, text, n, item_at in zip(ends.tolist(), text_of.tolist(), self.item[patterns].tolist(), self.at[patterns].tolist()):
+            lo = int(bounds[text])
             at = end - SEED + 1
-            if at < lo:
+            diagonal = (text, n, at - item_at)
+            if at < lo or covered.get(diagonal, -1) >= end:
                 continue
-            window = None
-            for n, item_at in self.buckets.get(h, ()):
-                ids = self.items[n][1]
-                if window is None:
-                    window = words[at : end + 1].tolist()
-                if ids[item_at : item_at + SEED] != window:
-                    continue
-                diagonal = (text, n, at - item_at)
-                if covered.get(diagonal, -1) >= end:
-                    continue
-                doc = words[lo:hi].tolist()
-                first, last, edits, run_end = extend(ids, doc, item_at, at - lo)
-                covered[diagonal] = lo + run_end
-                size = last - first
-                if size >= min_words and size > best.get((text, n), (0, 0, 0))[1]:
-                    best[text, n] = (first, size, edits)
+            if text != now:
+                now, doc = text, words[lo : int(bounds[text + 1]) - 1].tolist()
+            first, last, edits, run_end = extend(self.items[n], doc, item_at, at - lo)
+            covered[diagonal] = lo + run_end
+            size = last - first
+            if size >= min_words and size > best.get((text, n), (0, 0, 0))[1]:
+                best[text, n] = (first, size, edits)
         for (text, n), (first, size, edits) in best.items():
             yield text, n, first, size, edits
 
@@ -212,15 +238,16 @@ def find_leaks(
     found = None
     for block in range(n_blocks):
         rows = wanted.where(F.pmod(F.xxhash64("k"), F.lit(n_blocks)) == block).collect()
-        one = slim.mapInArrow(_searcher([(r["k"], r["t"]) for r in rows], min_words, schema.names, to_arrow_type(key_type)), schema)
+        tables = documents.sparkSession.sparkContext.broadcast(Patterns([(r["k"], r["t"]) for r in rows]))
+        one = slim.mapInArrow(_searcher(tables, min_words, schema.names, to_arrow_type(key_type)), schema)
         found = one if found is None else found.unionByName(one)
     best = F.max_by(F.struct("first_word", "n_words", "n_edits"), F.struct("n_words", -F.col("n_edits"), -F.col("first_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _searcher(items: list[tuple], min_words: int, names: list[str], key_type: pa.DataType):
+def _searcher(tables: Broadcast, min_words: int, names: list[str], key_type: pa.DataType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(items)
+        patterns = tables.value
         known = patterns.vocabulary.get
         for batch in batches:
             flat: list[int] = []

@@ -32,7 +32,7 @@ def test_shift_scan_finds_what_a_plain_scan_finds():
     rng = np.random.default_rng(1)
     items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 60, 30))) for k in range(12)]
     patterns = L.Patterns(items)
-    windows = {tuple(ids[a : a + L.SEED]) for _, ids in patterns.items for a in range(len(ids) - L.SEED + 1)}
+    windows = {tuple(ids[a : a + L.SEED]) for ids in patterns.items for a in range(len(ids) - L.SEED + 1)}
     words = rng.integers(0, 61, 20000)
     for _, ids in patterns.items:
         at = rng.integers(0, 19900)
@@ -61,3 +61,18 @@ def test_operator(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(got)
     assert L.find_leaks(d.limit(0), F.col("doc_id"), F.col("text"), items, "item_id", "item_text").count() == 0
     assert L.find_leaks(d, F.col("doc_id"), F.col("text"), items.limit(0), "item_id", "item_text").count() == 0
+
+
+def test_long_tags_are_markup():
+    tag = '<span data-note="' + "word " * 200 + '">'
+    assert L.words_of(f"one {tag}two</span> three") == ["one", "two", "three"]
+
+
+def test_many_hits_and_blocks(spark):
+    """Every window of a text is a pattern; items are read in blocks of two."""
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(words[i * 20 : i * 20 + 40])) for i in range(19)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5:17])), (3, " ".join(words[5:16]))], "d long, t string")
+    ev = spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r["doc_id"], r["item_id"]) for r in L.find_leaks(df, F.col("d"), F.col("t"), ev, "item_id", "item_text", block_items=2).collect()}
+    assert got == {(1, i) for i in range(19)} | {(2, 0)}
