@@ -34,7 +34,7 @@ def test_shift_scan_finds_what_a_plain_scan_finds():
     patterns = L.Patterns(items)
     windows = {tuple(ids[a : a + L.SEED]) for ids in patterns.items for a in range(len(ids) - L.SEED + 1)}
     words = rng.integers(0, 61, 20000)
-    for _, ids in patterns.items:
+    for ids in patterns.items:
         at = rng.integers(0, 19900)
         words[at : at + len(ids)] = ids
     found = {e for e in patterns.ends(words).tolist() if tuple(words[e - L.SEED + 1 : e + 1].tolist()) in windows}
