@@ -6,21 +6,26 @@ probes several; in a list, the distance over the first block is compared with a
 query's k-th best so far would show there, and candidates that fail this test are abandoned before the next block. The
 bounds are quantiles measured on near pairs of the sample: a test wrongly rejects a neighbour once in `1 / LEVEL` times.
 
-Scale. The number of lists grows with the square root of the rows, so centroids and sample stay small on the driver
-while a query scans a constant number of lists; lists are joined into groups of bounded size by bisection, and a query
-travels once to each group that holds one of its lists, as 16-bit floats. A list or group beyond the bound is divided
-into chunks, as are its queries, so no task holds an unbounded group. Equal vectors are compared once.
+Scale. The number of lists grows with the square root of the rows, so centroids and sample stay small on the driver.
+Lists are found in two steps, cells of lists first, so a vector is compared with some hundreds of centroids and not with
+all of them. How many lists a query probes is measured, not set: the exact neighbours of PROBE_QUERIES vectors among all
+rows are found by one plain pass, and the number of lists in which TARGET of them stand is taken. Lists are joined into
+groups of bounded size by bisection, and a query travels once to each group that holds one of its lists, as 16-bit
+fixed-point numbers (rounding moves a similarity by about 0.00002). A list or group beyond the bound is divided into
+chunks, as are its queries, so no task holds an unbounded group. Equal vectors are compared once.
 
-Only the centroids, the axes and the bounds come from the sample (SAMPLE_A_LIST rows a list); every row is indexed and
-every row is a query.
+Only the centroids, the axes and the bounds come from the sample (SAMPLE_A_LIST rows a list, copies of a vector once);
+every row is indexed and every row is a query.
 
 Defined results: null keys, vectors that are null, of another length, all zero or not finite play no part; a key
-in several rows counts once (its rows' vectors are all indexed, the best similarity stands); equal vectors are each
-other's nearest, in the order of their keys; fewer than k others give fewer rows; an empty table gives none.
+in several rows counts once (its rows' vectors are all indexed, the best similarity stands); equal vectors (the same
+after the rounding) are each other's nearest, in the order of their keys; fewer than k others give fewer rows; an empty
+table gives none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lists are LISTS x the square root of the rows; each query probes PROBES of them.
-LISTS, PROBES, SAMPLE_A_LIST = 0.75, 24, 40
+#: Lists are LISTS x the square root of the rows.
+LISTS, SAMPLE_A_LIST = 0.75, 40
+#: Queries whose exact neighbours decide how many lists are probed, the share of them that must be found, least lists.
+PROBE_QUERIES, TARGET, LEAST_PROBES = 512, 0.965, 8
+#: Cells that a vector looks for its lists in, and rows routed at once.
+CELLS, ROUTE_ROWS = 16, 4096
+#: What a coordinate of a unit vector is multiplied by to be a 16-bit number.
+FIXED = 32767.0
+#: Vectors that a task remembers as already sent; beyond it copies are sent again and dropped where they arrive.
+SEEN = 1 << 20
 #: Index rows and queries of one task.
 GROUP_ROWS, QUERY_ROWS = 1 << 16, 1 << 17
 #: What a routed copy of a vector is for.
@@ -53,6 +66,12 @@ class Index:
     ends: list[int]
     bounds: list[float]
     probes: int
+    cells: np.ndarray
+    lists_of: list[np.ndarray]
+
+    def probed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, similarities) of the `probes` nearest lists of each row of `x`, nearest first, by way of its cells."""
+        return nearest_lists(x, self.centroids, self.cells, self.lists_of, self.probes)
 
     def tasks(self) -> np.ndarray:
         """First task number of each group, and the number of tasks at the end."""
@@ -104,28 +123,51 @@ def _bisect(centroids: np.ndarray, weight: np.ndarray, most: float) -> np.ndarra
     return group
 
 
-def fit(sample: np.ndarray, rows: int, probes: int, k: int, group_rows: int, query_rows: int) -> Index:
-    """Axes, lists, groups and test bounds for `rows` vectors from a sample of them."""
+def nearest_lists(x: np.ndarray, centroids: np.ndarray, cells: np.ndarray, lists_of: list[np.ndarray], probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest lists of each row, -1 where its cells hold fewer; a row looks into CELLS cells or as many as hold four
+    times the lists that it needs."""
+    longest = max(len(l) for l in lists_of)
+    n_cells = len(cells)
+    mean = len(centroids) / n_cells
+    wanted = min(n_cells, max(CELLS, math.ceil(4 * probes / mean)))
+    if wanted == n_cells:
+        s = x @ centroids.T
+        top = np.argpartition(-s, min(probes, s.shape[1]) - 1, axis=1)[:, :probes]
+        best = np.take_along_axis(s, top, 1)
+    else:
+        reach = x @ cells.T
+        own = np.argpartition(-reach, wanted - 1, axis=1)[:, :wanted]
+        s = np.full((len(x), wanted * longest), -np.inf, dtype=np.float32)
+        lists = np.full((len(x), wanted * longest), -1, dtype=np.int64)
+        slot = np.full((len(x), n_cells), -1, dtype=np.int64)
+        np.put_along_axis(slot, own, np.arange(wanted)[None, :], 1)
+        for cell in range(n_cells):
+            rows = np.flatnonzero(slot[:, cell] >= 0)
+            if len(rows):
+                at = slot[rows, cell][:, None] * longest + np.arange(len(lists_of[cell]))[None, :]
+                s[rows[:, None], at] = x[rows] @ centroids[lists_of[cell]].T
+                lists[rows[:, None], at] = lists_of[cell][None, :]
+        top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+        best, top = np.take_along_axis(s, top, 1), np.take_along_axis(lists, top, 1)
+    order = np.argsort(-best, axis=1, kind="stable")
+    return np.take_along_axis(top, order, 1), np.take_along_axis(best, order, 1)
+
+
+def fit(sample: np.ndarray, rows: int, k: int) -> Index:
+    """Axes, lists, cells and test bounds for `rows` vectors from a sample of them; groups and probes come later."""
     dim = sample.shape[1]
     axes = np.linalg.eigh(sample.T.astype(np.float64) @ sample)[1][:, ::-1].astype(np.float32)
     x = np.ascontiguousarray(sample @ axes)
+    x = x[np.sort(np.unique(np.round(x * FIXED).astype(np.int16), axis=0, return_index=True)[1])]
     n_lists = int(max(1, min(len(x), round(LISTS * rows**0.5))))
     centroids = _kmeans(x, n_lists)
-    probes = min(probes, n_lists)
-    scale = rows / len(x)
-    near = np.empty(len(x), dtype=np.int64)
-    probed = np.empty((len(x), probes), dtype=np.int64)
-    for at in range(0, len(x), 4096):
-        s = x[at : at + 4096] @ centroids.T
-        near[at : at + 4096] = s.argmax(axis=1)
-        probed[at : at + 4096] = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-    weight = np.bincount(near, minlength=n_lists) * scale
-    group_of = _bisect(centroids, weight, group_rows)
-    n_groups = int(group_of.max()) + 1
-    visits = np.zeros(n_groups)
-    for g in range(n_groups):
-        visits[g] = (group_of[probed] == g).any(axis=1).sum() * scale
-    rows_of = np.bincount(group_of, weights=weight, minlength=n_groups)
+    # lists that hold nothing of the sample would be probed for nothing
+    filled = np.unique(np.concatenate([(part @ centroids.T).argmax(axis=1) for part in np.array_split(x, -(-len(x) // 4096))]))
+    centroids = centroids[filled]
+    cells = _kmeans(centroids, max(1, round(len(centroids) ** 0.5)))
+    cell_of = (centroids @ cells.T).argmax(axis=1)
+    used = np.unique(cell_of)
+    cells, lists_of = cells[used], [np.flatnonzero(cell_of == c) for c in used]
     ends = sorted({max(1, int(dim * share)) for share in BLOCKS} - {dim})
     # near pairs of the sample: what share of a full distance shows in the first columns
     kth, ratios = min(k, max(1, len(x) - 1)), []
@@ -138,12 +180,75 @@ def fit(sample: np.ndarray, rows: int, probes: int, k: int, group_rows: int, que
         full = np.maximum(squares.sum(axis=2), 1e-12)
         ratios.append(np.stack([squares[:, :, :end].sum(axis=2) / full for end in ends]).reshape(len(ends), -1))
     bounds = np.quantile(np.concatenate(ratios, axis=1), 1 - LEVEL, axis=1).tolist()
-    return Index(
-        axes, centroids, group_of,
-        np.maximum(1, np.ceil(rows_of / (2 * group_rows))).astype(np.int64),
-        np.maximum(1, np.ceil(visits / query_rows)).astype(np.int64),
-        ends, bounds, probes,
-    )
+    nothing = np.zeros(0, dtype=np.int64)
+    return Index(axes, centroids, nothing, nothing, nothing, ends, bounds, 1, cells, lists_of)
+
+
+def arrange(index: Index, sample: np.ndarray, rows: int, probes: int, group_rows: int, query_rows: int) -> None:
+    """Sets how many lists are probed and joins the lists into groups of bounded size, by the sample's share in each."""
+    x = sample @ index.axes
+    n_lists = len(index.centroids)
+    index.probes = min(probes, n_lists)
+    scale = rows / len(x)
+    probed = np.concatenate([index.probed(part)[0] for part in np.array_split(x, -(-len(x) // ROUTE_ROWS))])
+    weight = np.bincount(probed[:, 0], minlength=n_lists) * scale
+    index.group_of = group_of = _bisect(index.centroids, weight, group_rows)
+    n_groups = int(group_of.max()) + 1
+    row, at = np.nonzero(probed >= 0)
+    visited = np.unique(row * n_groups + group_of[probed[row, at]])
+    visits = np.bincount(visited % n_groups, minlength=n_groups) * scale
+    rows_of = np.bincount(group_of, weights=weight, minlength=n_groups)
+    index.index_chunks = np.maximum(1, np.ceil(rows_of / (2 * group_rows))).astype(np.int64)
+    index.query_chunks = np.maximum(1, np.ceil(visits / query_rows)).astype(np.int64)
+
+
+def exact_neighbours(vectors: DataFrame, queries: np.ndarray, axes: np.ndarray, k: int, dim: int) -> DataFrame:
+    """(q, sim, code): the k best of all rows for each of a few rotated unit queries, equal vectors once and left out
+    where they are the query; every task gives at most k rows a query."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims = np.full((len(queries), k), -np.inf, dtype=np.float32)
+        held = np.zeros((len(queries), k, dim), dtype=np.int16)
+        for batch in batches:
+            _, unit = unit_rows(batch.column("vector"), dim)
+            for part in np.array_split(unit, max(1, -(-len(unit) // ROUTE_ROWS))):
+                if not len(part):
+                    continue
+                codes = _fixed(part @ axes)
+                s = queries @ (codes.astype(np.float32) / FIXED).T
+                s[s > 1 - 1e-6] = -np.inf
+                top = np.argpartition(-s, min(4 * k, s.shape[1]) - 1, axis=1)[:, : 4 * k]
+                for i in range(len(queries)):
+                    own = top[i][s[i, top[i]] > sims[i, -1]]
+                    if not len(own):
+                        continue
+                    value, code = np.concatenate([sims[i], s[i, own]]), np.concatenate([held[i], codes[own]])
+                    fresh = np.sort(np.unique(np.column_stack([code, np.isfinite(value)]), axis=0, return_index=True)[1])
+                    fresh = fresh[np.argsort(-value[fresh], kind="stable")][:k]
+                    sims[i, : len(fresh)], held[i, : len(fresh)] = value[fresh], code[fresh]
+        at, nth = np.nonzero(np.isfinite(sims))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sims[at, nth]), pa.array([c.tobytes() for c in held[at, nth]], pa.binary())], ["q", "sim", "code"])
+
+    found = vectors.mapInArrow(scan, "q int, sim float, code binary").distinct()
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "code"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "sim", "code")
+
+
+def measured_probes(vectors: DataFrame, index: Index, sample: np.ndarray, k: int, dim: int) -> int:
+    """The number of lists in which TARGET of the exact neighbours of some sample rows stand."""
+    step = max(1, len(sample) // PROBE_QUERIES)
+    queries = _fixed(sample[::step][:PROBE_QUERIES] @ index.axes).astype(np.float32) / FIXED
+    near = exact_neighbours(vectors, queries, index.axes, k, dim).toArrow()
+    n_lists = len(index.centroids)
+    if not near.num_rows:
+        return min(LEAST_PROBES, n_lists)
+    x = np.frombuffer(b"".join(near["code"].to_pylist()), dtype=np.int16).reshape(-1, dim).astype(np.float32) / FIXED
+    home = nearest_lists(x, index.centroids, index.cells, index.lists_of, 1)[0][:, 0]
+    s = queries @ index.centroids.T
+    q = near["q"].to_numpy()
+    # lists nearer to the query than the one that holds its neighbour
+    nearer = (s[q] > s[q, home][:, None]).sum(axis=1) + 1
+    return int(min(n_lists, max(LEAST_PROBES, np.quantile(nearer, TARGET, method="higher"))))
 
 
 def _keep_best(sims: np.ndarray, ids: np.ndarray, row: np.ndarray, sim: np.ndarray, found: np.ndarray) -> None:
@@ -278,9 +383,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * FIXED).clip(-FIXED, FIXED).astype(np.int16)
+
+
 def _codes(vectors: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit rotated vectors, 64-bit ids that equal vectors share)."""
-    codes = (vectors @ axes).astype(np.float16) + np.float16(0)
+    """(16-bit rotated vectors, 64-bit ids that equal vectors share).
+
+    The product is taken in double precision, so the rounding is the same in whatever batch a vector comes.
+    """
+    codes = _fixed(vectors.astype(np.float64) @ axes.astype(np.float64))
     words = np.ascontiguousarray(codes).view(np.uint8)
     padded = np.zeros((len(codes), -(-words.shape[1] // 8) * 8), dtype=np.uint8)
     padded[:, : words.shape[1]] = words
@@ -300,6 +412,7 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int,
     first_task = index.tasks()
     names = partition_names(int(first_task[-1]))
     task_of = {int(name): task for task, name in enumerate(names)}
+    n_groups = int(index.group_of.max()) + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -312,14 +425,19 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int,
             for i, rep in enumerate(reps.tolist()):
                 fresh[i] = rep not in seen
                 seen.add(rep)
+            if len(seen) > SEEN:
+                seen.clear()
             codes, reps = codes[fresh], reps[fresh]
             if not len(reps):
                 continue
-            s = codes.astype(np.float32) @ index.centroids.T
-            home = index.group_of[s.argmax(axis=1)]
-            bar = -np.partition(-s, index.probes - 1, axis=1)[:, index.probes - 1]
+            parts = [index.probed(part.astype(np.float32) / FIXED) for part in np.array_split(codes, -(-len(codes) // ROUTE_ROWS))]
+            lists, reach = (np.concatenate(p) for p in zip(*parts))
+            home = index.group_of[lists[:, 0]]
+            bar = np.where(np.isfinite(reach), reach, np.inf).min(axis=1)
             salt = _mix(reps.view(np.uint64))
-            rows, groups = np.nonzero(_visited(s >= bar[:, None], index.group_of))
+            at, nth = np.nonzero(lists >= 0)
+            visited = np.unique(at * n_groups + index.group_of[lists[at, nth]])
+            rows, groups = visited // n_groups, visited % n_groups
             everyone = np.arange(len(reps))
             # an index row goes to its chunk for every chunk of queries, a query to every chunk of the index
             task, row, other, _ = _spread(first_task, home, salt, index.index_chunks, index.query_chunks, everyone, True)
@@ -362,7 +480,7 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int,
         data = np.frombuffer(b"".join(t["code"].to_pylist()), dtype=np.uint8).reshape(-1, 2 * dim + 5)
         role = data[:, -1]
         bar = np.ascontiguousarray(data[:, 2 * dim : 2 * dim + 4]).view("<f4").ravel()
-        codes = np.ascontiguousarray(data[:, : 2 * dim]).view(np.float16)
+        codes = np.ascontiguousarray(data[:, : 2 * dim]).view(np.int16)
 
         def chosen(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.flatnonzero((role == kind) | (role == BOTH))
@@ -391,13 +509,6 @@ def nearest_representatives(vectors: DataFrame, index: Index, k: int, dim: int,
     return merged.select("rep", F.slice(F.sort_array("near", asc=False), 1, k).alias("near"))
 
 
-def _visited(probed: np.ndarray, group_of: np.ndarray) -> np.ndarray:
-    """Which groups hold one of the lists that each row probes."""
-    order = np.argsort(group_of, kind="stable")
-    starts = np.searchsorted(group_of[order], np.arange(group_of.max() + 1))
-    return np.logical_or.reduceat(probed[:, order], starts, axis=1)
-
-
 def _spread(
     first_task: np.ndarray, group: np.ndarray, salt: np.ndarray, own: np.ndarray, others: np.ndarray, row: np.ndarray, index_side: bool
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -417,18 +528,20 @@ def nearest(
     vector: Column,
     k: int = 5,
     dim: int = 64,
-    probes: int = PROBES,
+    probes: int | None = None,
     min_similarity: float | None = None,
     group_rows: int = GROUP_ROWS,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(key, neighbour, similarity, place): the k most similar other keys of every key, best first.
 
-    `min_similarity` drops neighbours below it after the k best are known.
+    `min_similarity` drops neighbours below it after the k best are known; `probes` sets the lists that a query looks
+    into, which are measured otherwise.
     """
     spark = df.sparkSession
     slim = df.select(key.cast("string").alias("key"), vector.alias("vector"))
-    slim = slim.where(F.col("key").isNotNull() & (F.size("vector") == dim))
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    slim = slim.where(F.col("key").isNotNull() & (F.size("vector") == dim) & finite & F.exists("vector", lambda v: v != 0))
     rows = slim.count()
     result = "key string, neighbour string, similarity float, place int"
     if not rows:
@@ -437,9 +550,10 @@ def nearest(
     share = min(1.0, max(wanted, 2048) / rows)
     drawn = (slim.sample(share, 17) if share < 1 else slim).select("vector").toArrow()
     sample = unit_rows(drawn["vector"], dim)[1]
-    if not len(sample):
-        return spark.createDataFrame([], result)
-    index = fit(sample, rows, probes, k, group_rows, query_rows)
+    if not len(sample):  # a draw of none of the few rows there are
+        sample = unit_rows(slim.select("vector").limit(2048).toArrow()["vector"], dim)[1]
+    index = fit(sample, rows, k)
+    arrange(index, sample, rows, measured_probes(slim.select("vector"), index, sample, k, dim) if probes is None else probes, group_rows, query_rows)
     axes = index.axes
 
     def belong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

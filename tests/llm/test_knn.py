@@ -65,3 +65,29 @@ def test_partition_names_match_spark(spark):
     names = K.partition_names(7)
     df = spark.createDataFrame([(int(x),) for x in names], "slot int").repartition(7, "slot").select("slot", F.spark_partition_id().alias("p"))
     assert {r["slot"]: r["p"] for r in df.collect()} == {int(x): i for i, x in enumerate(names)}
+
+
+def test_similarities_are_those_of_the_vectors(spark):
+    """Measured probes; every similarity is the exact one to 0.0001, and recall holds."""
+    keys, vectors = cloud(1500, 7)
+    df = spark.createDataFrame(list(zip(keys, vectors)), "key string, v array<double>").repartition(5)
+    rows = K.nearest(df, F.col("key"), F.col("v"), dim=16).collect()
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in zip(keys, vectors)}
+    assert max(abs(r["similarity"] - unit[r["key"]] @ unit[r["neighbour"]]) for r in rows) < 1e-4
+    want = brute(keys, vectors, 5)
+    assert sum(r["neighbour"] in want[r["key"]] for r in rows) >= 0.95 * 5 * len(keys)
+
+
+def test_lists_by_way_of_cells():
+    """With fewer cells than there are, the nearest lists are still found for nearly all rows."""
+    rng = np.random.default_rng(3)
+    centroids = rng.normal(size=(3600, 16)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+    cells = K._kmeans(centroids, 60)
+    of = (centroids @ cells.T).argmax(axis=1)
+    lists_of = [np.flatnonzero(of == c) for c in range(60)]
+    x = centroids[rng.integers(0, 3600, 300)] + 0.1 * rng.normal(size=(300, 16)).astype(np.float32)
+    lists, reach = K.nearest_lists(x, centroids, cells, lists_of, 10)
+    true = np.argsort(-(x @ centroids.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(lists, true)]) >= 9.3
+    assert (np.diff(reach, axis=1) <= 0).all()
