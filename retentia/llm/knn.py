@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 #: Lists are LISTS x the square root of the rows.
 LISTS, SAMPLE_A_LIST = 0.75, 40
 #: Queries whose exact neighbours decide how many lists are probed, the share of them that must be found, least lists.
-PROBE_QUERIES, TARGET, LEAST_PROBES = 512, 0.965, 8
+PROBE_QUERIES, TARGET, LEAST_PROBES = 256, 0.955, 8
 #: Cells that a vector looks for its lists in, and rows routed at once.
 CELLS, ROUTE_ROWS = 16, 4096
 #: What a coordinate of a unit vector is multiplied by to be a 16-bit number.
 FIXED = 32767.0
 #: Vectors that a task remembers as already sent; beyond it copies are sent again and dropped where they arrive.
 SEEN = 1 << 20
-#: Index rows and queries of one task.
-GROUP_ROWS, QUERY_ROWS = 1 << 16, 1 << 17
+#: Index rows and queries of one task at most, index rows at least, and the groups that even few rows are divided into.
+GROUP_ROWS, QUERY_ROWS, LEAST_ROWS, GROUPS = 1 << 18, 1 << 18, 1 << 13, 6
 #: What a routed copy of a vector is for.
 INDEX, QUERY, BOTH = 0, 1, 2
 #: Queries and list rows of one block of the scan.
@@ -530,7 +530,7 @@ def nearest(
     dim: int = 64,
     probes: int | None = None,
     min_similarity: float | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(key, neighbour, similarity, place): the k most similar other keys of every key, best first.
@@ -553,6 +553,8 @@ def nearest(
     if not len(sample):  # a draw of none of the few rows there are
         sample = unit_rows(slim.select("vector").limit(2048).toArrow()["vector"], dim)[1]
     index = fit(sample, rows, k)
+    if group_rows is None:
+        group_rows = min(GROUP_ROWS, max(LEAST_ROWS, rows // GROUPS))
     arrange(index, sample, rows, measured_probes(slim.select("vector"), index, sample, k, dim) if probes is None else probes, group_rows, query_rows)
     axes = index.axes
 
