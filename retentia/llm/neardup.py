@@ -3,16 +3,19 @@
 The similarity of two texts is the number of words they share, counted with repetition, over the word count of the
 longer one. All pairs at `threshold` or more are found, without loss, in four steps:
 
-1. Texts become sorted arrays of 64-bit word hashes, the repetitions of a word told apart, rare words first. Rarity is
-   read from a count sketch of fixed size over all texts, so the order is global whatever the vocabulary. Texts with
-   the same words are one class from here on; hot groups of copies collapse before anything is shuffled.
-2. Two classes at the threshold share one of their first n - ceil(threshold n) + 1 words (prefix filter), so only the
-   classes under one such word are compared. A word under which very many classes stand is split into chunks that are
-   compared pairwise in separate tasks.
-3. Bit-sliced comparison: each class has a 128-bit parity signature of its words; the signatures of a run of classes
-   are stored as vertical bit planes, and the distances of 64 neighbours at a time are counted by carry-save adders
-   over the planes. The Hamming distance never exceeds the number of words not shared, so a lane whose count exceeds
-   its own radius is no case; a word of lanes is abandoned once all of them exceed it.
+1. Every text is hashed once: its words become a sorted array of 64-bit hashes, the repetitions of a word told apart,
+   and texts with the same words one class, named by 128 bits. This table is written to the shared folder and all later
+   steps read the columns they need of it. Rare words come first; rarity is read from a count sketch of fixed size over
+   all texts, so the order is global whatever the vocabulary.
+2. Two classes at the threshold share one of their first n - ceil(threshold n) + 1 words (prefix filter), and what is
+   left of the shorter one from the first such word on must still hold the overlap (positional filter), so only classes
+   under one such word are compared. A word in the prefixes of very many classes is split into chunks that are compared
+   pairwise in separate tasks.
+3. Bit-sliced comparison: each class has a parity signature of its words, two bits or more a word, whose width doubles
+   with the length class; a class meets a shorter length class with its signature folded. The signatures of a run of
+   classes are stored as vertical bit planes, and the distances of 64 neighbours at a time are counted by carry-save
+   adders over the planes. The Hamming distance never exceeds the number of words not shared, so a lane whose count
+   exceeds its own radius is no case; a word of lanes is abandoned once all of them exceed it.
 4. What is left is compared exactly.
 
 Defined results: null texts and texts without words are no case; a key may hold several texts, any of which counts;
@@ -22,24 +25,28 @@ repeated rows count once; extra columns play no part; an empty table gives no ro
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.session import checkpointed
+from retentia.session import checkpointed, partitions_for, stored
 
 #: Rows of the count sketch, the least and most bits of its width (12 MB at most), and cells in one shuffled stripe.
 SKETCH_ROWS, SKETCH_BITS, STRIPE = 3, (12, 20), 4096
-#: Planes of a signature, and planes counted between two looks at the radius.
+#: Planes of the signatures of texts of up to half as many words, and planes counted between two looks at the radius.
 PLANES, PLANES_A_STEP = 128, 32
+#: Classes that a task remembers as already given; beyond it they are given again and dropped where they arrive.
+SEEN = 1 << 20
+#: Keys of one class that are paired in one task.
+CHUNK_KEYS = 2048
 #: Classes under one prefix word that are compared in one task.
 CHUNK = 4096
 
 _WORD = re.compile(rb"[a-z0-9]+")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,19 +89,51 @@ def overlap_needed(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(np.asarray(n) * threshold - 1e-9).astype(np.int64)
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """128-bit parity signatures as rows of 16 bytes: bit j is the parity of the words that hash to it."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    bits = np.bincount(owner * PLANES + (_mix(hashes ^ _ODD) >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * PLANES)
-    return np.packbits((bits & 1).astype(np.uint8).reshape(len(sizes), PLANES), axis=1, bitorder="little")
+def length_class(n: np.ndarray) -> np.ndarray:
+    """0 for texts of up to PLANES / 2 words, 1 for up to twice as many, and so on."""
+    return np.ceil(np.log2(np.maximum(n, 1) / (PLANES // 2))).clip(0).astype(np.int64)
+
+
+def signatures(hashes: np.ndarray, sizes: np.ndarray, planes: int = PLANES) -> np.ndarray:
+    """Parity signatures as rows of planes / 8 bytes: bit j is the parity of the words that hash to it."""
+    at = (_mix(hashes ^ _ODD) & np.uint64(planes - 1)).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    step = max(1, (1 << 22) // planes)
+    out = np.empty((len(sizes), planes // 8), dtype=np.uint8)
+    for a in range(0, len(sizes), step):
+        own = sizes[a : a + step]
+        bits = np.bincount(np.repeat(np.arange(len(own)), own) * planes + at[starts[a] : starts[a] + own.sum()], minlength=len(own) * planes)
+        out[a : a + step] = np.packbits((bits & 1).astype(np.uint8).reshape(len(own), planes), axis=1, bitorder="little")
+    return out
+
+
+def folded(rows: np.ndarray) -> np.ndarray:
+    """Signatures of half the width: the parity of both halves."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
 
 
 def class_ids(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit id of each text's multiset of words (order plays no part); `sizes` must be positive."""
+    """128-bit ids, rows of two words, of each text's multiset of words (order plays no part); `sizes` must be positive."""
     starts = np.cumsum(sizes) - sizes
+    n = sizes.astype(np.uint64)
     with np.errstate(over="ignore"):
-        total = np.add.reduceat(_mix(hashes + _ODD), starts)
-        return _mix(total + sizes.astype(np.uint64)).view(np.int64)
+        one, two = np.add.reduceat(_mix(hashes + _ODD), starts), np.add.reduceat(_mix(_mix(hashes ^ _OTHER)), starts)
+        return np.stack([_mix(one + n), _mix(two ^ (n * _ODD))], axis=1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes one after another, words of each row) of a column of word arrays."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, dtype="<u8", count=(offsets[-1] - offsets[0]) // 8, offset=offsets[0]) if data is not None and len(column) else np.empty(0, dtype=np.uint64)
+    return flat, np.diff(offsets).astype(np.int64) // 8
 
 
 class CountSketch:
@@ -118,49 +157,76 @@ class CountSketch:
         return np.minimum(np.minimum(a, b), c)
 
     @classmethod
-    def of(cls, texts: DataFrame) -> CountSketch:
+    def of(cls, bodies: DataFrame, rows: int, pick: Callable = lambda hashes, sizes: hashes) -> CountSketch:
+        """Counts of what `pick` takes of the words of each batch of `bodies` (words)."""
         low, high = SKETCH_BITS
-        bits = min(high, max(low, int(texts.count()).bit_length() - 2))
+        bits = min(high, max(low, rows.bit_length() - 2))
         n_stripes = (SKETCH_ROWS << bits) // STRIPE
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((SKETCH_ROWS, 1 << bits), dtype=np.int64)
             for batch in batches:
-                hashes, _ = hashed_words(batch.column("text").to_pylist())
+                hashes = pick(*_words_of(batch.column("words")))
                 for row, place in zip(total, cls.places(hashes, bits)):
                     row += np.bincount(place, minlength=1 << bits)
-            stripes = total.reshape(n_stripes, STRIPE).astype("<u4")
+            stripes = total.reshape(n_stripes, STRIPE).astype("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(range(n_stripes), pa.int32()), pa.array([x.tobytes() for x in stripes], pa.binary())], ["stripe", "cells"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for stripe, cells in zip(batch.column("stripe").to_pylist(), batch.column("cells").to_pylist()):
-                    total[stripe] = total.get(stripe, 0) + np.frombuffer(cells, dtype="<u4").astype(np.int64)
+                    total[stripe] = total.get(stripe, 0) + np.frombuffer(cells, dtype="<i8")
             if total:
-                data = [np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in total.values()]
+                data = [x.astype("<i8").tobytes() for x in total.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(data, pa.binary())], ["stripe", "cells"])
 
         kind = "stripe int, cells binary"
-        rows = texts.select("text").mapInArrow(count, kind).repartition("stripe").mapInArrow(add, kind).collect()
-        cells = np.zeros((n_stripes, STRIPE), dtype=np.int32)
-        for row in rows:
-            cells[row["stripe"]] = np.frombuffer(row["cells"], dtype="<i4")
+        found = bodies.select("words").mapInArrow(count, kind).repartition("stripe").mapInArrow(add, kind).collect()
+        cells = np.zeros((n_stripes, STRIPE), dtype=np.int64)
+        for row in found:
+            cells[row["stripe"]] = np.frombuffer(row["cells"], dtype="<i8")
         return cls(bits, cells)
 
 
-def _prepared(batch: pa.RecordBatch, sketch: CountSketch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(rows with words, hashes rare first, sizes, class ids, signatures)."""
-    hashes, sizes = hashed_words(batch.column("text").to_pylist())
-    rows = np.flatnonzero(sizes)
-    if not len(rows):
-        return None
-    sizes = sizes[rows]
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    count = sketch.estimate(hashes)
-    order = np.lexsort((hashes, count, owner))
-    hashes = hashes[order]
-    return rows, hashes, sizes, class_ids(hashes, sizes), signatures(hashes, sizes)
+def rare_first(hashes: np.ndarray, sizes: np.ndarray, sketch: CountSketch) -> np.ndarray:
+    """The hashes with those of each text in order of rarity; equals in order of the hash."""
+    return hashes[np.lexsort((hashes, sketch.estimate(hashes), np.repeat(np.arange(len(sizes)), sizes)))]
+
+
+def prefixes(sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of every word in the prefix of its text."""
+    length = sizes - overlap_needed(sizes, threshold) + 1
+    owner = np.repeat(np.arange(len(sizes)), length)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+
+
+def statements(texts: DataFrame) -> DataFrame:
+    """(kind, key, class_id, words) of the texts with words, written to the shared folder; a task gives the words of a
+    class with its first text and leaves them out afterwards."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()
+        for batch in batches:
+            hashes, sizes = hashed_words(batch.column("text").to_pylist())
+            rows = np.flatnonzero(sizes)
+            if not len(rows):
+                continue
+            n = sizes[rows]
+            ids = class_ids(hashes, n)
+            ends = (np.cumsum(n) * 8).tolist()
+            data = hashes.astype("<u8").tobytes()
+            names = _binary(ids)
+            bodies: list[bytes | None] = []
+            kinds = batch.column("kind").take(pa.array(rows))
+            for a, b, name in zip([0, *ends], ends, zip(kinds.to_pylist(), names.to_pylist())):
+                bodies.append(None if name in seen else data[a:b])
+                seen.add(name)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([kinds, batch.column("key").take(pa.array(rows)), names, pa.array(bodies, pa.binary())], ["kind", "key", "class_id", "words"])
+
+    return stored(texts.mapInArrow(hashed, "kind string, key string, class_id binary, words binary"))
 
 
 def bit_planes(rows: np.ndarray) -> np.ndarray:
@@ -178,20 +244,19 @@ def _within(differ: np.ndarray, radius: np.ndarray) -> np.ndarray:
     `differ`: (planes, words). Carry-save adders take the planes eight at a time into vertical counters.
     """
     n_words = differ.shape[1]
+    n_bits = len(differ).bit_length()
     lanes = np.full(n_words * 64, -1, dtype=np.int64)
     lanes[: len(radius)] = radius
-    limit = [
-        np.packbits(((np.maximum(lanes, 0) >> b) & 1).astype(np.uint8), bitorder="little").view("<u8") for b in range(8)
-    ]
+    limit = [np.packbits(((np.maximum(lanes, 0) >> b) & 1).astype(np.uint8), bitorder="little").view("<u8") for b in range(n_bits)]
     alive = np.packbits((lanes >= 0).astype(np.uint8), bitorder="little").view("<u8")
     where = np.flatnonzero(alive)
-    counters = [np.zeros(len(where), dtype=np.uint64) for _ in range(8)]
+    counters = [np.zeros(len(where), dtype=np.uint64) for _ in range(n_bits)]
     for start in range(0, len(differ), PLANES_A_STEP):
         block = differ[start : start + PLANES_A_STEP][:, where]
         for k in range(0, len(block), 8):
             _add_eight(counters, block[k : k + 8])
         more, equal = np.zeros(len(where), dtype=np.uint64), np.full(len(where), ~np.uint64(0))
-        for b in range(7, -1, -1):
+        for b in range(n_bits - 1, -1, -1):
             bound = limit[b][where]
             more |= equal & counters[b] & ~bound
             equal &= ~(counters[b] ^ bound)
@@ -219,20 +284,28 @@ def _add_eight(counters: list[np.ndarray], p: np.ndarray) -> None:
     twos, f2 = _csa(twos, t3, t4)
     fours, carry = _csa(counters[2], f1, f2)
     counters[0], counters[1], counters[2] = ones, twos, fours
-    for b in range(3, 8):
+    for b in range(3, len(counters)):
         counters[b], carry = counters[b] ^ carry, counters[b] & carry
 
 
-def close_pairs(group: np.ndarray, side: np.ndarray, size: np.ndarray, ids: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+#: Added to the side of a class that meets a shorter length class.
+VISITOR = 4
+
+
+def close_pairs(
+    group: np.ndarray, side: np.ndarray, size: np.ndarray, rest: np.ndarray, ids: np.ndarray, rows: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of rows of one group whose signatures are within their pair's radius.
 
-    Rows come sorted by group and, inside it, by size. `side`: 0 is compared with 1 only, 2 with every 2.
+    Rows come sorted by group and, inside it, by size. `side`: 0 is compared with 1 only, 2 with every 2; with VISITOR
+    added, not with other visitors. `rest`: words from the group's word on.
     """
     n = len(group)
     planes = bit_planes(rows)
     ends = np.searchsorted(group, group, side="right")
     reach = np.searchsorted(np.arange(n), ends) - 1 - np.arange(n)
     needed = overlap_needed(size, threshold)
+    visits, side = side >= VISITOR, side % VISITOR
     left, right = [], []
     lane = np.arange(n)
     step, active = 1, lane[reach >= 1]
@@ -241,8 +314,9 @@ def close_pairs(group: np.ndarray, side: np.ndarray, size: np.ndarray, ids: np.n
         radius = size[active] + size[other] - 2 * needed[other]
         ok = (size[active] >= needed[other]) & (ids[active] != ids[other])
         ok &= (side[active] == 2) | (side[active] != side[other])
+        ok &= ~(visits[active] & visits[other]) & (np.minimum(rest[active], rest[other]) >= needed[other])
         full = np.full(n, -1, dtype=np.int64)
-        full[active[ok]] = np.minimum(radius[ok], PLANES)
+        full[active[ok]] = np.minimum(radius[ok], len(planes))
         words = np.unique(active[ok] >> 6)
         if len(words):
             moved = _moved_words(planes, words, step)
@@ -279,124 +353,116 @@ def class_pairs(texts: DataFrame, threshold: float = 0.8, chunk: int = CHUNK) ->
     different classes at the threshold, a < b, each once.
     """
     spark = texts.sparkSession
-    texts = texts.select("kind", "key", "text").where("text IS NOT NULL AND key IS NOT NULL")
-    sketch = CountSketch.of(texts)
+    hashed = statements(texts.select("kind", "key", "text").where("text IS NOT NULL AND key IS NOT NULL"))
+    bodies = hashed.where("words IS NOT NULL")
+    n_bodies, n_words = bodies.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0)) / 8).first()
+    sketch = CountSketch.of(bodies, n_bodies)
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _prepared(batch, sketch)
-            if found is not None:
-                rows = pa.array(found[0])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("kind").take(rows), pa.array(found[3]), batch.column("key").take(rows)], ["kind", "class_id", "key"]
-                )
+    def prefix_words(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        owner, place = prefixes(sizes, threshold)
+        return rare_first(hashes, sizes, sketch)[(np.cumsum(sizes) - sizes)[owner] + place]
+
+    heads = CountSketch.of(bodies, n_bodies, prefix_words)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            found = _prepared(batch, sketch)
-            if found is None:
-                continue
-            rows, hashes, sizes, ids, sign = found
-            kinds = batch.column("kind").take(pa.array(rows)).to_pylist()
-            fresh = np.zeros(len(rows), dtype=bool)
-            for k, name in enumerate(zip(kinds, ids.tolist())):
-                fresh[k] = name not in seen
-                seen.add(name)
-            take = np.flatnonzero(fresh)
-            if not len(take):
+            hashes, sizes = _words_of(batch.column("words"))
+            if not len(sizes):
                 continue
-            starts = (np.cumsum(sizes) - sizes)[take]
-            n = sizes[take]
-            prefix = n - overlap_needed(n, threshold) + 1
-            owner = np.repeat(np.arange(len(take)), prefix)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            token = hashes[starts[owner] + place]
-            heads = sketch.estimate(token).astype(np.int64)
-            n_chunks = np.maximum(1, -(-heads // chunk))
-            own = (_mix(ids[take].view(np.uint64) ^ _ODD)[owner] % n_chunks.astype(np.uint64)).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            owner, place = prefixes(sizes, threshold)
+            token = rare_first(hashes, sizes, sketch)[starts[owner] + place]
+            ids = np.frombuffer(b"".join(batch.column("class_id").to_pylist()), dtype="<u8").reshape(-1, 2)
+            n_chunks = np.maximum(1, -(-heads.estimate(token) // chunk))
+            own = (_mix(ids[:, 0] ^ _ODD)[owner] % n_chunks.astype(np.uint64)).astype(np.int64)
             copies = np.repeat(np.arange(len(owner)), n_chunks)
             other = np.arange(len(copies)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
             mine = own[copies]
             low, high = np.minimum(mine, other), np.maximum(mine, other)
+            side = np.where(low == high, 2, np.where(mine == low, 0, 1))
             with np.errstate(over="ignore"):
-                block = _mix(token[copies] + _mix((low * n_chunks[copies] + high).astype(np.uint64)) * (n_chunks[copies] > 1))
-            side = np.where(low == high, 2, np.where(mine == low, 0, 1)).astype(np.int8)
-            at = take[owner[copies]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([kinds[i] for i in at.tolist()], pa.string()),
-                    pa.array(block.view(np.int64)),
-                    pa.array(side),
-                    pa.array(sizes[at].astype(np.int32)),
-                    pa.array(ids[at]),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(np.ascontiguousarray(sign[at]))]).cast(pa.binary()),
-                ],
-                ["kind", "block", "side", "n", "class_id", "sign"],
-            )
+                block = token[copies] + _mix((low * n_chunks[copies] + high).astype(np.uint64)) * (n_chunks[copies] > 1)
+            row, rest = owner[copies], (sizes[owner] - place)[copies]
+            own_class, needed = length_class(sizes), overlap_needed(sizes, threshold)
+            for c in np.unique(own_class).tolist():
+                members = np.flatnonzero(own_class == c)
+                flat = np.repeat(starts[members], sizes[members]) + np.arange(sizes[members].sum()) - np.repeat(np.cumsum(sizes[members]) - sizes[members], sizes[members])
+                sign = signatures(hashes[flat], sizes[members], PLANES << c)
+                at = np.full(len(sizes), -1, dtype=np.int64)
+                at[members] = np.arange(len(members))
+                for meets in range(c, -1, -1):
+                    if meets < c:
+                        sign = folded(sign)
+                        at[needed > (PLANES // 2) << meets] = -1
+                    chosen = np.flatnonzero(at[row] >= 0)
+                    if not len(chosen):
+                        break
+                    r = row[chosen]
+                    with np.errstate(over="ignore"):
+                        where = _mix(block[chosen] + np.uint64(meets) * _OTHER)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("kind").take(pa.array(r)), pa.array(where.view(np.int64)), pa.array((side[chosen] + (VISITOR if meets < c else 0)).astype(np.int8)),
+                            pa.array(sizes[r].astype(np.int32)), pa.array(rest[chosen].astype(np.int32)), batch.column("class_id").take(pa.array(r)), _binary(sign[at[r]]),
+                        ],
+                        ["kind", "block", "side", "n", "rest", "class_id", "sign"],
+                    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
             held.append(batch)
-            t = pa.Table.from_batches(held)
-            if t.num_rows < 4 * chunk:
+            rows += batch.num_rows
+            if rows < 4 * chunk:
                 continue
+            t = pa.Table.from_batches(held)
             block = t["block"].to_numpy()
             cut = int(np.searchsorted(block, block[-1]))
             if cut:
                 yield from compared(t.slice(0, cut))
                 held = t.slice(cut).combine_chunks().to_batches()
+            rows = 0
         if held:
             yield from compared(pa.Table.from_batches(held))
 
     def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
-        codes = t["kind"].combine_chunks().dictionary_encode()
+        t = t.combine_chunks()
+        one = lambda c: t[c].chunk(0)
+        codes = one("kind").dictionary_encode()
         kind, names = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), codes.dictionary.to_pylist()
-        block, size = t["block"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-        ids, side = t["class_id"].to_numpy(), t["side"].to_numpy().astype(np.int64)
-        order = np.lexsort((ids, size, kind, block))
-        kind, block, size, ids, side = kind[order], block[order], size[order], ids[order], side[order]
-        fresh = np.ones(len(ids), dtype=bool)
-        fresh[1:] = (ids[1:] != ids[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]) | (side[1:] != side[:-1])
-        group = np.cumsum(np.concatenate([[1], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])]))
-        members_of = np.bincount(group[fresh])
-        keep = np.flatnonzero(fresh & (members_of[group] > 1))
-        if not len(keep):
-            return
-        binary = t["sign"].combine_chunks()
-        binary = binary.chunk(0) if isinstance(binary, pa.ChunkedArray) else binary
-        sign = np.frombuffer(binary.cast(pa.binary(16)).buffers()[1], dtype=np.uint8)
-        sign = sign[: t.num_rows * 16].reshape(-1, 16)[order[keep]]
-        i, j = close_pairs(group[keep], side[keep], size[keep], ids[keep], sign, threshold)
-        a, b = ids[keep[i]], ids[keep[j]]
-        low, high, k = np.minimum(a, b), np.maximum(a, b), kind[keep[i]]
-        pairs = np.unique(np.stack([k, low, high], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[x] for x in pairs[:, 0].tolist()], pa.string()), pa.array(pairs[:, 1]), pa.array(pairs[:, 2])], ["kind", "a", "b"]
-            )
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
-        for batch in batches:
-            found = _prepared(batch, sketch)
-            if found is None:
+        coded = one("class_id").dictionary_encode()
+        # numbers in the order of the ids
+        values = np.frombuffer(b"".join(coded.dictionary.to_pylist()), dtype=">u8").reshape(-1, 2)
+        order = np.lexsort((values[:, 1], values[:, 0]))
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        known = coded.dictionary.take(pa.array(order))
+        all_ids = number[coded.indices.to_numpy(zero_copy_only=False)]
+        widths = np.diff(np.frombuffer(one("sign").buffers()[1], dtype=np.int32)[one("sign").offset : one("sign").offset + t.num_rows + 1])
+        for width in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == width)
+            block, size, rest = (t[c].to_numpy()[own].astype(np.int64) for c in ("block", "n", "rest"))
+            ids, side, k = all_ids[own], t["side"].to_numpy()[own].astype(np.int64), kind[own]
+            order = np.lexsort((ids, size, k, block))
+            k, block, size, rest, ids, side, own = k[order], block[order], size[order], rest[order], ids[order], side[order], own[order]
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | (k[1:] != k[:-1])])
+            fresh = new.copy()
+            fresh[1:] |= (ids[1:] != ids[:-1]) | (side[1:] != side[:-1])
+            group = np.cumsum(new)
+            members_of = np.bincount(group[fresh])
+            keep = np.flatnonzero(fresh & (members_of[group] > 1))
+            if not len(keep):
                 continue
-            rows, hashes, sizes, ids, _ = found
-            kinds = batch.column("kind").take(pa.array(rows)).to_pylist()
-            starts = np.cumsum(sizes) - sizes
-            out = []
-            for k, name in enumerate(zip(kinds, ids.tolist())):
-                if name not in seen:
-                    seen.add(name)
-                    out.append((*name, np.sort(hashes[starts[k] : starts[k] + sizes[k]]).tobytes()))
-            if out:
-                kind, class_id, data = zip(*out)
+            sign = np.frombuffer(b"".join(one("sign").take(pa.array(own[keep])).to_pylist()), dtype=np.uint8).reshape(-1, width)
+            i, j = close_pairs(group[keep], side[keep], size[keep], rest[keep], ids[keep], sign, threshold)
+            a, b = ids[keep[i]], ids[keep[j]]
+            pairs = np.unique(np.stack([k[keep[i]], np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind, pa.string()), pa.array(class_id, pa.int64()), pa.array(data, pa.binary())], ["kind", "class_id", "words"]
+                    [pa.array([names[x] for x in pairs[:, 0].tolist()], pa.string()), known.take(pa.array(pairs[:, 1])), known.take(pa.array(pairs[:, 2]))], ["kind", "a", "b"]
                 )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,35 +484,52 @@ def class_pairs(texts: DataFrame, threshold: float = 0.8, chunk: int = CHUNK) ->
                     ["kind", "a", "b", "shared", "longer"],
                 )
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    belonging = texts.mapInArrow(members, "kind string, class_id long, key string").distinct()
-    posted = texts.mapInArrow(postings, "kind string, block long, side byte, n int, class_id long, sign binary")
+    # a posting takes some 64 bytes and, in texts of any length, a third of the words are in prefixes
+    parts = partitions_for(spark, n_words / 3 * 64)
+    belonging = hashed.select("kind", "class_id", "key").distinct()
+    posted = bodies.select("kind", "class_id", "words").mapInArrow(postings, "kind string, block long, side byte, n int, rest int, class_id binary, sign binary")
     posted = posted.repartition(parts, "block").sortWithinPartitions("block")
-    candidates = posted.mapInArrow(compare, "kind string, a long, b long").distinct()
-    bodies = texts.mapInArrow(words, "kind string, class_id long, words binary")
-    bodies = bodies.groupBy("kind", "class_id").agg(F.first("words").alias("words"))
-    both = candidates.join(bodies.select("kind", F.col("class_id").alias("a"), F.col("words").alias("wa")), ["kind", "a"])
-    both = both.join(bodies.select("kind", F.col("class_id").alias("b"), F.col("words").alias("wb")), ["kind", "b"])
-    pairs = both.select("kind", "a", "b", "wa", "wb").mapInArrow(verify, "kind string, a long, b long, shared int, longer int")
+    candidates = posted.mapInArrow(compare, "kind string, a binary, b binary").distinct()
+    once = bodies.groupBy("kind", "class_id").agg(F.first("words").alias("words"))
+    both = candidates.join(once.select("kind", F.col("class_id").alias("a"), F.col("words").alias("wa")), ["kind", "a"])
+    both = both.join(once.select("kind", F.col("class_id").alias("b"), F.col("words").alias("wb")), ["kind", "b"])
+    pairs = both.select("kind", "a", "b", "wa", "wb").mapInArrow(verify, "kind string, a binary, b binary, shared int, longer int")
     return belonging, pairs
 
 
 def key_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(kind, key_a, key_b) of all keys with texts at the threshold, key_a < key_b, each pair once."""
+    """(kind, key_a, key_b) of all keys with texts at the threshold, key_a < key_b, each pair once.
+
+    A thin expansion of class pairs and membership. A class of very many keys is divided into chunks of CHUNK_KEYS that
+    are paired in separate tasks.
+    """
     members, pairs = class_pairs(texts, threshold)
-    one = members.select("kind", F.col("class_id").alias("a"), F.col("key").alias("x"))
-    two = members.select("kind", F.col("class_id").alias("b"), F.col("key").alias("y"))
-    across = pairs.select("kind", "a", "b").join(one, ["kind", "a"]).join(two, ["kind", "b"]).select("kind", "x", "y")
-    copies = one.join(two.withColumnRenamed("b", "a"), ["kind", "a"]).where("x < y").select("kind", "x", "y")
-    found = across.where("x <> y").unionByName(copies)
+    hot = members.groupBy("kind", "class_id").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_KEYS)
+    hot = hot.select("kind", "class_id", F.ceil(F.col("n") / F.lit(float(CHUNK_KEYS))).cast("int").alias("n_chunks"))
+    salted = members.join(hot, ["kind", "class_id"], "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
+    salted = salted.withColumn("own", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
+    spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    spread = spread.select("kind", "class_id", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    block = ["kind", "class_id", "i", "j"]
+    one, two = spread.where("own = i").select(*block, F.col("key").alias("x")), spread.where("own = j").select(*block, F.col("key").alias("y"))
+    copies = one.join(two, block).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("kind", "x", "y")
+
+    def with_keys(p: DataFrame, side: str, name: str) -> DataFrame:
+        chunks = hot.withColumnRenamed("class_id", side)
+        p = p.join(chunks, ["kind", side], "left").withColumn("own", F.explode(F.sequence(F.lit(0), F.coalesce("n_chunks", F.lit(1)) - 1))).drop("n_chunks")
+        keys = salted.select("kind", F.col("class_id").alias(side), "own", F.col("key").alias(name))
+        return p.join(keys, ["kind", side, "own"]).drop("own")
+
+    across = with_keys(with_keys(pairs.select("kind", "a", "b"), "a", "x"), "b", "y").select("kind", "x", "y")
+    found = across.where("x <> y").unionByName(copies.where("x <> y"))
     return found.select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, rounds: int = 20) -> DataFrame:
+def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(kind, key, group_id, links): the connected set of every key with words, named after its smallest key.
 
     `links` counts the links of the key's classes to different texts. Classes are joined by alternating large-star and
-    small-star steps until nothing changes; every round is written to the shared checkpoint folder.
+    small-star steps until nothing changes, however many it takes; every round is written to the shared checkpoint folder.
     """
     members, pairs = class_pairs(texts, threshold)
     members = checkpointed(members)
@@ -458,14 +541,12 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, rounds: int
     edges = links.unionByName(ties).select("kind", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     edges = checkpointed(edges)
     before = _state(edges)
-    for _ in range(rounds):
-        after = checkpointed(_small_star(_large_star(edges)))
-        state, edges = _state(after), after
+    while True:
+        edges = checkpointed(_small_star(_large_star(edges)))
+        state = _state(edges)
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components not joined in {rounds} rounds")
     named = members.join(edges.select("kind", F.col("v").alias("class_id"), F.col("u").alias("root")), ["kind", "class_id"], "left")
     named = named.withColumn("root", F.coalesce("root", "class_id")).join(degree, ["kind", "class_id"], "left")
     per_key = named.groupBy("kind", "key").agg(F.min("root").alias("root"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))

@@ -110,3 +110,48 @@ def test_signature_distance_is_a_lower_bound():
         for j in range(i):
             a, b = Counter(words(texts[i])), Counter(words(texts[j]))
             assert (sign[i] != sign[j]).sum() <= sum((a - b).values()) + sum((b - a).values())
+
+
+def long_corpus(n=70, seed=8):
+    """Texts of 40 to 700 words in families whose members differ in up to a quarter of their words and in length."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        if k % 5:
+            base = words(rows[-1][2])
+            gone = rng.random(len(base)) < rng.choice([0.02, 0.1, 0.19, 0.25])
+            base = [w for w, g in zip(base, gone) if not g or rng.random() < 0.4] + [f"x{rng.integers(4000)}" for _ in range(rng.integers(0, 9))]
+            base = base or ["empty"]
+        else:
+            base = [f"v{int(rng.integers(3000) * rng.random())}" for _ in range(rng.integers(40, 700))]
+        rows.append(("m", f"k{k}", " ".join(base)))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [4096, 4])
+def test_long_texts_across_length_classes(spark, chunk):
+    rows = long_corpus()
+    members, pairs = N.class_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk=chunk)
+    of = {r["class_id"]: r["key"] for r in members.collect()}
+    found = {("m", *sorted((of[r["a"]], of[r["b"]]))) for r in pairs.collect()}
+    assert found == brute(rows) and len(found) > 30
+    lengths = {r[1]: len(words(r[2])) for r in rows}
+    assert any(N.length_class(np.array([lengths[a]])) != N.length_class(np.array([lengths[b]])) for _, a, b in found)
+
+
+def test_wide_signatures_tell_long_texts_apart():
+    """Unrelated texts of 2,000 words stay far beyond the radius."""
+    a, b = (" ".join(f"{c}{i}" for i in range(2000)) for c in "ab")
+    hashes, sizes = N.hashed_words([a, b])
+    width = N.PLANES << int(N.length_class(np.array([2000]))[0])
+    sign = np.unpackbits(N.signatures(hashes, sizes, width), axis=1)
+    assert (sign[0] != sign[1]).sum() > 1.5 * (4000 - 2 * 1600)
+    half = np.unpackbits(N.folded(N.signatures(hashes, sizes, width)), axis=1)
+    assert (half == np.unpackbits(N.signatures(hashes, sizes, width // 2), axis=1)).all()
+
+
+def test_hot_class_is_paired_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK_KEYS", 5)
+    rows = [("m", f"k{i:02}", "one two three four five six") for i in range(23)] + [("m", "n", "one two three four five"), ("m", "z", "other words here")]
+    got = {tuple(r) for r in N.key_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and len(got) == 23 * 22 // 2 + 23
