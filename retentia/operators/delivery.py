@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.session import partitions_for
+
 #: Blanks that may surround an identifier.
 BLANKS = " \t\n\r\f\v "
 #: Identifiers in one shard's table, on average; a shard is held in memory at once.
@@ -227,7 +229,8 @@ def once_per_id(
         )
     else:
         middle_type, result_type = middle, result
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a shard is about 100 bytes a row, and the payload where there is one
+    parts = partitions_for(spark, rows * (1000.0 if payload else 100.0))
     return (
         slim.mapInArrow(local, middle_type)
         .repartition(parts, "shard")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +27,12 @@ def build_session(master: str = "local[*]", app: str = "retentia", **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`; a temporary one is set only where none is configured
-    (local sessions, as in tests).
+    Only a local session (as in tests) that names none gets a temporary folder of its own; a cluster without one is an
+    error, since its executors share nothing else.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -39,4 +41,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="retentia-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, for results of which later steps read single columns; removed at the end."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone, its folder with it
+        pass
+
+
+#: Bytes that a shuffle partition should hold.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(spark: SparkSession, n_bytes: float) -> int:
+    """Partitions of a shuffle of so many bytes: at least what the session has set, more where they would grow too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / PARTITION_BYTES))
