@@ -504,15 +504,18 @@ def key_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     are paired in separate tasks.
     """
     members, pairs = class_pairs(texts, threshold)
-    hot = members.groupBy("kind", "class_id").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_KEYS)
-    hot = hot.select("kind", "class_id", F.ceil(F.col("n") / F.lit(float(CHUNK_KEYS))).cast("int").alias("n_chunks"))
-    salted = members.join(hot, ["kind", "class_id"], "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
-    salted = salted.withColumn("own", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
-    spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    sizes = members.groupBy("kind", "class_id").agg(F.count("*").alias("n")).where("n > 1")
+    n_chunks = F.ceil(F.col("n") / F.lit(float(CHUNK_KEYS))).cast("int")
+    hot = sizes.where(F.col("n") > CHUNK_KEYS).select("kind", "class_id", n_chunks.alias("n_chunks"))
+    own = F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int")
+    # only classes of several keys have copies to pair
+    shared = members.join(sizes.select("kind", "class_id", n_chunks.alias("n_chunks")), ["kind", "class_id"]).withColumn("own", own)
+    spread = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     spread = spread.select("kind", "class_id", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     block = ["kind", "class_id", "i", "j"]
     one, two = spread.where("own = i").select(*block, F.col("key").alias("x")), spread.where("own = j").select(*block, F.col("key").alias("y"))
     copies = one.join(two, block).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("kind", "x", "y")
+    salted = members.join(hot, ["kind", "class_id"], "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1))).withColumn("own", own)
 
     def with_keys(p: DataFrame, side: str, name: str) -> DataFrame:
         chunks = hot.withColumnRenamed("class_id", side)
