@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions import providers, score as S
-from retentia.operators import rank, stats
+from retentia.operators import rank, resample, stats
 from retentia.plans.common import CAND, COMP, MEM, RRF, candidates, memories, scored, sql_rerank
 from retentia.plans.eviction import _WORDS, _fold_sql, ordered_facts, word_f1
 from retentia.plans.registry import Registry
 from retentia.plans.scoring import _FACT, facts
 from retentia.plans.state import compressed
-from retentia.plans.statistics import GRID, simplex
+from retentia.plans.statistics import AUROC_REPLICATES, GRID, REPLICATES, SEED, simplex
 from retentia.sources.tables import table
 
 registry = Registry()
@@ -63,9 +65,11 @@ def shadow_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     "delong_paired",
     f"""WITH {COMP}, x AS (SELECT memory_id, u, round(s, 6) AS s, frequency >= 2 AS y FROM scored), n AS (SELECT count(*) FILTER (WHERE y)::double AS m, count(*) FILTER (WHERE NOT y)::double AS k FROM x),
     t AS (SELECT y, rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2e0 - rank() OVER (PARTITION BY y ORDER BY u) - (count(*) OVER (PARTITION BY y, u) - 1) / 2e0 AS gu,
-      rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0 - rank() OVER (PARTITION BY y ORDER BY s) - (count(*) OVER (PARTITION BY y, s) - 1) / 2e0 AS gs FROM x)
-    SELECT round((sum(gs) FILTER (WHERE y) - sum(gu) FILTER (WHERE y)) / (any_value(m) * any_value(k)), 6) AS diff,
-      round(sqrt(var_samp((gs - gu) / k) FILTER (WHERE y) / any_value(m) + var_samp((gu - gs) / m) FILTER (WHERE NOT y) / any_value(k)), 6) AS se FROM t, n""",
+      rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0 - rank() OVER (PARTITION BY y ORDER BY s) - (count(*) OVER (PARTITION BY y, s) - 1) / 2e0 AS gs FROM x),
+    d AS (SELECT (sum(gs) FILTER (WHERE y) - sum(gu) FILTER (WHERE y)) / (any_value(m) * any_value(k)) AS diff,
+      sqrt(var_samp((gs - gu) / k) FILTER (WHERE y) / any_value(m) + var_samp((gu - gs) / m) FILTER (WHERE NOT y) / any_value(k)) AS se FROM t, n),
+    z AS (SELECT diff, se, diff / nullif(se, 0) AS z, 1 / (1 + 0.5e0 * (abs(diff / nullif(se, 0)) / sqrt(2e0))) AS t FROM d)
+    SELECT round(diff, 6) AS diff, round(se, 6) AS se, round(z, 4) AS z, round(t * exp(-z * z / 2 - 1.26551223e0 + t * (1.00002368e0 + t * (0.37409196e0 + t * (0.09678418e0 + t * (-0.18628806e0 + t * (0.27886807e0 + t * (-1.13520398e0 + t * (1.48851587e0 + t * (-0.82215223e0 + t * 0.17087277e0))))))))), 6) AS p FROM z""",
 )
 def delong_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two scores' AUROC on the same memories and its DeLong standard error."""
@@ -78,7 +82,9 @@ def delong_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.crossJoin(F.broadcast(n))
     d = F.col("gs") - F.col("gu")
     g = x.groupBy("m", "k").agg(F.sum(F.when(F.col("y"), d)).alias("d"), F.var_samp(F.when(F.col("y"), d / F.col("k"))).alias("v1"), F.var_samp(F.when(~F.col("y"), -d / F.col("m"))).alias("v0"))
-    return g.select(F.round(F.col("d") / (F.col("m") * F.col("k")), 6).alias("diff"), F.round(F.sqrt(F.col("v1") / F.col("m") + F.col("v0") / F.col("k")), 6).alias("se"))
+    g = g.select((F.col("d") / (F.col("m") * F.col("k"))).alias("diff"), F.sqrt(F.col("v1") / F.col("m") + F.col("v0") / F.col("k")).alias("se"))
+    g = g.withColumn("z", F.col("diff") / F.nullif(F.col("se"), F.lit(0.0)))
+    return g.select(F.round("diff", 6).alias("diff"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"), F.round(stats.normal_p(F.col("z")), 6).alias("p"))
 
 
 #: Decay rates an hour of the reference's grid, and the share of a dialogue's facts that is kept.
@@ -125,14 +131,37 @@ def _uniform(*keys) -> object:
 @add("verdict_noise")
 def verdict_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters after each verdict was flipped with the given chance: one seeded draw a verdict."""
-    m = scored(spark, sf_dir).select("memory_id", "success_count", "failure_count")
-    kinds = F.array(F.struct(F.lit(1).alias("good"), F.col("success_count").alias("n")), F.struct(F.lit(0).alias("good"), F.col("failure_count").alias("n")))
-    each = m.select("memory_id", F.explode(kinds).alias("k")).where("k.n > 0").select("memory_id", "k.good", F.explode(F.sequence(F.lit(1), F.col("k.n").cast("int"))).alias("i"))
-    rates = each.withColumn("rate", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.3)))))
+    rates = _verdicts(spark, sf_dir).withColumn("rate", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.3)))))
     seen = F.when(_uniform(F.lit(7), "memory_id", "good", "i") < F.col("rate"), 1 - F.col("good")).otherwise(F.col("good"))
     return rates.groupBy("rate", "memory_id").agg(F.sum(seen).alias("success_count"), F.sum(1 - seen).alias("failure_count"))
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(memory_id, good, i): one row a verdict behind the counters of each memory."""
+    m = scored(spark, sf_dir).select("memory_id", "success_count", "failure_count")
+    kinds = F.array(F.struct(F.lit(1).alias("good"), F.col("success_count").alias("n")), F.struct(F.lit(0).alias("good"), F.col("failure_count").alias("n")))
+    each = m.select("memory_id", F.explode(kinds).alias("k")).where("k.n > 0")
+    return each.select("memory_id", F.col("k.good").alias("good"), F.explode(F.sequence(F.lit(1), F.col("k.n").cast("int"))).alias("i"))
+
+
+@add("verdict_subsample")
+def verdict_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters when only a share of the verdicts is seen: one seeded draw a verdict."""
+    rates = _verdicts(spark, sf_dir).withColumn("share", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0)))))
+    seen = rates.where(_uniform(F.lit(8), "memory_id", "good", "i") < F.col("share"))
+    return seen.groupBy("share", "memory_id").agg(F.sum("good").alias("success_count"), F.sum(1 - F.col("good")).alias("failure_count"))
+
+
+@add("verdict_asymmetric")
+def verdict_asymmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters when good verdicts are missed and bad ones taken for good at different rates."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("miss"), F.lit(b).alias("false")) for a, b in ((0.1, 0.3), (0.3, 0.1))))
+    each = _verdicts(spark, sf_dir).withColumn("r", F.explode(pairs)).select("memory_id", "good", "i", "r.*")
+    turned = _uniform(F.lit(9), "memory_id", "good", "i") < F.when(F.col("good") == 1, F.col("miss")).otherwise(F.col("false"))
+    seen = F.when(turned, 1 - F.col("good")).otherwise(F.col("good"))
+    return each.groupBy("miss", "false", "memory_id").agg(F.sum(seen).alias("success_count"), F.sum(1 - seen).alias("failure_count"))
+
+
 @add("reliability_curve")
 def reliability_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far noisy counters still order memories as clean ones do: AUROC of smoothed success by noise rate."""
@@ -143,38 +172,83 @@ def reliability_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.auroc(x, "v", "y", ["rate"]).withColumn("law", law)
 
 
+#: Draws, and the Dirichlet total that gives the default weights a mean coefficient of variation of 0.2.
+DRAWS = 1_000
+TOTAL = sum((1 - w) / w for w in S.WEIGHTS.values()) / len(S.WEIGHTS) / 0.2**2 - 1
+
+
 @add("weight_perturbations")
 def weight_perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tier stability under 50 seeded Dirichlet draws around the default weights (gammas by sums of exponentials)."""
-    draws = spark.range(50).withColumnRenamed("id", "draw")
-    shape = {k: int(round(w * 20)) for k, w in S.WEIGHTS.items()}
-    for k, n in shape.items():
-        draws = draws.withColumn(k, sum(-F.log(_uniform(F.lit(11), "draw", F.lit(k), F.lit(i))) for i in range(n)))
-    total = F.col("r") + F.col("f") + F.col("u") + F.col("p")
-    grid = [tuple(x) for x in draws.select("draw", *(F.round(F.col(k) / total, 9) for k in "rfup")).collect()]
-    each = F.array(*(F.struct(F.lit(d).alias("draw"), S.tier(S.composite(*(F.col(c) for c in "rfup"), dict(zip("rfup", w)))).alias("tier")) for d, *w in grid))
-    x = scored(spark, sf_dir).select(S.tier(F.col("s")).alias("before"), F.explode(each).alias("e"))
-    return x.groupBy("e.draw").agg(F.round(F.avg((F.col("before") != F.col("e.tier")).cast("int")), 6).alias("changed"))
-
-
-@add("boot_auroc")
-def boot_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUROC of utility with a percentile interval, whole collections resampled 50 times; one-class replicates are skipped."""
-    x = scored(spark, sf_dir).select("collection", F.col("u").alias("v"), (F.col("frequency") >= 2).alias("y"))
-    counts = x.groupBy("collection", "v").agg(F.sum(F.col("y").cast("int")).alias("pos"), F.sum((~F.col("y")).cast("int")).alias("neg"))
-    b = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    u, total, mass, w = _uniform(F.lit(5), "replicate", "collection"), 0.0, 0.36787944117144233, F.lit(0)
-    for n in range(10):
-        total += mass
-        w = w + F.when(u > total, 1).otherwise(0)
-        mass /= n + 1
-    g = b.withColumn("w", w).groupBy("replicate", "v").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
-    from pyspark.sql import Window
-
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("replicate").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = g.withColumn("below", below).groupBy("replicate").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("s"), F.sum("pos").alias("m"), F.sum("neg").alias("k"))
-    a = a.where("m > 0 AND k > 0").select((F.col("s") / (F.col("m") * F.col("k"))).alias("auc"))
-    return a.agg(F.round(F.avg("auc"), 6).alias("auc"), F.round(F.percentile("auc", 0.025), 6).alias("low"), F.round(F.percentile("auc", 0.975), 6).alias("high"))
+    """Share of memories that change tier under each of 1,000 Dirichlet draws around the default weights.
+
+    Components meet as counts first; a task weighs its rows by all draws and sends one count a draw.
+    """
+    rng = np.random.default_rng(11)
+    weights = rng.dirichlet([TOTAL * w for w in S.WEIGHTS.values()], DRAWS)
+    m = scored(spark, sf_dir).select(*"rfup", "s")
+
+    def count(batches):
+        changed, n = np.zeros(DRAWS, dtype=np.int64), 0
+        tier = lambda s: np.where(s > S.RETAIN, 2, np.where(s > S.COMPRESS, 1, 0))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "rfup"], axis=1)
+            before = tier(batch.column("s").to_numpy(zero_copy_only=False))
+            for part, old in zip(np.array_split(x, max(1, len(x) // 2048)), np.array_split(before, max(1, len(x) // 2048))):
+                after = tier(np.floor(np.clip(part @ weights.T, 0.0, 1.0) * 1e6 + 0.5) / 1e6)
+                changed += (after != old[:, None]).sum(axis=0)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(DRAWS), pa.int32()), pa.array(changed), pa.array([n] * DRAWS, pa.int64())], ["draw", "changed", "n"])
+
+    return m.mapInArrow(count, "draw int, changed long, n long").groupBy("draw").agg(F.round(F.sum("changed") / F.sum("n"), 6).alias("changed"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dialogue, cluster_id, needed, one column a score) of facts with sessions: what the confirmatory family compares."""
+    n = F.coalesce("mentions", F.lit(0)).cast("double")
+    r, f, u = S.recency(F.col("recency_ts"), F.col("t_end")), S.frequency(n), (F.size("sessions") + 1.0) / (n + 2.0)
+    days = F.greatest(F.col("t_end") - F.col("recency_ts"), F.lit(0.0)) / 86400.0
+    columns = {"composite": S.composite(r, f, u, F.lit(0.5)), "recency": F.col("recency_ts"), "age": F.col("created_ts"), "mention": n, "utility": F.round(u, 9), "forgetting": F.round(F.exp(-days / (F.lit(1.0) + n)), 9)}
+    needed = F.size(F.filter("sessions", lambda x: x > F.col("created_session"))) > 0
+    return facts(spark, sf_dir).where("sessions IS NOT NULL").select("dialogue", "cluster_id", needed.alias("needed"), *(F.coalesce(c, F.lit(0.0)).alias(name) for name, c in columns.items()))
+
+
+#: (id, endpoint, a, b, predicted sign of a - b).
+FAMILY = (
+    ("F1", "auroc", "composite", "recency", 1), ("F2", "auroc", "composite", "mention", 1), ("F3", "auroc", "utility", "forgetting", 1),
+    ("F4", "harm", "composite", "recency", -1), ("F5", "harm", "composite", "age", -1),
+)
+
+
+def _harm(rows: DataFrame, score: str, keep: float = KEEP) -> DataFrame:
+    """(dialogue, harm): share of a dialogue's needed facts that keeping its best facts by `score` loses."""
+    f = rows.select("dialogue", "needed", (-F.col(score)).alias("k"), F.md5(F.concat(F.lit("evict:"), F.col("cluster_id"))).alias("tie"))
+    f = rank.rank_within(f, ["dialogue"], "k", "tie", "rk").withColumn("lost", F.col("rk") > F.greatest(F.lit(1), F.ceil(F.col("n") * keep)))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return f.groupBy("dialogue").agg(one(F.col("needed") & F.col("lost")).alias("a"), one(F.col("needed")).alias("b")).where("b > 0").select("dialogue", (F.col("a") / F.col("b")).alias("harm"))
+
+
+def decided(family: DataFrame, level: float = 0.05) -> DataFrame:
+    """`family` (id, diff, p, sign) with Holm's p over all rows and the direction-aware result."""
+    f = stats.holm(family.withColumn("__all", F.lit("all")), "id", "p", "__all").drop("__all").withColumnRenamed("adjusted", "holm_p")
+    there = F.signum("diff") == F.col("sign")
+    return f.withColumn("result", F.when((F.col("holm_p") < level) & there, "confirmed").when(F.col("holm_p") < level, "significant, opposite direction").otherwise("not confirmed"))
+
+
+@add("confirm_family")
+def confirm_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmatory family: paired differences of AUROC and of harmful deletion, dialogues as clusters, Holm's p, result."""
+    rows = _scores(spark, sf_dir)
+    out = None
+    for name, endpoint, a, b, sign in FAMILY:
+        if endpoint == "auroc":
+            d = resample.auroc_replicates(rows, "dialogue", [a, b], "needed", AUROC_REPLICATES, SEED).select((F.col(a) - F.col(b)).alias("d"))
+        else:
+            pair = _harm(rows, a).withColumnRenamed("harm", "x").join(_harm(rows, b).withColumnRenamed("harm", "y").withColumnRenamed("dialogue", "other"), F.col("dialogue").eqNullSafe(F.col("other")))
+            d = resample.mean_replicates(pair.select("dialogue", F.round(F.col("x") - F.col("y"), 9).alias("x")), "dialogue", "x", REPLICATES, SEED).select(F.col("mean").alias("d"))
+        one = d.agg(F.round(F.avg("d"), 6).alias("diff"), *resample.interval(d, "d"), F.round(resample.two_sided("d"), 6).alias("p"))
+        one = one.select(F.lit(name).alias("id"), F.lit(endpoint).alias("endpoint"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(sign).alias("sign"), "*")
+        out = one if out is None else out.unionByName(one)
+    return decided(out)
 
 
 def store(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentia.functions import score as S
-from retentia.operators import rank, stats
+from retentia.operators import rank, resample, stats
 from retentia.plans.common import CAND, COMP, MEM, NOW, RRF, TOPIC_SQL, candidates, memories, scored, sql_rerank, topic
 from retentia.plans.registry import Registry
 from retentia.sources.tables import table
@@ -45,18 +45,35 @@ def retention_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("type").pivot("tier", ["retain", "compress", "delete"]).count().na.fill(0)
 
 
+#: Shifts of the upper bound, the lower bound and both.
+SHIFTS = [(name, d if name != "compress" else 0.0, d if name != "retain" else 0.0) for name in ("retain", "compress", "both") for d in (-0.1, -0.05, 0.05, 0.1)]
+_SHIFTS = ", ".join(f"('{n}', {a}e0, {b}e0)" for n, a, b in SHIFTS)
+
+
 @add(
     "shift_stability",
-    f"""WITH {COMP}, d AS (SELECT unnest([-0.1e0, -0.05e0, 0.05e0, 0.1e0]) AS shift), x AS (SELECT shift, {_TIERS} AS a, CASE WHEN s > 0.7e0 + shift THEN 'retain' WHEN s > 0.3e0 + shift THEN 'compress' ELSE 'delete' END AS b FROM scored, d)
-    SELECT shift, round(avg((a <> b)::int), 6) AS changed, round(avg((b = 'retain')::int), 6) AS retain, round(avg((b = 'compress')::int), 6) AS compress FROM x GROUP BY shift""",
+    f"""WITH {COMP}, d AS (SELECT * FROM (VALUES {_SHIFTS}) t(moved, up, low)), x AS (SELECT moved, up, low, {_TIERS} AS a, CASE WHEN s > 0.7e0 + up THEN 'retain' WHEN s > 0.3e0 + low THEN 'compress' ELSE 'delete' END AS b FROM scored, d),
+    c AS (SELECT moved, up, low, a, b, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT moved, up, low, sum(n)::double AS t, sum(n) FILTER (WHERE a = b) / sum(n)::double AS po, sum(n) FILTER (WHERE b = 'retain') AS r, sum(n) FILTER (WHERE b = 'compress') AS c FROM c GROUP BY ALL),
+    e AS (SELECT moved, up, low, sum(p * q) AS pe FROM (SELECT moved, up, low, a AS k, sum(n) AS p FROM c GROUP BY ALL) JOIN (SELECT moved, up, low, b AS k, sum(n) AS q FROM c GROUP BY ALL) USING (moved, up, low, k) GROUP BY ALL)
+    SELECT moved, up, low, round(1 - coalesce(po, 0e0), 6) AS changed, round(coalesce(r, 0) / t, 6) AS retain, round(coalesce(c, 0) / t, 6) AS compress, round(CASE WHEN pe >= t * t THEN 1e0 ELSE (coalesce(po, 0e0) - coalesce(pe, 0) / (t * t)) / (1 - coalesce(pe, 0) / (t * t)) END, 6) AS kappa
+    FROM t LEFT JOIN e USING (moved, up, low)""",
 )
 def shift_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tier shares and changed share when both bounds shift."""
-    m = scored(spark, sf_dir).select("s", F.explode(F.array(*map(F.lit, (-0.1, -0.05, 0.05, 0.1)))).alias("shift"))
-    b = F.when(F.col("s") > F.lit(0.7) + F.col("shift"), "retain").when(F.col("s") > F.lit(0.3) + F.col("shift"), "compress").otherwise("delete")
-    m = m.select("shift", S.tier(F.col("s")).alias("a"), b.alias("b"))
-    share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return m.groupBy("shift").agg(share(F.col("a") != F.col("b")).alias("changed"), share(F.col("b") == "retain").alias("retain"), share(F.col("b") == "compress").alias("compress"))
+    """Tier shares, changed share and kappa under twelve shifts of the bounds; rows meet as counts of tier pairs."""
+    each = F.array(*(F.struct(F.lit(n).alias("moved"), F.lit(a).alias("up"), F.lit(b).alias("low")) for n, a, b in SHIFTS))
+    m = scored(spark, sf_dir).select("s", F.explode(each).alias("d")).select("s", "d.*")
+    b = F.when(F.col("s") > F.lit(0.7) + F.col("up"), "retain").when(F.col("s") > F.lit(0.3) + F.col("low"), "compress").otherwise("delete")
+    key = ["moved", "up", "low"]
+    cells = m.groupBy(*key, S.tier(F.col("s")).alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    tiers = ("retain", "compress", "delete")
+    sums = {f"{x}_{t}": n(F.col(x) == t) for x in "ab" for t in tiers} | {"t": F.sum("n"), "same": n(F.col("a") == F.col("b"))}
+    g = cells.groupBy(*key).agg(*(c.alias(name) for name, c in sums.items()))
+    t = F.col("t").cast("double")
+    pe = sum((F.col(f"a_{x}") * F.col(f"b_{x}") for x in tiers), F.lit(0)) / (t * t)
+    po = F.col("same") / t
+    kappa = F.when(pe >= 1, F.lit(1.0)).otherwise((po - pe) / (1 - pe))
+    return g.select(*key, F.round(1 - po, 6).alias("changed"), F.round(F.col("b_retain") / t, 6).alias("retain"), F.round(F.col("b_compress") / t, 6).alias("compress"), F.round(kappa, 6).alias("kappa"))
 
 
 @add(
@@ -224,12 +241,20 @@ def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Agreement and rank statistics
 
 
-@add("mcnemar_counts", f"WITH {COMP}, x AS (SELECT s > 0.5e0 AS a, u > 0.5e0 AS b FROM scored) SELECT count(*) FILTER (WHERE a AND NOT b)::bigint AS a_only, count(*) FILTER (WHERE b AND NOT a)::bigint AS b_only, count(*) FILTER (WHERE a = b)::bigint AS same FROM x")
-def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discordant pairs of two classifiers."""
+_MC = """x AS (SELECT s > 0.5e0 AS a, u > 0.5e0 AS b FROM scored), c AS (SELECT count(*) FILTER (WHERE a AND NOT b)::bigint AS a_only, count(*) FILTER (WHERE b AND NOT a)::bigint AS b_only, count(*) FILTER (WHERE a = b)::bigint AS same FROM x)"""
+
+
+@add(
+    "mcnemar_exact",
+    f"""WITH {COMP}, {_MC} SELECT a_only, b_only, same, round(CASE WHEN a_only + b_only = 0 THEN 1e0 ELSE least(1e0, 2e0 * list_sum(list_transform(range(0, least(a_only, b_only) + 1),
+      lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2e0))))) END, 6) AS p FROM c""",
+)
+def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discordant pairs of two classifiers and the exact two-sided p."""
     m = scored(spark, sf_dir).select((F.col("s") > 0.5).alias("a"), (F.col("u") > 0.5).alias("b"))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return m.agg(n(F.col("a") & ~F.col("b")).alias("a_only"), n(F.col("b") & ~F.col("a")).alias("b_only"), n(F.col("a") == F.col("b")).alias("same"))
+    c = m.agg(n(F.col("a") & ~F.col("b")).alias("a_only"), n(F.col("b") & ~F.col("a")).alias("b_only"), n(F.col("a") == F.col("b")).alias("same"))
+    return c.withColumn("p", F.round(stats.mcnemar_p(F.col("a_only"), F.col("b_only")), 6))
 
 
 @add(
@@ -338,12 +363,13 @@ def top10_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(
     "delong_auc",
     f"""WITH {COMP}, x AS (SELECT u AS v, frequency >= 2 AS y FROM scored), t AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS tz, rank() OVER (PARTITION BY y ORDER BY v) + (count(*) OVER (PARTITION BY y, v) - 1) / 2e0 AS tc FROM x),
-    n AS (SELECT count(*) FILTER (WHERE y)::double AS m, count(*) FILTER (WHERE NOT y)::double AS k FROM x)
-    SELECT round((sum(tz) FILTER (WHERE y) / any_value(m) - (any_value(m) + 1) / 2e0) / any_value(k), 6) AS auc,
-      round(sqrt(var_samp((tz - tc) / k) FILTER (WHERE y) / any_value(m) + var_samp(1 - (tz - tc) / m) FILTER (WHERE NOT y) / any_value(k)), 6) AS se FROM t, n""",
+    n AS (SELECT count(*) FILTER (WHERE y)::double AS m, count(*) FILTER (WHERE NOT y)::double AS k FROM x),
+    d AS (SELECT (sum(tz) FILTER (WHERE y) / any_value(m) - (any_value(m) + 1) / 2e0) / any_value(k) AS auc,
+      sqrt(var_samp((tz - tc) / k) FILTER (WHERE y) / any_value(m) + var_samp(1 - (tz - tc) / m) FILTER (WHERE NOT y) / any_value(k)) AS se FROM t, n)
+    SELECT round(auc, 6) AS auc, round(se, 6) AS se, round(auc - 1.959964e0 * se, 6) AS low, round(auc + 1.959964e0 * se, 6) AS high FROM d""",
 )
 def delong_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUROC of utility over all memories and its DeLong standard error."""
+    """AUROC of utility over all memories, its DeLong standard error and 95 % interval."""
     x = scored(spark, sf_dir).select("memory_id", F.col("u").alias("v"), (F.col("frequency") >= 2).alias("y")).withColumn("all", F.lit(1))
     t = stats.midranks(x, "v", ["all"]).withColumnRenamed("midrank", "tz")
     t = stats.midranks(t, "v", ["y"]).withColumnRenamed("midrank", "tc")
@@ -353,7 +379,9 @@ def delong_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("tz") - F.col("tc")
     g = t.groupBy("m", "k").agg(F.sum(pos(F.col("tz"))).alias("s"), F.var_samp(pos(gap / F.col("k"))).alias("v1"), F.var_samp(F.when(~F.col("y"), 1 - gap / F.col("m"))).alias("v0"))
     auc = (F.col("s") / F.col("m") - (F.col("m") + 1) / 2.0) / F.col("k")
-    return g.select(F.round(auc, 6).alias("auc"), F.round(F.sqrt(F.col("v1") / F.col("m") + F.col("v0") / F.col("k")), 6).alias("se"))
+    g = g.select(auc.alias("auc"), F.sqrt(F.col("v1") / F.col("m") + F.col("v0") / F.col("k")).alias("se"))
+    ends = {"auc": F.col("auc"), "se": F.col("se"), "low": F.col("auc") - 1.959964 * F.col("se"), "high": F.col("auc") + 1.959964 * F.col("se")}
+    return g.select(*(F.round(c, 6).alias(name) for name, c in ends.items()))
 
 
 @add(
@@ -415,21 +443,61 @@ def boot_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).agg(F.round(F.avg("s"), 6).alias("mean"), F.count("*").alias("n"))
 
 
+#: Replicates of means, agreement and AUROC (fixed values), and the seed of all of them.
+REPLICATES, AUROC_REPLICATES, SEED = 10_000, 2_000, 7
+
+
 @add("boot_mean")
 def boot_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean score with a 95 % percentile interval from 200 seeded replicates, resampling whole collections."""
-    b = stats.bootstrap_means(scored(spark, sf_dir), "collection", "s", 200, 7)
-    return b.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))
+    """Mean score with a 95 % percentile interval of the two-stage bootstrap over collections and their memories."""
+    b = resample.mean_replicates(scored(spark, sf_dir), "collection", "s", REPLICATES, SEED)
+    return b.agg(F.round(F.avg("mean"), 6).alias("mean"), *resample.interval(b, "mean"), F.count("*").alias("replicates"))
 
 
 @add("boot_difference")
 def boot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired difference of score and utility: interval, two-sided p and the p of being worse than a margin of 0.05."""
-    d = scored(spark, sf_dir).select("collection", (F.col("s") - F.col("u")).alias("d"))
-    b = stats.bootstrap_means(d, "collection", "d", 200, 7)
-    share = lambda c: F.avg(c.cast("int"))
-    two = F.least(F.lit(1.0), 2 * F.least(share(F.col("mean") <= 0), share(F.col("mean") >= 0)))
-    return b.agg(F.round(F.avg("mean"), 6).alias("diff"), F.round(two, 6).alias("p"), F.round(share(F.col("mean") <= -0.05), 6).alias("p_worse"))
+    d = scored(spark, sf_dir).select("collection", F.round(F.col("s") - F.col("u"), 9).alias("d"))
+    b = resample.mean_replicates(d, "collection", "d", REPLICATES, SEED)
+    worse = F.avg((F.col("mean") <= -0.05).cast("int"))
+    return b.agg(F.round(F.avg("mean"), 6).alias("diff"), *resample.interval(b, "mean"), F.round(resample.two_sided("mean"), 6).alias("p"), F.round(worse, 6).alias("p_worse"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("collection", F.round("u", 9).alias("u"), "s", (F.col("frequency") >= 2).alias("y"))
+
+
+@add("boot_auroc")
+def boot_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC of utility with a 95 % percentile interval; replicates of one class are left out and counted."""
+    b = resample.auroc_replicates(_labelled(spark, sf_dir), "collection", ["u"], "y", AUROC_REPLICATES, SEED)
+    return b.agg(F.round(F.avg("u"), 6).alias("auc"), *resample.interval(b, "u"), (F.lit(AUROC_REPLICATES) - F.count("*")).alias("skipped"))
+
+
+@add("boot_auroc_paired")
+def boot_auroc_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of the AUROC of score and of utility under the same draws: interval and two-sided p."""
+    b = resample.auroc_replicates(_labelled(spark, sf_dir), "collection", ["s", "u"], "y", AUROC_REPLICATES, SEED)
+    b = b.withColumn("d", F.col("s") - F.col("u"))
+    return b.agg(F.round(F.avg("d"), 6).alias("diff"), *resample.interval(b, "d"), F.round(resample.two_sided("d"), 6).alias("p"), (F.lit(AUROC_REPLICATES) - F.count("*")).alias("skipped"))
+
+
+@add("boot_kappa")
+def boot_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kappa of verdict and outcome without the neutral verdicts: interval, share of neutral ones, and whether it is 0.6 or more."""
+    m = scored(spark, sf_dir).select("collection", "s", (F.col("u") > 0.5).alias("truth"))
+    said = m.where("s > 0.55 OR s < 0.4").select("collection", (F.col("s") > 0.55).alias("said"), "truth")
+    cells = resample.cell_replicates(said, "collection", ["said", "truth"], REPLICATES, SEED)
+    n = lambda a, b: F.sum(F.when((F.col("said") == a) & (F.col("truth") == b), F.col("n")).otherwise(0))
+    t = cells.groupBy("replicate").agg(n(True, True).alias("tp"), n(True, False).alias("fp"), n(False, True).alias("fn"), n(False, False).alias("tn"))
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    po = (F.col("tp") + F.col("tn")) / total
+    pe = ((F.col("tp") + F.col("fp")) * (F.col("tp") + F.col("fn")) + (F.col("fn") + F.col("tn")) * (F.col("fp") + F.col("tn"))) / (total * total)
+    k = t.where(total > 0).select(F.when(pe == 1, F.lit(1.0)).otherwise((po - pe) / (1 - pe)).alias("k"))
+    point = stats.kappa(said, "said", "truth").withColumnRenamed("n", "judged")
+    neutral = m.agg(F.round(1 - F.avg(((F.col("s") > 0.55) | (F.col("s") < 0.4)).cast("int")), 6).alias("neutral"))
+    passed = F.when(F.col("kappa") >= 0.6, "pass").otherwise("fail").alias("decision")
+    return point.crossJoin(k.agg(*resample.interval(k, "k"))).crossJoin(neutral).select("kappa", "low", "high", "judged", "neutral", passed)
 
 
 @add("dev_test_split", "SELECT context_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY md5('split:7:' || context_id)) <= round(0.3e0 * count(*) OVER (PARTITION BY source)) THEN 'dev' ELSE 'test' END AS split FROM contexts")
