@@ -24,8 +24,8 @@ from retentia.session import partitions_for
 
 #: Blanks that may surround an identifier.
 BLANKS = " \t\n\r\f\v "
-#: Identifiers in one shard's table, on average; a shard is held in memory at once.
-SHARD_ROWS = 1 << 15
+#: Identifiers in one shard's table, on average, without and with the other columns; a shard is held in memory at once.
+SHARD_ROWS, WIDE_ROWS = 1 << 15, 1 << 12
 #: Bytes of one identifier word.
 WORD = 32
 
@@ -146,16 +146,18 @@ def _once(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def once_per_id(
-    df: DataFrame, id_column: str, order: Sequence[Column] = (), payload: bool = True, shard_rows: int = SHARD_ROWS
+    df: DataFrame, id_column: str, order: Sequence[Column] = (), payload: bool = True, shard_rows: int | None = None
 ) -> DataFrame:
     """(request_id, n_deliveries[, kept struct of all columns of `df`]), one row per identifier.
 
     `order`: expressions, ascending, smallest first kept (nulls last; booleans and numbers, timestamps or strings).
-    Map side, every Arrow batch passes a table of its own first, so a hot identifier crosses the shuffle once a batch;
+    Give narrow expressions (the hash of a long text, not the text): they travel beside the row. Map side, every Arrow
+    batch passes a table of its own first, so a hot identifier crosses the shuffle once a batch;
     shards are read one at a time in sorted order, so a task holds one shard however large its partition is.
     """
     spark = df.sparkSession
     rows = df.count()
+    shard_rows = shard_rows or (WIDE_ROWS if payload else SHARD_ROWS)
     bits = max(0, math.ceil(math.log2(max(1, rows) / shard_rows))) if rows else 0
     keys = [f"o{i}" for i in range(len(order))]
     columns = [canonical_id(df[id_column]).alias("id"), *(c.alias(k) for c, k in zip(order, keys))]

@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT request_id, n_deliveries, batch_id, line_no::int AS line_no, method, url, body, collected_at, received_at FROM (
       SELECT *, {_ID} AS request_id, count(*) OVER (PARTITION BY {_ID})::bigint AS n_deliveries,
         row_number() OVER (PARTITION BY {_ID} ORDER BY coalesce(json_valid(body), false) DESC, received_at ASC NULLS LAST,
-          collected_at ASC NULLS LAST, batch_id ASC NULLS LAST, line_no ASC NULLS LAST, body ASC NULLS LAST) AS rn
+          collected_at ASC NULLS LAST, batch_id ASC NULLS LAST, line_no ASC NULLS LAST, md5(body) ASC NULLS LAST) AS rn
       FROM collected_requests) WHERE request_id <> '' AND rn = 1""",
 )
 def p3_requests_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p3_requests_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "collected_requests")
     order = [
         F.try_parse_json("body").isNull(),
-        *(F.col(c) for c in ("received_at", "collected_at", "batch_id", "line_no", "body")),
+        *(F.col(c) for c in ("received_at", "collected_at", "batch_id", "line_no")), F.md5("body"),
     ]
     once = once_per_id(requests, "custom_id", order)
     kept = [F.col("kept")[c].alias(c) for c in requests.columns if c != "custom_id"]
