@@ -26,6 +26,8 @@ POLICIES = {
     "random": ("0D", "0e0"),
     "forgetting": (f"round(exp(-(greatest({NOW}D - coalesce(recency_ts, created_ts), 0D) / 86400D) / (1D + frequency)), 9)", f"round(exp(-(greatest({NOW}e0 - coalesce(recency_ts, created_ts), 0e0) / 86400e0) / (1e0 + frequency)), 9)"),
     "utility": ("round(u, 9)", "round(u, 9)"),
+    "predictive": ("round(p, 9)", "round(p, 9)"),
+    "no_recency": ("round((0.2D * f + 0.3D * u + 0.2D * p) / 0.7D, 9)", "round((0.2e0 * f + 0.3e0 * u + 0.2e0 * p) / 0.7e0, 9)"),
 }
 
 
@@ -52,6 +54,27 @@ for _p in POLICIES:
     _policy(_p)
 
 
+_FRESH = f"pow(0.995e0, greatest({NOW}e0 - coalesce(recency_ts, created_ts, 0e0), 0e0) / 3600e0)"
+
+
+@add(
+    "evict_agents",
+    f"""WITH {COMP}, a AS (SELECT collection, memory_id, {_FRESH} AS rec, coalesce(len(regexp_extract_all(lower(text_content), '[a-z0-9]+')), 0)::double AS imp FROM scored),
+    b AS (SELECT *, min(rec) OVER w AS r0, max(rec) OVER w AS r1, min(imp) OVER w AS i0, max(imp) OVER w AS i1, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY collection)),
+    k AS (SELECT *, round(CASE WHEN r1 > r0 THEN (rec - r0) / (r1 - r0) ELSE 0e0 END + CASE WHEN i1 > i0 THEN (imp - i0) / (i1 - i0) ELSE 0e0 END, 9) AS key FROM b),
+    e AS (SELECT collection, memory_id, n, row_number() OVER (PARTITION BY collection ORDER BY key, md5('evict:' || memory_id), memory_id) AS nth FROM k)
+    SELECT collection, memory_id, nth::bigint AS place FROM e WHERE nth <= n - greatest(1, ceil(n * 0.5e0))""",
+)
+def evict_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eviction by recency plus importance, each scaled to its spread in the collection; words stand for the importance."""
+    rec = F.pow(F.lit(0.995), F.greatest(F.lit(NOW) - F.coalesce("recency_ts", "created_ts", F.lit(0.0)), F.lit(0.0)) / 3600.0)
+    a = scored(spark, sf_dir).select("collection", "memory_id", rec.alias("rec"), F.size(words(F.col("text_content"))).cast("double").alias("imp"))
+    span = a.groupBy("collection").agg(F.min("rec").alias("r0"), F.max("rec").alias("r1"), F.min("imp").alias("i0"), F.max("imp").alias("i1")).withColumnRenamed("collection", "c")
+    scaled = lambda x, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(x) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(F.lit(0.0))
+    k = a.join(span, F.col("collection").eqNullSafe(F.col("c"))).withColumn("key", F.round(scaled("rec", "r0", "r1") + scaled("imp", "i0", "i1"), 9))
+    return evicted(k.select("collection", "memory_id", "key"), "key", 0.5)
+
+
 @add(
     "policy_scores",
     f"""WITH {COMP} SELECT memory_id, policy, round(score, 6) AS score FROM (SELECT memory_id, unnest(['retention', 'lfu', 'fifo', 'utility', 'predictive']) AS policy, unnest([s, frequency::double, created_ts, u, p]) AS score FROM scored)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions import score as S
 from retentia.operators import lexical, rank, vector
-from retentia.plans.common import CAND, MEM, RRF, TOPIC_SQL, candidates, memories, query_vectors, sql_rerank, topic
+from retentia.plans.common import CAND, MEM, NOW, RRF, TOPIC_SQL, candidates, memories, query_vectors, sql_rerank, topic
 from retentia.plans.registry import Registry
 from retentia.sources.tables import table
 
@@ -233,6 +233,61 @@ def goal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", (F.col("dim") + 1).alias("dim"), F.round(F.avg(F.col("x").cast("double")).over(w), 6).alias("x")).where("x IS NOT NULL")
 
 
+@add(
+    "goal_window_next",
+    """WITH e AS (SELECT vec_id, label, unnest(embedding::double[]) AS x, unnest(range(1, 65)) AS dim FROM embeddings),
+    a AS (SELECT vec_id, dim, avg(x) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS x FROM e)
+    SELECT vec_id, dim::int AS dim, round(x, 6) AS x FROM a WHERE x IS NOT NULL""",
+)
+def goal_window_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of the three following queries of the same label (the oracle's goal), one row a dimension."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
+    w = Window.partitionBy("label", "dim").orderBy("vec_id").rowsBetween(1, 3)
+    return e.select("vec_id", (F.col("dim") + 1).alias("dim"), F.round(F.avg(F.col("x").cast("double")).over(w), 6).alias("x")).where("x IS NOT NULL")
+
+
+_TIE = {"stored": "memory_id", "reversed": "memory_id DESC", "similarity": "sim_rank", "seeded": "md5('7:' || memory_id)"}
+_POLICY_RANKS = ", ".join(f"row_number() OVER (PARTITION BY qid ORDER BY round(u, 2) DESC, {t}) AS {n}" for n, t in _TIE.items())
+
+
+@add(
+    "replay_ties",
+    f"""WITH {CAND}, k AS (SELECT qid, {_POLICY_RANKS} FROM cand) SELECT policy, count(*)::bigint AS queries, round(avg(same::int), 6) AS same_set FROM (SELECT qid, unnest(['stored', 'reversed', 'similarity']) AS policy,
+      unnest([bool_and((stored <= 5) = (seeded <= 5)), bool_and((reversed <= 5) = (seeded <= 5)), bool_and((similarity <= 5) = (seeded <= 5))]) AS same FROM k GROUP BY qid) GROUP BY policy""",
+)
+def replay_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each way to break ties of utility shows the same five memories as the seeded one."""
+    orders = {"stored": F.col("memory_id"), "reversed": F.desc("memory_id"), "similarity": F.col("sim_rank"), "seeded": F.md5(F.concat(F.lit("7:"), F.col("memory_id")))}
+    rank_by = lambda o: F.row_number().over(Window.partitionBy("qid").orderBy(F.round("u", 2).desc(), o)) <= 5
+    k = candidates(spark, sf_dir).select("qid", *(rank_by(o).alias(n) for n, o in orders.items()))
+    each = F.array(*(F.struct(F.lit(n).alias("policy"), F.bool_and(F.col(n) == F.col("seeded")).alias("same")) for n in ("stored", "reversed", "similarity")))
+    per = k.groupBy("qid").agg(each.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    return per.groupBy("policy").agg(F.count("*").alias("queries"), F.round(F.avg(F.col("same").cast("int")), 6).alias("same_set"))
+
+
+_AGE = "0.005e0 * greatest({now}e0 - ({t}), 0e0) / 3600e0"
+
+
+@add(
+    "replay_times",
+    f"""WITH {CAND}, v AS (SELECT qid, sim_rank, s_rank, f, u, p, coalesce(recency_ts, created_ts, 0e0) AS t, max(coalesce(recency_ts, created_ts, 0e0)) OVER (PARTITION BY qid) AS last FROM ranked),
+    w AS (SELECT qid, s_rank, round(0.3e0 * exp(-{_AGE.format(now=NOW, t='last')}) + 0.2e0 * f + 0.3e0 * u + 0.2e0 * p, 6) AS equal, round(0.3e0 * exp(-{_AGE.format(now=NOW, t='last - 10e0 * sim_rank')}) + 0.2e0 * f + 0.3e0 * u + 0.2e0 * p, 6) AS steps, sim_rank FROM v),
+    k AS (SELECT qid, s_rank, row_number() OVER (PARTITION BY qid ORDER BY equal DESC, sim_rank) AS equal, row_number() OVER (PARTITION BY qid ORDER BY steps DESC, sim_rank) AS steps FROM w)
+    SELECT store, count(*)::bigint AS queries, round(avg(same::int), 6) AS same_set FROM (SELECT qid, unnest(['equal', 'steps']) AS store, unnest([bool_and((s_rank <= 5) = (equal <= 5)), bool_and((s_rank <= 5) = (steps <= 5))]) AS same FROM k GROUP BY qid) GROUP BY store""",
+)
+def replay_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the five best by score stay the same if all candidates were used at one time, or ten seconds apart."""
+    w = Window.partitionBy("qid")
+    c = candidates(spark, sf_dir).withColumn("s_rank", rank.score_rank()).withColumn("last", F.max(F.coalesce("recency_ts", "created_ts", F.lit(0.0))).over(w))
+    times = {"equal": F.col("last"), "steps": F.col("last") - 10.0 * F.col("sim_rank")}
+    for name, t in times.items():
+        total = F.lit(0.3) * S.recency(t, NOW) + F.lit(0.2) * F.col("f") + F.lit(0.3) * F.col("u") + F.lit(0.2) * F.col("p")
+        c = c.withColumn(f"s_{name}", F.round(total, 6)).withColumn(name, rank.score_rank(score=f"s_{name}"))
+    each = F.array(*(F.struct(F.lit(n).alias("store"), F.bool_and((F.col("s_rank") <= 5) == (F.col(n) <= 5)).alias("same")) for n in times))
+    per = c.groupBy("qid").agg(each.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    return per.groupBy("store").agg(F.count("*").alias("queries"), F.round(F.avg(F.col("same").cast("int")), 6).alias("same_set"))
+
+
 @add(
     "evidence_rank",
     f"""WITH {CAND}, a AS (SELECT qid, memory_id, source, rank() OVER (PARTITION BY qid ORDER BY sim DESC) AS rk FROM sims JOIN mem USING (memory_id))

@@ -57,10 +57,16 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("memory_id", "s", S.tier(F.col("s")).alias("tier"))
 
 
-@add("normalize_weights", "SELECT * FROM (VALUES ('r', 0.3e0), ('f', 0.2e0), ('u', 0.3e0), ('p', 0.2e0)) AS t(component, weight)")
+@add(
+    "normalize_weights",
+    f"""WITH {COMP}, m AS (SELECT avg(r) AS r, avg(f) AS f, avg(u) AS u, avg(p) AS p FROM comp) SELECT component, round(x / (r + f + u + p), 6) AS weight FROM (SELECT unnest(['r', 'f', 'u', 'p']) AS component, unnest([r, f, u, p]) AS x, r, f, u, p FROM m)""",
+)
 def normalize_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights given as 3 : 2 : 3 : 2 scaled to sum 1."""
-    return spark.createDataFrame(list(S.normalized({"r": 3.0, "f": 2.0, "u": 3.0, "p": 2.0}).items()), "component string, weight double")
+    """The mean components of the store as weights scaled to sum 1."""
+    m = memory.with_components(memories(spark, sf_dir), NOW).agg(*(F.avg(c).alias(c) for c in "rfup"))
+    total = F.col("r") + F.col("f") + F.col("u") + F.col("p")
+    each = F.array(*(F.struct(F.lit(c).alias("component"), F.round(F.col(c) / total, 6).alias("weight")) for c in "rfup"))
+    return m.select(F.explode(each).alias("w")).select("w.*")
 
 
 @add(
@@ -245,12 +251,20 @@ def min_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.groupBy("p").agg(F.min(F.when(s > S.RETAIN, F.col("k"))).alias("k"))
 
 
-@add("flip_rates", "SELECT 0.8e0 AS precision, 0.7e0 AS recall, 0.4e0 AS base, 0.3e0 AS miss_rate, round(0.4e0 * 0.7e0 * (1 / 0.8e0 - 1) / 0.6e0, 6) AS false_rate")
+@add(
+    "flip_rates",
+    f"""WITH {COMP}, x AS (SELECT lower(trim(source)) AS source, s > 0.55e0 AS yes, u > 0.5e0 AS y FROM scored WHERE trim(source) <> ''),
+    c AS (SELECT source, count(*) FILTER (WHERE yes AND y) / nullif(count(*) FILTER (WHERE yes), 0)::double AS precision, count(*) FILTER (WHERE yes AND y) / nullif(count(*) FILTER (WHERE y), 0)::double AS recall, avg(y::int) AS base FROM x GROUP BY source)
+    SELECT source, round(1 - recall, 6) AS miss_rate, round(CASE WHEN precision > 0 AND base < 1 THEN base * recall * (1 / precision - 1) / (1 - base) END, 6) AS false_rate FROM c""",
+)
 def flip_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error rates of a judge from its precision and recall at a base rate."""
-    one = spark.createDataFrame([(0.8, 0.7, 0.4)], "precision double, recall double, base double")
-    false = F.col("base") * F.col("recall") * (F.lit(1.0) / F.col("precision") - 1) / (F.lit(1.0) - F.col("base"))
-    return one.withColumns({"miss_rate": F.round(F.lit(1.0) - F.col("recall"), 6), "false_rate": F.round(false, 6)})
+    """Error rates of the verdicts by writer, from their precision and recall at the base rate."""
+    x = scored(spark, sf_dir).where(F.trim("source") != "").select(F.lower(F.trim("source")).alias("source"), (F.col("s") > 0.55).alias("yes"), (F.col("u") > 0.5).alias("y"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    g = x.groupBy("source").agg(n(F.col("yes") & F.col("y")).alias("tp"), n(F.col("yes")).alias("yes"), n(F.col("y")).alias("pos"), F.avg(F.col("y").cast("int")).alias("base"))
+    g = g.select("source", "base", (F.col("tp") / F.nullif(F.col("yes"), F.lit(0))).alias("precision"), (F.col("tp") / F.nullif(F.col("pos"), F.lit(0))).alias("recall"))
+    false = F.when((F.col("precision") > 0) & (F.col("base") < 1), F.col("base") * F.col("recall") * (F.lit(1.0) / F.col("precision") - 1) / (F.lit(1.0) - F.col("base")))
+    return g.select("source", F.round(F.lit(1.0) - F.col("recall"), 6).alias("miss_rate"), F.round(false, 6).alias("false_rate"))
 
 
 @add(

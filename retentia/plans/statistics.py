@@ -259,12 +259,13 @@ def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "holm",
-    """WITH p AS (SELECT * FROM (VALUES ('x', 'a', 0.01e0), ('x', 'b', 0.04e0), ('x', 'c', 0.03e0), ('y', 'd', 0.5e0), ('y', 'e', 0.6e0)) t(family, test, p)),
+    f"""WITH {COMP}, p AS (SELECT collection AS family, {TOPIC_SQL} AS test, round(1 - max(s), 6) AS p FROM scored WHERE collection IS NOT NULL GROUP BY 1, 2),
     q AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p) AS q FROM p)
     SELECT family, test, p, round(max(q) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM q""",
 )
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame([("x", "a", 0.01), ("x", "b", 0.04), ("x", "c", 0.03), ("y", "d", 0.5), ("y", "e", 0.6)], "family string, test string, p double")
+    """Step-down adjustment within families; here 1 - best score of each topic stands for a p value in its collection."""
+    p = scored(spark, sf_dir).where("collection IS NOT NULL").groupBy(F.col("collection").alias("family"), topic().alias("test")).agg(F.round(1 - F.max("s"), 6).alias("p"))
     return stats.holm(p, "test", "p", "family")
 
 
@@ -403,12 +404,16 @@ def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "curve_crossing",
-    """WITH c AS (SELECT * FROM (VALUES (0.0e0, 0.9e0), (0.1e0, 0.8e0), (0.2e0, 0.65e0), (0.3e0, 0.45e0), (0.4e0, 0.3e0)) t(x, y)), l AS (SELECT x, y, lag(x) OVER (ORDER BY x) AS x0, lag(y) OVER (ORDER BY x) AS y0 FROM c)
+    f"""WITH {COMP}, n AS (SELECT count(*)::double AS n FROM scored), h AS (SELECT least(floor(s * 20), 19)::int AS b, count(*) AS k FROM scored GROUP BY 1),
+    c AS (SELECT b.b / 20e0 AS x, coalesce((SELECT sum(k) FROM h WHERE h.b >= b.b), 0) / n AS y FROM range(0, 21) b(b), n), l AS (SELECT x, y, lag(x) OVER (ORDER BY x) AS x0, lag(y) OVER (ORDER BY x) AS y0 FROM c)
     SELECT round(x0 + (y0 - 0.5e0) / (y0 - y) * (x - x0), 6) AS crossing FROM l WHERE y < 0.5e0 ORDER BY x LIMIT 1""",
 )
 def curve_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a falling curve crosses 0.5, by linear interpolation."""
-    c = spark.createDataFrame([(0.0, 0.9), (0.1, 0.8), (0.2, 0.65), (0.3, 0.45), (0.4, 0.3)], "x double, y double")
+    """Score above which half of the memories lie, by linear interpolation on the falling curve of twenty-one points."""
+    h = scored(spark, sf_dir).groupBy(F.least(F.floor(F.col("s") * 20), F.lit(19)).cast("int").alias("b")).agg(F.count("*").alias("k"))
+    grid = spark.range(21).select(F.col("id").cast("int").alias("b")).join(h, "b", "left")  # twenty-one rows from here on
+    above = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    c = grid.select((F.col("b") / 20.0).alias("x"), (above / F.sum("k").over(Window.partitionBy())).alias("y"))
     w = Window.orderBy("x")
     lagged = c.withColumns({"x0": F.lag("x").over(w), "y0": F.lag("y").over(w)}).where("y < 0.5").orderBy("x").limit(1)
     return lagged.select(F.round(F.col("x0") + (F.col("y0") - 0.5) / (F.col("y0") - F.col("y")) * (F.col("x") - F.col("x0")), 6).alias("crossing"))

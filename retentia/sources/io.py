@@ -78,6 +78,49 @@ def cache_misses(texts: DataFrame, text: str, cache: DataFrame, namespace: str,
     return wanted.join(cache.select(key), key, "left_anti")
 
 
+def put_if_absent(cache: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The cache with the rows whose key it lacks, one a key; what is stored is never replaced. Null keys are left out."""
+    new = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+    return cache.unionByName(new.select(cache.columns))
+
+
+def request_key(body: Column) -> Column:
+    """Content address of a request: its JSON with keys in order, so that their order and spacing play no part; null
+    where it isn't JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(body)), 256)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes `df` beside `path` and puts it in its place by renaming, so a reader sees the old rows or the new ones."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
+    files = target.getFileSystem(conf)
+    df.write.mode("overwrite").parquet(path + ".new")
+    files.delete(old, True)
+    if files.exists(target):
+        files.rename(target, old)
+    files.rename(fresh, target)
+    files.delete(old, True)
+
+
+def append_audit(df: DataFrame, path: str) -> None:
+    """Rows added to an audit log of JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def read_dataset(spark: SparkSession, path: str, lists: list[str], source: str | None = None) -> DataFrame:
+    """JSON lines of a dataset whose `lists` columns hold a string or a list of strings: (source, *lists), always lists.
+
+    The source stands in `metadata.source`; rows of other sources are left out where one is given.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull())
+    name = F.expr("try_variant_get(v, '$.metadata.source', 'string')")
+    as_list = lambda c: F.coalesce(F.expr(f"try_variant_get(v, '$.{c}', 'array<string>')"), F.when(F.expr(f"try_variant_get(v, '$.{c}', 'string')").isNotNull(), F.array(F.expr(f"try_variant_get(v, '$.{c}', 'string')"))))
+    rows = lines.select(name.alias("source"), *(as_list(c).alias(c) for c in lists))
+    return rows if source is None else rows.where(F.col("source") == source)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, digest) of every file under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

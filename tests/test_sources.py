@@ -48,3 +48,26 @@ def test_providers(spark):
     assert abs(sum(x * x for x in rows[0]["v"]) - 1) < 1e-9 and rows[0]["j"] == "YES" and rows[1]["j"] == "NEUTRAL" and rows[1]["v"] == [0.0] * 32
     lengths = providers.with_encoder(df, "a", lambda: lambda texts: [[float(len(t))] for t in texts]).collect()
     assert [r["vector"] for r in lengths] == [[11.0], None, [1.0]]
+
+
+def test_caches(spark, tmp_path):
+    cache = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 9), ("c", 3), ("c", 3), (None, 4)], "k string, v int")
+    assert {tuple(r) for r in io.put_if_absent(cache, new, "k").collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    bodies = spark.createDataFrame([('{"b": 1, "a": {"d": [1, 2], "c": "x"}}',), ('{"a":{"c":"x","d":[1,2]},"b":1}',), ('{"a": 2, "b": 1}',), ("{broken",), (None,)], "b string")
+    keys = [r[0] for r in bodies.select(io.request_key(F.col("b"))).collect()]
+    assert keys[0] == keys[1] != keys[2] and keys[3:] == [None, None]
+    path = f"{tmp_path}/t"
+    io.replace_table(cache, path)
+    io.replace_table(io.put_if_absent(spark.read.parquet(path), new, "k"), path)
+    assert spark.read.parquet(path).count() == 3
+    io.append_audit(cache, f"{tmp_path}/log")
+    io.append_audit(cache, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+
+
+def test_dataset_lists(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"metadata": {"source": "s"}, "questions": "one", "answers": ["a", "b"]}\n\n{"metadata": {"source": "t"}, "questions": ["x"]}\n{oops\n')
+    got = io.read_dataset(spark, f"{tmp_path}/d.jsonl", ["questions", "answers"]).collect()
+    assert {(r[0], tuple(r[1]), r[2] and tuple(r[2])) for r in got} == {("s", ("one",), ("a", "b")), ("t", ("x",), None)}
+    assert io.read_dataset(spark, f"{tmp_path}/d.jsonl", ["questions"], "t").count() == 1
