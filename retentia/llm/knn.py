@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 #: Lists are LISTS x the square root of the rows.
 LISTS, SAMPLE_A_LIST = 0.75, 40
 #: Queries whose exact neighbours decide how many lists are probed, the share of them that must be found, least lists.
-PROBE_QUERIES, TARGET, LEAST_PROBES = 256, 0.955, 8
+PROBE_QUERIES, TARGET, LEAST_PROBES = 256, 0.97, 8
 #: Cells that a vector looks for its lists in, and rows routed at once.
 CELLS, ROUTE_ROWS = 16, 4096
 #: What a coordinate of a unit vector is multiplied by to be a 16-bit number.
