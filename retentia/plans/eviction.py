@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions import providers
 from retentia.operators import rank, vector
-from retentia.operators.lexical import contains_any, words
+from retentia.operators.lexical import contains_any, nearest_bag, words
 from retentia.plans.common import COMP, MEM, NOW, memories, scored
 from retentia.plans.registry import Registry
 from retentia.plans.scoring import _FACT, facts
@@ -225,11 +225,10 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fact's most similar other fact of the same speaker, the first of equals; null and 0 where no word is shared."""
-    p = word_f1(spark, sf_dir)
-    both = p.select("x", "y", "f1").unionByName(p.select(F.col("y").alias("x"), F.col("x").alias("y"), "f1"))
-    best = both.groupBy("x").agg(F.min(F.struct((-F.col("f1")).alias("k"), "y")).alias("b")).withColumnRenamed("x", "cluster_id")
-    all_ = facts(spark, sf_dir).select("cluster_id").join(best, "cluster_id", "left")
-    return all_.select("cluster_id", F.col("b.y").alias("best"), F.coalesce(-F.col("b.k"), F.lit(0.0)).alias("f1"))
+    rows = table(spark, sf_dir, "fact_clusters").where("cluster_id IS NOT NULL")
+    best = nearest_bag(facts(spark, sf_dir), ["dialogue", "speaker"], "cluster_id", "canonical", rows)
+    all_ = rows.select("cluster_id").distinct().join(best, "cluster_id", "left")
+    return all_.select("cluster_id", F.col("other").alias("best"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
 def ordered_facts(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:

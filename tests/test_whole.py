@@ -1,13 +1,14 @@
 """Queries over all contexts, vectors, weightings and lines, against brute force."""
 
 import datetime
+from collections import Counter
 
 import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.operators import stats, vector
+from retentia.operators import lexical, stats, vector
 from retentia.plans import eviction, extras, state, statistics
 
 SF = f"{oracle.DATA}/sf0.01"
@@ -120,3 +121,37 @@ def test_every_weighting_and_rate_is_tuned(spark):
                 gone = ix[np.argsort(-v[ix], kind="stable")][max(1, int(np.ceil(0.5 * len(ix)))) :]
                 harms.append(y[gone].sum() / y[ix].sum())
         assert got[lam, wr, wf, wu, wp] == pytest.approx((((d > 0) + (d == 0) / 2).mean(), np.mean(harms)), abs=2e-6)
+
+
+@pytest.mark.parametrize("block", [5, 8192])
+def test_nearest_bag_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(lexical, "BLOCK_BAGS", block)
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i:02d}", i % 3, " ".join(f"w{w % 12}" for w in rng.zipf(1.4, size=rng.integers(1, 9)))) for i in range(70)]
+    rows += [("n0", None, "w1"), ("n1", 0, None), ("n2", 0, "?"), ("n3", 0, "alone"), ("n4", 9, "w1")]
+    bags = [(k, g, Counter(t.split())) for k, g, t in rows if t and g is not None]
+    want = {}
+    for k, g, x in bags:
+        f1 = [(-round(2 * (x & y).total() / (x.total() + y.total()), 6), other) for other, h, y in bags if h == g and other != k and x & y]
+        if f1:
+            want[k] = (min(f1)[1], -min(f1)[0])
+    got = lexical.nearest_bag(spark.createDataFrame(rows, "k string, g int, t string"), ["g"], "k", "t")
+    assert {r["k"]: (r["other"], r["f1"]) for r in got.collect()} == want
+    assert len(want) == 70
+
+
+def test_best_match_sends_no_pairs(spark, tmp_path):
+    """A speaker's 400 facts share their words: 79,800 pairs, but no step gives more than a few rows a fact."""
+    rows = [(f"c{i:03d}", 1, 1, f"i met my friend number n{i} at the lake in town t{i // 2}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "cluster_id string, dialogue long, speaker int, canonical string, mentions int")
+    df.selectExpr("*", "1D AS recency_ts", "array(canonical) AS variants").write.parquet(str(tmp_path / "fact_clusters.parquet"))
+    got = eviction.best_match(spark, str(tmp_path))
+    assert {r["cluster_id"]: r["best"] for r in got.collect()} == {f"c{i:03d}": f"c{i ^ 1:03d}" for i in range(400)}
+
+    def most(plan) -> int:
+        kind, made = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+        below = [*inner, *(plan.children().apply(i) for i in range(plan.children().size()))]
+        return max([made.get().value() if made.isDefined() else 0, *map(most, below)])
+
+    assert 400 <= most(got._jdf.queryExecution().executedPlan()) <= 2_000
